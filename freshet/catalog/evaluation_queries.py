@@ -8,7 +8,7 @@ from freshet.functions import false_positives, with_risk_report
 from freshet.operators import evaluation, stats
 from freshet.operators.topk import top_rows
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
-from freshet.plans.training import location_indexer, temporal_split
+from freshet.plans.training import location_indexer, temporal_split, with_split
 
 KEY = i.KEY
 AUDITED = (
@@ -33,12 +33,8 @@ def _split_query(name, cuts, names):
 
     @query(name, i.on_labeled(text))
     def run(spark, sf_dir):
-        parts = temporal_split(i.labeled(spark, sf_dir), "datetime", cuts)
-        tagged = [p.withColumn("split", F.lit(n)) for p, n in zip(parts, names)]
-        whole = tagged[0]
-        for part in tagged[1:]:
-            whole = whole.unionByName(part)
-        return stats.label_counts(whole, ("split", "flood_event"))
+        rows = with_split(i.labeled(spark, sf_dir), "datetime", cuts, names)
+        return stats.label_counts(rows, ("split", "flood_event"))
 
 
 _split_query("temporal_split", (i.TRAIN_END,), ("train", "test"))

@@ -11,9 +11,10 @@ from freshet.operators.labeling import label_intervals
 from freshet.operators.rolling import (
     FEATURES_48H,
     MAIN_FEATURES,
+    PRESSURE_LAGS,
     RAIN_SHORT,
-    lag_change,
     rolling,
+    row_features,
 )
 
 TRAIN_END = "2024-01-21"
@@ -98,8 +99,8 @@ def scored_features(spark, sf_dir) -> DataFrame:
 
 def explored(spark, sf_dir) -> DataFrame:
     """Labelled rows with every rainfall sum and the pressure drops."""
-    wide = features(spark, sf_dir, FEATURES_48H + RAIN_SHORT)
-    return label_intervals(lag_change(wide), episodes(spark))
+    wide = row_features(observations(spark, sf_dir), FEATURES_48H + RAIN_SHORT, PRESSURE_LAGS)
+    return label_intervals(wide, episodes(spark))
 
 
 def rounded(df: DataFrame, places: dict) -> DataFrame:

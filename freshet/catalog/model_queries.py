@@ -13,7 +13,7 @@ from freshet.plans.calibration import apply_calibrator, compare_scores, fit_cali
 from freshet.plans.scoring import dropped_rows, score_table
 from freshet.plans.training import feature_importance, fit, temporal_split
 from freshet.sources import load_model, save_model
-from freshet.storage import materialize, new_path
+from freshet.storage import new_path, stage
 
 VARIANTS = {
     "main": training.MAIN,
@@ -26,7 +26,7 @@ SHOWN = ("location", "datetime", "flood_event", "prediction", "flood_probability
 
 def _rows(spark, sf_dir):
     """Labelled features, kept once: fitting and scoring both read them."""
-    return materialize(i.labeled_features(spark, sf_dir, FEATURES_48H))
+    return stage(i.labeled_features(spark, sf_dir, FEATURES_48H), "labeled")
 
 
 def _split(spark, sf_dir):
@@ -53,7 +53,7 @@ def rf_variants(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     reports = []
     for name, spec in VARIANTS.items():
-        scored = materialize(score_table(fit(train, spec), test, spec).select(*SHOWN))
+        scored = stage(score_table(fit(train, spec), test, spec).select(*SHOWN), "scored")
         areas = evaluation.auc(scored, "flood_probability")
         metrics = evaluation.class_metrics(scored).withColumns(
             {c: areas.select(c).scalar() for c in areas.columns}
@@ -84,8 +84,8 @@ def rf_calibrated(spark, sf_dir):
     model = fit(train)
     calibrator = fit_calibrator(score_table(model, calibration, out="raw_score"))
     scored = apply_calibrator(calibrator, score_table(model, test, out="raw_score"))
-    kept = materialize(scored.select("raw_score", "calibrated_probability", "flood_event"))
-    return compare_scores(kept, ("raw_score", "calibrated_probability"))
+    kept = scored.select("raw_score", "calibrated_probability", "flood_event")
+    return compare_scores(stage(kept, "calibrated"), ("raw_score", "calibrated_probability"))
 
 
 @query(

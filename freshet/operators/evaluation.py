@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import score_bin
+from freshet.storage import stage
 
 # The swept thresholds, and the evaluator's default number of curve points.
 THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
@@ -121,24 +122,32 @@ def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -
     )
 
 
-def area_under(df: DataFrame, score: str, label: str, metric: str, exact=False) -> float:
+def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Rows per distinct score and label, stored: all that a curve needs of ``df``."""
+    counts = df.groupBy(
+        F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")
+    ).agg(F.count("*").cast("double").alias("weight"))
+    return stage(counts, "score-counts")
+
+
+def area_under(counts: DataFrame, metric: str, exact=False) -> float:
     """Area under the ROC ("areaUnderROC") or precision-recall ("areaUnderPR") curve.
 
     The curve has about a thousand points, whatever the data; ``exact`` keeps every distinct
     score. Both are sorted and summed by Spark over the cluster.
     """
     evaluator = BinaryClassificationEvaluator(
-        labelCol=label,
-        rawPredictionCol=score,
+        rawPredictionCol="score",
+        labelCol="label",
+        weightCol="weight",
         metricName=metric,
         numBins=0 if exact else CURVE_BINS,
     )
-    return evaluator.evaluate(
-        df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label))
-    )
+    return evaluator.evaluate(counts)
 
 
 def auc(df: DataFrame, score: str, label="flood_event", exact=False) -> DataFrame:
-    """One row: both areas."""
-    areas = [area_under(df, score, label, m, exact) for m in ("areaUnderROC", "areaUnderPR")]
+    """One row: both areas. ``df`` is read once."""
+    counts = score_counts(df, score, label)
+    areas = [area_under(counts, m, exact) for m in ("areaUnderROC", "areaUnderPR")]
     return df.sparkSession.createDataFrame([areas], "roc_auc double, pr_auc double")

@@ -1,6 +1,8 @@
 """Rolling and lagged features per series, over rows rather than spans of time."""
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,43 +38,87 @@ MAIN_FEATURES = (RAIN_24, RAIN_72, RAIN_7D, SOIL_24, MAX_RAIN_24)
 FEATURES_48H = (RAIN_24, RAIN_48, RAIN_72, RAIN_7D, SOIL_24, MAX_RAIN_24)
 
 
-def rolling(
+@dataclass(frozen=True)
+class LagSpec:
+    """``col`` now minus ``rows`` rows ago, as ``change``, and its negative, as ``drop``."""
+
+    col: str
+    rows: int
+
+    @property
+    def change(self):
+        return f"{self.col}_{self.rows}h_change"
+
+    @property
+    def drop(self):
+        return f"{self.col}_drop_{self.rows}h"
+
+
+PRESSURE_LAGS = tuple(LagSpec("pressure", n) for n in (6, 12, 24))
+
+
+def row_features(
     df: DataFrame,
     specs=MAIN_FEATURES,
+    lags=(),
     keys=("location",),
     ts="datetime",
     rows_per_task=ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add one column per spec.
+    """Add the columns of all specs and lags, from one shuffle and sort.
 
     A frame at the start of a series is shorter, not null. Nulls inside a frame are skipped;
-    a frame of nulls alone gives null. ``keys=[]`` is the single-series form.
+    a frame of nulls alone gives null. A change is null for the first rows of a series.
+    ``keys=[]`` is the single-series form.
     """
+    blocks = {s: _block(s, specs) for s in specs}
 
     def columns(window):
-        return {
-            s.out: AGGREGATES[s.fn](s.col).over(window.rowsBetween(1 - s.rows, 0)) for s in specs
+        plain = {
+            s.out: AGGREGATES[s.fn](s.col).over(window.rowsBetween(1 - s.rows, 0))
+            for s in specs
+            if blocks[s] is None
         }
+        for lag in lags:
+            plain[lag.change] = F.col(lag.col) - F.lag(lag.col, lag.rows).over(window)
+        built = {s.out: _from_blocks(s, blocks[s], window) for s in specs if blocks[s]}
+        drops = {lag.drop: -F.col(lag.change) for lag in lags}
+        return [plain, built, drops]
 
-    back = max(s.rows for s in specs) - 1
+    back = max([s.rows - 1 for s in specs] + [lag.rows for lag in lags])
     return over_rows(df, keys, ts, back, columns, rows_per_task)
 
 
-def lag_change(
-    df: DataFrame,
-    col="pressure",
-    lags=(6, 12, 24),
-    keys=("location",),
-    ts="datetime",
-    rows_per_task=ROWS_PER_TASK,
-) -> DataFrame:
-    """Add ``<col>_<n>h_change``, now minus n rows ago, and ``<col>_drop_<n>h``, its negative.
+def _block(spec, specs):
+    """The longest directly computed sum that ``spec`` is a whole multiple of, or None.
 
-    Null for the first n rows of a series.
+    Spark recomputes a sliding frame at every row, so 168 rows cost 168 additions per row.
+    Seven sums of 24 rows, already there and 24 rows apart, are the same 168 rows.
     """
+    if spec.fn != "sum":
+        return None
+    sums = [s for s in specs if s.fn == "sum" and s.col == spec.col]
+    shorter = [s for s in sums if s.rows < spec.rows and spec.rows % s.rows == 0]
+    # Only sums that are not built from others themselves: those exist in the first stage.
+    direct = [s for s in shorter if _block(s, specs) is None]
+    return max(direct, key=lambda s: s.rows, default=None)
 
-    def columns(window):
-        return {f"{col}_{n}h_change": F.col(col) - F.lag(col, n).over(window) for n in lags}
 
-    changed = over_rows(df, keys, ts, max(lags), columns, rows_per_task)
-    return changed.withColumns({f"{col}_drop_{n}h": -F.col(f"{col}_{n}h_change") for n in lags})
+def _from_blocks(spec, block, window):
+    parts = [F.col(block.out)] + [
+        F.lag(block.out, back).over(window) for back in range(block.rows, spec.rows, block.rows)
+    ]
+    total = reduce(add, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    return F.when(F.coalesce(*parts).isNotNull(), total)
+
+
+def rolling(df: DataFrame, specs=MAIN_FEATURES, keys=("location",), ts="datetime", **options):
+    """Rolling features alone; see ``row_features``."""
+    return row_features(df, specs, (), keys, ts, **options)
+
+
+def lag_change(
+    df: DataFrame, col="pressure", lags=(6, 12, 24), keys=("location",), ts="datetime", **options
+) -> DataFrame:
+    """Add ``<col>_<n>h_change``, now minus n rows ago, and ``<col>_drop_<n>h``, its negative."""
+    return row_features(df, (), tuple(LagSpec(col, n) for n in lags), keys, ts, **options)

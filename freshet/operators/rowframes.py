@@ -29,15 +29,16 @@ CELLS_PER_BUCKET = 8
 def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PER_TASK):
     """Add window columns that look at most ``back`` rows back within their series.
 
-    ``columns`` takes a window specification, partitioned and ordered, and returns a dict of
-    name to expression over it. Several calls' worth of columns belong in one dict: they share
-    the shuffle and the sort. ``keys=[]`` treats the table as one series.
+    ``columns`` takes a window specification, partitioned and ordered, and returns dicts of
+    name to expression over it; a later dict may use the columns of an earlier one. They all
+    share one shuffle and one sort, so ask for everything in one call. ``keys=[]`` treats the
+    table as one series.
     """
     keys = list(keys)
     cut = _cut(df, keys, ts, back, rows_per_task)
     if cut is None:
-        by = keys or [F.lit(0)]
-        return df.withColumns(columns(Window.partitionBy(*by).orderBy(ts)))
+        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts)
+        return _with_all(df, columns(window))
 
     source = df.columns
     placed = _cells(df, keys, ts, cut["roots"], cut["levels"], "left")
@@ -48,12 +49,14 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
         *source, F.posexplode(buckets).alias("_copy", "_bucket")
     )
     window = Window.partitionBy(*keys, "_bucket").orderBy(ts)
-    named = columns(window)
-    return (
-        copied.withColumns(named)
-        .filter(F.col("_copy") == 0)
-        .select(*[c for c in source if c not in named], *named)
-    )
+    computed = _with_all(copied, columns(window))
+    return computed.filter(F.col("_copy") == 0).drop("_copy", "_bucket")
+
+
+def _with_all(df, stages):
+    for columns in stages:
+        df = df.withColumns(columns)
+    return df
 
 
 def _cut(df, keys, ts, back, rows_per_task):
@@ -63,10 +66,11 @@ def _cut(df, keys, ts, back, rows_per_task):
     timed = df.select(*aliased, _position(df, ts).alias("_at"))
     series = timed.groupBy(*small_keys).agg(
         F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
-    )
+    ).persist()
     longest, total = series.agg(F.max("_n"), F.sum("_n")).first()
     target = max(rows_per_task, -(-(total or 0) // MAX_BUCKETS), 2 * back + 2)
     if not longest or longest <= target:
+        series.unpersist()
         return None
 
     per_cell = max(1, target // CELLS_PER_BUCKET)
@@ -75,6 +79,7 @@ def _cut(df, keys, ts, back, rows_per_task):
             *small_keys, "_lo", _cell_width(per_cell)
         )
     )
+    series.unpersist()
     levels = []
     while True:
         cells = materialize(

@@ -4,7 +4,8 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.evaluation import area_under, squared_error
+from freshet.operators.evaluation import area_under, score_counts, squared_error
+from freshet.storage import stage
 
 CALIBRATED = "calibrated_probability"
 
@@ -25,7 +26,7 @@ def fit_calibrator(
     regression = IsotonicRegression(
         featuresCol="score", labelCol="rate", weightCol="weight", predictionCol=out
     )
-    return regression.fit(pooled).setFeaturesCol(score)
+    return regression.fit(stage(pooled, "pooled-scores")).setFeaturesCol(score)
 
 
 def apply_calibrator(model: IsotonicRegressionModel, df: DataFrame) -> DataFrame:
@@ -37,6 +38,6 @@ def compare_scores(df: DataFrame, scores, label="flood_event", exact=False) -> D
     """Brier score and area under the precision-recall curve, one row per score column."""
     errors = df.agg(*[F.avg(squared_error(s, label)).alias(s) for s in scores])
     briers = errors.unpivot([], list(scores), "score", "brier_score")
-    areas = {s: area_under(df, s, label, "areaUnderPR", exact) for s in scores}
+    areas = {s: area_under(score_counts(df, s, label), "areaUnderPR", exact) for s in scores}
     pick = F.coalesce(*[F.when(F.col("score") == s, F.lit(a)) for s, a in areas.items()])
     return briers.withColumn("pr_auc", pick)

@@ -12,6 +12,7 @@ from freshet.functions import add_month_cycle, between_times, complete_cases
 from freshet.operators.rolling import FEATURES_48H, MAIN_FEATURES
 from freshet.operators.stats import apply_weights, class_weights
 from freshet.schemas import MEASURES
+from freshet.storage import materialize
 
 # The forest's size and seed, and Spark's own default for bins.
 TREES = 100
@@ -65,6 +66,15 @@ def temporal_split(df: DataFrame, ts: str, cuts) -> list[DataFrame]:
     return [between_times(df, ts, a, b) for a, b in zip(bounds, bounds[1:])]
 
 
+def with_split(df: DataFrame, ts: str, cuts, names, out="split") -> DataFrame:
+    """Name each row's part, where all parts are to be read in one pass. No time, no part."""
+    part = F.when(F.col(ts).isNull(), F.lit(None).cast("string"))
+    kind = df.schema[ts].dataType
+    for cut, name in zip(cuts, names):
+        part = part.when(F.col(ts) < F.lit(cut).cast(kind), name)
+    return df.withColumn(out, part.otherwise(names[-1]))
+
+
 def location_indexer(column="location") -> StringIndexer:
     """Index by falling frequency, ties by name; unseen and null values share one more index."""
     return StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep")
@@ -96,6 +106,9 @@ def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataF
 def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> PipelineModel:
     """Train on ``train``. Weights and indexes come from these rows alone.
 
+    The rows are read several times, for counts, indexes, bins and the forest: pass a stored
+    table, not a long computation.
+
     A forest depends on how its rows are partitioned; ``partitions`` fixes that, by a hash of
     the whole input, so a repeated fit gives the same forest.
     """
@@ -110,7 +123,7 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
             )
         max_bins = max(MIN_BINS, values + 1)
     if spec.weighted:
-        weights = class_weights(rows, spec.label)
+        weights = materialize(class_weights(rows, spec.label))
         found = {r[0] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
         if found != {0, 1}:
             raise ValueError(f"training rows hold only the classes {sorted(found)}")

@@ -29,8 +29,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For large results read more than once: later scans prune columns and push filters down.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in reliable storage, which survives lost executors."""
+    """Compute the small table ``df`` once and keep it where lost executors do not matter."""
     spark = df.sparkSession
     directory = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
