@@ -1,0 +1,164 @@
+"""Scans, sinks and the unpacking of raw documents."""
+
+import json
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from freshet.schemas import HOURLY_FIELDS, SINGLE_SITE_OBSERVATIONS
+from freshet.sources import (
+    read_events,
+    read_observations,
+    read_table,
+    unpack_hourly,
+    write_csv,
+    write_table,
+)
+from freshet.storage import new_path, shared_dir
+
+
+def document(times, **changed):
+    hourly = {"time": times}
+    for k, name in enumerate(HOURLY_FIELDS):
+        hourly[name] = [k + h / 10 for h in range(len(times))]
+    hourly.update(changed)
+    return json.dumps({"hourly": hourly, "latitude": 24.8})
+
+
+TIMES = ["2020-01-01T00:00", "2020-01-01T01:00"]
+
+
+def test_unpack(spark):
+    raw = spark.createDataFrame(
+        [
+            ("good", document(TIMES)),
+            ("holes", document(TIMES, precipitation=[None, 2])),
+            ("uneven", document(TIMES, precipitation=[1.0])),
+            ("missing", json.dumps({"hourly": {"time": TIMES}})),
+            ("text", document(TIMES, precipitation=["x", "y"])),
+            ("cut", document(TIMES)[:-20]),
+            ("other", json.dumps({"error": True})),
+            ("when", document(["2020-01-01T00:00", "soon"])),
+            ("nothing", None),
+            ("empty", document([])),
+        ],
+        "location string, payload string",
+    )
+    rows, quarantine = unpack_hourly(raw)
+    got = {(r.location, r.datetime): r for r in rows.collect()}
+    assert sorted(got) == [
+        (w, datetime(2020, 1, 1, h)) for w in ("good", "holes") for h in (0, 1)
+    ]
+    first = got[("good", datetime(2020, 1, 1, 1))]
+    assert [first[c] for c in HOURLY_FIELDS.values()] == [k + 0.1 for k in range(6)]
+    assert got[("holes", datetime(2020, 1, 1, 0))].precipitation is None
+    assert {r.location: r.reason for r in quarantine.collect()} == {
+        "uneven": "unequal_lengths",
+        "missing": "unequal_lengths",
+        "text": "unequal_lengths",
+        "cut": "unreadable",
+        "other": "unreadable",
+        "when": "bad_time",
+        "nothing": "unreadable",
+    }
+    assert quarantine.columns == ["location", "payload", "reason"]
+
+
+@pytest.fixture
+def folder(tmp_path):
+    def write(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    return write
+
+
+def test_events_with_a_surplus_comma(spark, folder):
+    path = folder(
+        "events.csv",
+        "event_id,start_date,end_date,location,hazard_type,severity,source\n"
+        "X1,2024-07-01,2024-07-03,North,Flood,High,Some report\n"
+        "X2,2025-07-08,2025-07-09,South,Flood,High,Some newspaper, 9 July 2025\n",
+    )
+    rows = read_events(spark, path).orderBy("event_id").collect()
+    assert [(r.start_date, r.end_date, r.location, r.source) for r in rows] == [
+        (date(2024, 7, 1), date(2024, 7, 3), "North", "Some report"),
+        (date(2025, 7, 8), date(2025, 7, 9), "South", "Some newspaper"),
+    ]
+    assert rows[0]["_corrupt_record"] is None and "9 July" in rows[1]["_corrupt_record"]
+
+
+def test_observations(spark, folder):
+    header = "location,datetime,temperature,humidity,precipitation,pressure,wind_speed,soil_moisture\n"
+    path = folder(
+        "weather.csv",
+        header + "a,2020-01-01T00:00,15.5,80,0.0,1010.1,3.2,0.3\na,2020-01-01T01:00,,81,,1010,3,0.31\n"
+        "a,2020-01-01T02:00,warm,80,0.0,1010.1,3.2,0.3\n",
+    )
+    rows = read_observations(spark, path).orderBy("datetime").collect()
+    assert rows[0].datetime == datetime(2020, 1, 1) and rows[0].humidity == 80.0
+    assert rows[1].temperature is None and rows[1].precipitation is None
+    assert rows[2].temperature is None and "warm" in rows[2]["_corrupt_record"]
+
+
+def test_single_site(spark, folder):
+    path = folder(
+        "site.csv",
+        "datetime,temperature,humidity,precipitation,pressure,wind_speed,soil_moisture\n"
+        "2020-01-01T00:00,15.5,80,0.0,1010.1,3.2,0.3\n",
+    )
+    rows = read_observations(spark, path, SINGLE_SITE_OBSERVATIONS).collect()
+    assert rows[0].soil_moisture == 0.3 and "location" not in rows[0]
+
+
+def test_wrong_header_is_an_error(spark, folder):
+    path = folder("swapped.csv", "location,event_id\na,b\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_events(spark, path).collect()
+
+
+def test_sinks_replace(spark, tmp_path):
+    df = spark.range(100).select(
+        (F.col("id") % 3).cast("string").alias("location"), F.col("id").alias("v")
+    )
+    path = str(tmp_path / "t")
+    write_table(df, path, "location")
+    write_table(df.filter("v < 10"), path, ["location"])
+    assert read_table(spark, path).count() == 10
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {
+        "location=0",
+        "location=1",
+        "location=2",
+    }
+    write_table(df, path)
+    assert read_table(spark, path).count() == 100
+    write_csv(df, str(tmp_path / "c"))
+    write_csv(df.limit(7), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 7
+
+
+class FakeSession:
+    """As much of a session as the choice of folder looks at."""
+
+    def __init__(self, master, named=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+        self.chosen = None
+
+    def getCheckpointDir(self):
+        return self.chosen
+
+    def setCheckpointDir(self, path):
+        self.chosen = path
+
+
+def test_shared_dir(spark):
+    assert new_path(spark, "x") != new_path(spark, "x")
+    assert shared_dir(FakeSession("yarn", "/shared/place")) == "/shared/place"
+    assert shared_dir(FakeSession("local[2]", "/shared/place")) == "/shared/place"
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    with pytest.raises(RuntimeError):
+        shared_dir(FakeSession("yarn"))
