@@ -138,7 +138,7 @@ def interval_label(spark, sf_dir):
 def interval_label_shuffled(spark, sf_dir):
     """The way taken where the events' days are too many to broadcast."""
     marked = label_intervals(
-        i.observations(spark, sf_dir), i.episodes(spark), broadcast_rows=0
+        i.observations(spark, sf_dir), i.episodes(spark), broadcast_rows=0, rows_per_task=50
     )
     return marked.select("location", "datetime", "date", "flood_event")
 

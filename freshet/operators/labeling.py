@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.lookup import BROADCAST_ROWS, lookup
+from freshet.operators.lookup import BROADCAST_ROWS, ROWS_PER_TASK, fits_broadcast, lookup
 
 
 def label_intervals(
@@ -15,6 +15,7 @@ def label_intervals(
     start="start_date",
     end="end_date",
     broadcast_rows=BROADCAST_ROWS,
+    rows_per_task=ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``date`` and ``out``: 1 where some event covers the row's key and date, else 0.
 
@@ -23,7 +24,8 @@ def label_intervals(
     nothing, and a null key matches nothing. ``keys=[]`` lets an event cover every series.
 
     The days are broadcast only where their number, bounded from the intervals alone, allows
-    it. Otherwise they are first cut to the observed dates and joined by shuffle.
+    it. Otherwise they are first cut to the observed dates and, if still too many, joined by
+    shuffle, hot days spread over tasks.
     """
     keys = list(keys)
     spans = events.select(
@@ -32,8 +34,8 @@ def label_intervals(
     rows = obs.withColumn("date", F.to_date(ts))
 
     bound = spans.agg(F.sum(F.datediff("_to", "_from") + 1)).first()[0] or 0
-    small = True if bound <= broadcast_rows else None
-    if small is None:
+    small = bound <= broadcast_rows
+    if not small:
         first, last = rows.agg(F.min("date"), F.max("date")).first()
         spans = spans.select(
             *keys,
@@ -46,6 +48,7 @@ def label_intervals(
         .distinct()
         .withColumn("_covered", F.lit(1))
     )
-    marked = lookup(rows, days, keys + ["date"], small=small)
+    small = small or fits_broadcast(days, broadcast_rows)
+    marked = lookup(rows, days, keys + ["date"], small, rows_per_task)
     names = [c for c in obs.columns if c not in ("date", out)]
     return marked.select(*names, "date", F.coalesce("_covered", F.lit(0)).alias(out))

@@ -30,7 +30,7 @@ def fits_broadcast(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) ->
     return n <= rows and total <= size
 
 
-def lookup(df: DataFrame, dim: DataFrame, on, small=None) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, on, small=None, rows_per_task=ROWS_PER_TASK):
     """Left-join ``dim`` to ``df`` on the columns ``on``; null keys match nothing.
 
     A dimension measured small is broadcast, so ``df`` is not shuffled. Any other is joined by
@@ -42,10 +42,10 @@ def lookup(df: DataFrame, dim: DataFrame, on, small=None) -> DataFrame:
         small = fits_broadcast(dim)
     if small:
         return df.join(F.broadcast(dim), on, "left")
-    return _spread_lookup(df, dim, on)
+    return _spread_lookup(df, dim, on, rows_per_task)
 
 
-def _spread_lookup(df, dim, on, rows_per_task=ROWS_PER_TASK):
+def _spread_lookup(df, dim, on, rows_per_task):
     hot = _hot_keys(df, on, rows_per_task)
     if hot is None:
         return df.join(dim, on, "left")
@@ -65,17 +65,19 @@ def _hot_keys(df, on, rows_per_task):
     At most ``MAX_HOT_PARTS`` keys by construction, so the table may be broadcast. Null is a
     key here: a left join sends all null keys to one task too.
     """
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).persist()
     largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
     limit = max(rows_per_task, (total or 0) // MAX_HOT_PARTS)
-    if largest is None or largest <= limit:
-        return None
-    return materialize(
-        counts.filter(F.col("_n") > limit).select(
-            *[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)],
-            F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_parts"),
+    hot = None
+    if largest is not None and largest > limit:
+        hot = materialize(
+            counts.filter(F.col("_n") > limit).select(
+                *[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)],
+                F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_parts"),
+            )
         )
-    )
+    counts.unpersist()
+    return hot
 
 
 def _mark(df, hot, on):

@@ -15,7 +15,11 @@ def score_table(
     out: str = "flood_probability",
     report: bool = False,
 ) -> DataFrame:
-    """Score the complete rows of ``df``; ``report`` adds the risk columns."""
+    """Score the complete rows of ``df``; ``report`` adds the risk columns.
+
+    A filter on a score moves below it, and the forest is then applied twice to each row. Store
+    the scored table before it is filtered or read again.
+    """
     scored = positive_score(model.transform(model_rows(df, spec, labelled=False)), out=out)
     return with_risk_report(scored, out) if report else scored
 

@@ -22,7 +22,11 @@ def unpack_hourly(raw: DataFrame, fields=None, payload="payload", ts="datetime")
     """
     fields = dict(fields or HOURLY_FIELDS)
     carried = [c for c in raw.columns if c != payload]
-    parsed = raw.withColumn("_doc", F.from_json(payload, payload_schema(fields)))
+    # Parsed in a generator, so that a filter on the outcome stays above it: as a projection it
+    # would be moved below and parse the document again for every field it looks at.
+    parsed = raw.withColumn(
+        "_doc", F.explode(F.array(F.from_json(payload, payload_schema(fields))))
+    )
     length = F.size("_doc.hourly.time")
     unequal = reduce(
         lambda a, b: a | b,

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import between_times
-from freshet.operators import lookup as lookups
 from freshet.operators.labeling import label_intervals
 from freshet.operators.stats import class_weights, label_counts, monthly_rate
 from freshet.plans.training import temporal_split
@@ -46,16 +45,17 @@ def expected(rows, by_location=True):
 
 
 @pytest.mark.parametrize("by_location", [True, False])
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_equals_rule(spark, monkeypatch, by_location, broadcast_rows):
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(lookups.fits_broadcast, "__defaults__", (broadcast_rows, 10**9))
+@pytest.mark.parametrize(
+    "broadcast_rows, rows_per_task", [(1000, 1000), (13, 1000), (0, 1000), (0, 5)]
+)
+def test_equals_rule(spark, by_location, broadcast_rows, rows_per_task):
     rows = hours()
     made = label_intervals(
         spark.createDataFrame(rows, OBS),
         spark.createDataFrame(INTERVALS, EVENTS),
         keys=("location",) if by_location else (),
         broadcast_rows=broadcast_rows,
+        rows_per_task=rows_per_task,
     )
     got = made.collect()
     assert len(got) == len(rows)
