@@ -13,13 +13,13 @@ from freshet.operators.rolling import (
     MAIN_FEATURES,
     PRESSURE_LAGS,
     RAIN_SHORT,
-    rolling,
-    row_features,
 )
+from freshet.plans import features as plan
 
 TRAIN_END = "2024-01-21"
 CALIBRATION_START = "2024-01-16"
 KEY = ("location", "datetime")
+ALL_SPECS = FEATURES_48H + RAIN_SHORT
 
 # Two overlapping intervals, one at another location, one at an unknown and one at no
 # location, and one that ends before it starts.
@@ -85,12 +85,8 @@ def scored(spark, sf_dir) -> DataFrame:
     return with_score(labeled(spark, sf_dir))
 
 
-def features(spark, sf_dir, specs=MAIN_FEATURES) -> DataFrame:
-    return rolling(observations(spark, sf_dir), specs)
-
-
 def labeled_features(spark, sf_dir, specs=MAIN_FEATURES) -> DataFrame:
-    return label_intervals(features(spark, sf_dir, specs), episodes(spark))
+    return plan.labeled_features(observations(spark, sf_dir), episodes(spark), specs)
 
 
 def scored_features(spark, sf_dir) -> DataFrame:
@@ -99,8 +95,9 @@ def scored_features(spark, sf_dir) -> DataFrame:
 
 def explored(spark, sf_dir) -> DataFrame:
     """Labelled rows with every rainfall sum and the pressure drops."""
-    wide = row_features(observations(spark, sf_dir), FEATURES_48H + RAIN_SHORT, PRESSURE_LAGS)
-    return label_intervals(wide, episodes(spark))
+    return plan.labeled_features(
+        observations(spark, sf_dir), episodes(spark), ALL_SPECS, PRESSURE_LAGS
+    )
 
 
 def rounded(df: DataFrame, places: dict) -> DataFrame:
@@ -158,8 +155,6 @@ def _drops(lags=(6, 12, 24)):
     return ", ".join(f"lag(pressure, {n}) {over} - pressure AS pressure_drop_{n}h" for n in lags)
 
 
-ALL_SPECS = FEATURES_48H + RAIN_SHORT
-
 FEATURES = f"""
 features AS (SELECT *, {frames(ALL_SPECS)}, {_drops()} FROM obs)"""
 

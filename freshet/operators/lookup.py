@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,15 @@ ROWS_PER_TASK = 1_000_000
 MAX_HOT_PARTS = 20_000
 
 
+def spread(cols, parts) -> Column:
+    """A number below ``parts``, for rows that may be dealt freely.
+
+    By the row's content, moved on by its partition so that equal rows do not stay together.
+    A task that is run again deals its rows the same way.
+    """
+    return F.pmod(F.pmod(F.xxhash64(*cols), parts) + F.spark_partition_id(), parts)
+
+
 def fits_broadcast(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> bool:
     """Measure ``df``: whether it may be sent whole to every executor."""
     fixed = sum(
@@ -50,13 +59,13 @@ def _spread_lookup(df, dim, on, rows_per_task):
     if hot is None:
         return df.join(dim, on, "left")
     order = df.columns + [c for c in dim.columns if c not in on]
-    part = F.when(
-        F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("_parts"))
-    ).otherwise(F.lit(0).cast("long"))
-    spread = _mark(df, hot, on).withColumn("_part", part).drop("_parts")
+    part = F.when(F.col("_parts").isNotNull(), spread(df.columns, F.col("_parts"))).otherwise(
+        F.lit(0).cast("long")
+    )
+    dealt = _mark(df, hot, on).withColumn("_part", part).drop("_parts")
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     copied = _mark(dim, hot, on).withColumn("_part", F.explode(copies)).drop("_parts")
-    return spread.join(copied, on + ["_part"], "left").drop("_part").select(*order)
+    return dealt.join(copied, on + ["_part"], "left").drop("_part").select(*order)
 
 
 def _hot_keys(df, on, rows_per_task):

@@ -44,7 +44,10 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
     placed = _cells(df, keys, ts, cut["roots"], cut["levels"], "left")
     cells = cut["cells"]
     mine = _same(keys) & (F.col("_cell") == F.col("_start"))
-    buckets = F.coalesce(F.col("_buckets"), F.array(F.lit(0)))
+    unplaced = F.raise_error(F.lit("the rows changed while their windows were planned"))
+    buckets = F.when(F.col("_cell").isNull(), F.array(F.lit(0))).otherwise(
+        F.coalesce(F.col("_buckets"), unplaced)
+    )
     copied = placed.join(F.broadcast(cells), mine, "left").select(
         *source, F.posexplode(buckets).alias("_copy", "_bucket")
     )

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.lookup import spread
+
 # Spark prunes per-group ranks before the shuffle up to this rank (its default limit).
 PRUNED_RANK = 1000
 PARTS = 64
@@ -12,7 +14,8 @@ def top_rows(df: DataFrame, order, k: int, per=None, where: Column = None) -> Da
     """The first ``k`` rows by ``order``, or the first ``k`` of each ``per`` group.
 
     ``order`` should be total, ties included, so that the rows chosen are always the same.
-    Per group only ranks up to ``k`` leave a task, so a hot group costs ``k`` rows per task.
+    Per group only ranks up to ``k`` leave a task, so a hot group costs ``k`` rows per task;
+    beyond the rank Spark prunes at, a group is first ranked in parts.
     """
     if where is not None:
         df = df.filter(where)
@@ -20,7 +23,7 @@ def top_rows(df: DataFrame, order, k: int, per=None, where: Column = None) -> Da
         return df.orderBy(*order).limit(k)
     per = [per] if isinstance(per, str) else list(per)
     if k > PRUNED_RANK:
-        df = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+        df = df.withColumn("_part", spread(df.columns, F.lit(PARTS)))
         df = _first_ranks(df, per + ["_part"], order, k).drop("_part")
     return _first_ranks(df, per, order, k)
 

@@ -3,11 +3,16 @@
 from pyspark.sql import DataFrame
 
 from freshet.operators.labeling import label_intervals
-from freshet.operators.rolling import MAIN_FEATURES, rolling
+from freshet.operators.rolling import MAIN_FEATURES, row_features
 
 
 def labeled_features(
-    obs: DataFrame, events: DataFrame, specs=MAIN_FEATURES, keys=("location",), ts="datetime"
+    obs: DataFrame,
+    events: DataFrame,
+    specs=MAIN_FEATURES,
+    lags=(),
+    keys=("location",),
+    ts="datetime",
 ) -> DataFrame:
-    """Rolling features and interval labels of one observation table."""
-    return label_intervals(rolling(obs, specs, keys, ts), events, keys, ts)
+    """Rolling and lagged features and interval labels of one observation table."""
+    return label_intervals(row_features(obs, specs, lags, keys, ts), events, keys, ts)

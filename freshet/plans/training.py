@@ -21,6 +21,8 @@ SEED = 42
 MIN_BINS = 32
 # A categorical feature costs one bin per value in every node's statistics.
 MAX_CATEGORIES = 10_000
+ROWS_PER_TASK = 1_000_000
+MAX_PARTITIONS = 32_768
 
 
 @dataclass(frozen=True)
@@ -42,10 +44,13 @@ class FeatureSpec:
     def index(self):
         return f"{self.category}_index"
 
+    @property
+    def cycle(self):
+        return ("month_sin", "month_cos") if self.month_cycle else ()
+
     @property
     def inputs(self):
-        cycle = ("month_sin", "month_cos") if self.month_cycle else ()
-        return self.numeric + ((self.index,) if self.use_category else ()) + cycle
+        return self.numeric + ((self.index,) if self.use_category else ()) + self.cycle
 
     @property
     def required(self):
@@ -109,10 +114,15 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
     The rows are read several times, for counts, indexes, bins and the forest: pass a stored
     table, not a long computation.
 
-    A forest depends on how its rows are partitioned; ``partitions`` fixes that, by a hash of
-    the whole input, so a repeated fit gives the same forest.
+    The forest passes over its rows once per tree level, so they are first dealt out evenly,
+    copies included, over enough partitions. A forest depends on how its rows are dealt and
+    ordered: with ``partitions`` given, both are fixed and a repeated fit gives the same forest.
     """
     rows = model_rows(train, spec)
+    weights = materialize(class_weights(rows, spec.label))
+    counts = {r[0]: r[1] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
+    if spec.weighted and set(counts) != {0, 1}:
+        raise ValueError(f"training rows hold only the classes {sorted(counts)}")
     max_bins = MIN_BINS
     if spec.use_category:
         values = rows.select(spec.category).distinct().count()
@@ -123,21 +133,24 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
             )
         max_bins = max(MIN_BINS, values + 1)
     if spec.weighted:
-        weights = materialize(class_weights(rows, spec.label))
-        found = {r[0] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
-        if found != {0, 1}:
-            raise ValueError(f"training rows hold only the classes {sorted(found)}")
         rows = apply_weights(rows, weights, spec.label)
-    # The forest passes over its input many times: keep only what it reads.
-    inputs = [*spec.numeric, *(["month_sin", "month_cos"] if spec.month_cycle else [])]
-    inputs += [spec.label] + (["class_weight"] if spec.weighted else [])
-    inputs += [spec.category] if spec.use_category else []
-    rows = rows.select(*inputs)
-    if partitions is not None:
-        rows = rows.repartition(partitions, F.xxhash64(*inputs)).sortWithinPartitions(*inputs)
+    used = [*spec.numeric, *spec.cycle, spec.label]
+    used += ["class_weight"] if spec.weighted else []
+    used += [spec.category] if spec.use_category else []
+    rows = rows.select(*used)
+    if partitions is None:
+        rows = rows.repartition(_partitions(train.sparkSession, sum(counts.values())))
+    else:
+        rows = rows.repartition(partitions).sortWithinPartitions(*used)
     return build_pipeline(spec, max_bins).fit(rows)
 
 
+def _partitions(spark, rows: int) -> int:
+    """Every core busy, no partition over a task's worth of rows while there are few enough."""
+    wanted = min(-(-rows // ROWS_PER_TASK), MAX_PARTITIONS)
+    return max(wanted, spark.sparkContext.defaultParallelism)
+
+
 def feature_importance(model: PipelineModel) -> DataFrame:
     """Importance per input, largest first; names come from the model's own assembler."""
     assembler, forest = model.stages[-2], model.stages[-1]
