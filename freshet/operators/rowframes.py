@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from freshet.storage import materialize
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 250_000
 # More rows make larger buckets, not more of them: this bounds the cells' table.
 MAX_BUCKETS = 32_768
 CELLS_PER_BUCKET = 8

@@ -30,9 +30,12 @@ def apply_weights(df: DataFrame, weights: DataFrame, label="flood_event", out="c
     """Add the weight of class 1 to positives and that of class 0 to all other rows."""
 
     def weight_of(value):
-        return weights.filter(F.col(label) == value).select("class_weight").scalar()
+        return F.max(F.when(F.col(label) == value, F.col("class_weight")))
 
-    return df.withColumn(out, F.when(F.col(label) == 1, weight_of(1)).otherwise(weight_of(0)))
+    # One row, looked up once: both classes come from the same subquery.
+    pair = weights.agg(F.struct(weight_of(0).alias("other"), weight_of(1).alias("one"))).scalar()
+    chosen = F.when(F.col(label) == 1, pair.getField("one")).otherwise(pair.getField("other"))
+    return df.withColumn(out, chosen)
 
 
 def class_stats(df: DataFrame, cols, by=("flood_event",), fns=("avg",)) -> DataFrame:
