@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark, sf_dir, more=()) -> DataFrame:
+def observations(spark, sf_dir) -> DataFrame:
     digits = F.regexp_extract("props", "([0-9]+)", 1)
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("location"),
@@ -48,7 +48,6 @@ def observations(spark, sf_dir, more=()) -> DataFrame:
         (1000 + F.col("event_id") % 37).cast("double").alias("pressure"),
         ((F.col("event_id") % 17).cast("double") / 2.0).alias("wind_speed"),
         (digits.cast("double") / 100.0).alias("soil_moisture"),
-        *more,
     )
 
 

@@ -8,6 +8,7 @@ from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
 from freshet.operators import evaluation
 from freshet.operators.rolling import FEATURES_48H
+from freshet.operators.topk import top_rows
 from freshet.plans import training
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
 from freshet.plans.scoring import dropped_rows, score_table
@@ -40,6 +41,13 @@ def rf_score(spark, sf_dir):
     return scored.select(*SHOWN, "risk_text", "risk_level")
 
 
+@query("rf_sample")
+def rf_sample(spark, sf_dir):
+    """The first twenty scored rows, by location and time."""
+    train, test = _split(spark, sf_dir)
+    return top_rows(score_table(fit(train), test).select(*SHOWN), i.KEY, 20)
+
+
 @query("rf_unweighted")
 def rf_unweighted(spark, sf_dir):
     train, test = _split(spark, sf_dir)

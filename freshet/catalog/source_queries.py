@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
-from freshet.operators.stats import label_counts
 from freshet.schemas import HOURLY_FIELDS, MEASURES
 from freshet.sources import (
     read_csv,
@@ -17,51 +16,54 @@ from freshet.sources import (
 )
 from freshet.storage import new_path
 
-# Bounds the documents built here, whatever the table's size.
+# Bounds the documents built here, whatever the table's size and its ids.
 ROWS_PER_DOCUMENT = 64
 
 
-def _documents(spark, sf_dir, payload):
-    """``events`` as raw documents of up to 64 rows, one per location and run of event ids."""
-    obs = i.observations(spark, sf_dir, more=("event_id",))
+def _documents(spark, sf_dir):
+    """The observations as raw documents: of any 64 rows read in turn, one per location."""
+    obs = i.observations(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
     hour = F.struct(
         F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"),
-        *[F.col(column).alias(field) for field, column in HOURLY_FIELDS.items()],
+        *[F.col(column).alias(source) for source, column in HOURLY_FIELDS.items()],
     )
-    chunk = F.floor(F.col("event_id") / ROWS_PER_DOCUMENT).alias("chunk")
+    chunk = F.floor(F.col("id") / ROWS_PER_DOCUMENT).alias("chunk")
     documents = obs.groupBy("location", chunk).agg(F.collect_list(hour).alias("hours"))
     arrays = [F.col(f"hours.{name}").alias(name) for name in ("time", *HOURLY_FIELDS)]
-    text = F.to_json(F.struct(F.struct(*arrays).alias("hourly")))
-    return documents.withColumn("payload", text).select("location", payload.alias("payload"))
+    return documents.select(
+        "location",
+        F.size("hours").cast("long").alias("hours"),
+        F.to_json(F.struct(F.struct(*arrays).alias("hourly"))).alias("payload"),
+    )
 
 
 @query("json_unpack", i.on_obs("SELECT * FROM obs"))
 def json_unpack(spark, sf_dir):
-    rows, _ = unpack_hourly(_documents(spark, sf_dir, F.col("payload")))
+    rows, _ = unpack_hourly(_documents(spark, sf_dir))
     return rows.select("location", "datetime", *MEASURES)
 
 
 @query(
     "json_quarantine",
-    f"""
-SELECT location, CASE chunk % 3 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'unequal_lengths'
-                 ELSE 'bad_time' END AS reason, count(*) AS n
-FROM (SELECT DISTINCT event_type AS location, event_id // {ROWS_PER_DOCUMENT} AS chunk FROM events)
-GROUP BY 1, 2""",
+    """
+SELECT event_type AS location,
+       CASE event_type WHEN 'error' THEN 'unreadable' WHEN 'click' THEN 'unequal_lengths'
+       WHEN 'view' THEN 'bad_time' ELSE 'kept' END AS reason, count(*) AS hours
+FROM events GROUP BY 1, 2""",
 )
 def json_quarantine(spark, sf_dir):
-    """Every document damaged in one of three ways; none may yield a row."""
-    kind = F.col("chunk") % 3
+    """Documents of three locations damaged, each in its way: hours kept and quarantined."""
+    payload, where = F.col("payload"), F.col("location")
     damaged = (
-        F.when(kind == 0, F.expr("left(payload, length(payload) - 3)"))
-        .when(kind == 1, F.regexp_replace("payload", '"wind_speed_10m":\\[', '$0-1.0,'))
-        .otherwise(F.regexp_replace("payload", "T", " at "))
-    )
-    rows, quarantine = unpack_hourly(_documents(spark, sf_dir, damaged))
-    kept = rows.select("location", F.lit("kept").alias("reason"))
-    return label_counts(
-        quarantine.select("location", "reason").unionByName(kept), ("location", "reason")
+        F.when(where == "error", F.expr("left(payload, length(payload) - 3)"))
+        .when(where == "click", F.regexp_replace(payload, '"wind_speed_10m":\\[', "$0-1.0,"))
+        .when(where == "view", F.regexp_replace(payload, "T", " at "))
+        .otherwise(payload)
     )
+    rows, quarantine = unpack_hourly(_documents(spark, sf_dir).withColumn("payload", damaged))
+    kept = rows.select("location", F.lit("kept").alias("reason"), F.lit(1).alias("hours"))
+    whole = quarantine.select("location", "reason", "hours").unionByName(kept)
+    return whole.groupBy("location", "reason").agg(F.sum("hours").alias("hours"))
 
 
 @query(

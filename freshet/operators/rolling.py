@@ -71,37 +71,44 @@ def row_features(
     a frame of nulls alone gives null. A change is null for the first rows of a series.
     ``keys=[]`` is the single-series form.
     """
-    blocks = {s: _block(s, specs) for s in specs}
+    levels = _levels(specs)
 
     def columns(window):
         plain = {
             s.out: AGGREGATES[s.fn](s.col).over(window.rowsBetween(1 - s.rows, 0))
-            for s in specs
-            if blocks[s] is None
+            for s in levels[0]
         }
         for lag in lags:
             plain[lag.change] = F.col(lag.col) - F.lag(lag.col, lag.rows).over(window)
-        built = {s.out: _from_blocks(s, blocks[s], window) for s in specs if blocks[s]}
+        built = [
+            {s.out: _from_blocks(s, block, window) for s, block in level.items()}
+            for level in levels[1:]
+        ]
         drops = {lag.drop: -F.col(lag.change) for lag in lags}
-        return [plain, built, drops]
+        return [plain, *built, drops]
 
     back = max([s.rows - 1 for s in specs] + [lag.rows for lag in lags])
     return over_rows(df, keys, ts, back, columns, rows_per_task)
 
 
-def _block(spec, specs):
-    """The longest directly computed sum that ``spec`` is a whole multiple of, or None.
+def _levels(specs):
+    """Specs by the order in which they can be computed, each with the sum it is built from.
 
     Spark recomputes a sliding frame at every row, so 168 rows cost 168 additions per row.
-    Seven sums of 24 rows, already there and 24 rows apart, are the same 168 rows.
+    Seven sums of 24 rows, already there and 24 rows apart, are the same 168 rows. A sum is
+    built from the longest shorter one that it is a whole multiple of.
     """
-    if spec.fn != "sum":
-        return None
-    sums = [s for s in specs if s.fn == "sum" and s.col == spec.col]
-    shorter = [s for s in sums if s.rows < spec.rows and spec.rows % s.rows == 0]
-    # Only sums that are not built from others themselves: those exist in the first stage.
-    direct = [s for s in shorter if _block(s, specs) is None]
-    return max(direct, key=lambda s: s.rows, default=None)
+    level, block = {}, {}
+    for s in sorted(specs, key=lambda s: s.rows):
+        shorter = [
+            o
+            for o in level
+            if s.fn == o.fn == "sum" and s.col == o.col and o.rows < s.rows and s.rows % o.rows == 0
+        ]
+        block[s] = max(shorter, key=lambda o: o.rows, default=None)
+        level[s] = level[block[s]] + 1 if block[s] else 0
+    depth = max(level.values(), default=0)
+    return [{s: block[s] for s in specs if level[s] == n} for n in range(depth + 1)]
 
 
 def _from_blocks(spec, block, window):

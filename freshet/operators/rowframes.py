@@ -7,11 +7,12 @@ frame that looks at most ``back`` rows back finds the same rows as in the uncut
 copied rows are dropped again. The result is the same for any spacing of the rows in time.
 
 How the cut is found: time is divided into cells, counted per cell; a cell that holds too many
-rows is divided again by its own range. Cells are then packed into buckets in time order. The
-cells' table has a bounded size, whatever the data's, and is broadcast: the rows themselves
-are shuffled once, as in the plain window.
+rows is divided again by its own range, and one that holds a single time by the rows' content.
+Cells are then packed into buckets in order. The cells' table has a bounded size, whatever the
+data's, and is broadcast: the rows themselves are shuffled once, as in the plain window.
 """
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,25 +36,25 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
     table as one series.
     """
     keys = list(keys)
-    cut = _cut(df, keys, ts, back, rows_per_task)
+    cut = _find_cut(df, keys, ts, back, rows_per_task)
     if cut is None:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts)
         return _with_all(df, columns(window))
 
-    source = df.columns
-    placed = _cells(df, keys, ts, cut["roots"], cut["levels"], "left")
-    cells = cut["cells"]
-    mine = _same(keys) & (F.col("_cell") == F.col("_start"))
+    mine = _same(keys) & (F.col("_cell") == F.col("_start")) & (F.col("_tie") == F.col("_turn"))
     unplaced = F.raise_error(F.lit("the rows changed while their windows were planned"))
     buckets = F.when(F.col("_cell").isNull(), F.array(F.lit(0))).otherwise(
         F.coalesce(F.col("_buckets"), unplaced)
     )
-    copied = placed.join(F.broadcast(cells), mine, "left").select(
-        *source, F.posexplode(buckets).alias("_copy", "_bucket")
+    copied = (
+        cut.place(df, "left")
+        .join(F.broadcast(cut.buckets), mine, "left")
+        .select(*df.columns, "_tie", F.posexplode(buckets).alias("_copy", "_bucket"))
     )
-    window = Window.partitionBy(*keys, "_bucket").orderBy(ts)
+    order = [ts, "_tie"] if cut.ties is not None else [ts]
+    window = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     computed = _with_all(copied, columns(window))
-    return computed.filter(F.col("_copy") == 0).drop("_copy", "_bucket")
+    return computed.filter(F.col("_copy") == 0).drop("_tie", "_copy", "_bucket")
 
 
 def _with_all(df, stages):
@@ -62,71 +63,110 @@ def _with_all(df, stages):
     return df
 
 
-def _cut(df, keys, ts, back, rows_per_task):
-    """Tables that place each row in its buckets, or None where no series needs cutting."""
-    aliased = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    small_keys = [f"_k{i}" for i in range(len(keys))]
-    timed = df.select(*aliased, _position(df, ts).alias("_at"))
-    series = timed.groupBy(*small_keys).agg(
-        F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
-    ).persist()
-    longest, total = series.agg(F.max("_n"), F.sum("_n")).first()
-    target = max(rows_per_task, -(-(total or 0) // MAX_BUCKETS), 2 * back + 2)
-    if not longest or longest <= target:
-        series.unpersist()
-        return None
+@dataclass
+class Cut:
+    """Small tables that say which cell a row of a long series lies in, and the cells' buckets.
 
-    per_cell = max(1, target // CELLS_PER_BUCKET)
-    roots = materialize(
-        series.filter((F.col("_n") > target) & F.col("_lo").isNotNull()).select(
-            *small_keys, "_lo", _cell_width(per_cell)
+    ``roots`` has the first division of each long series; ``levels`` divide full cells again by
+    time; ``ties`` divides cells of a single time.
+    """
+
+    keys: list
+    ts: str
+    roots: DataFrame
+    levels: list = field(default_factory=list)
+    ties: DataFrame = None
+    buckets: DataFrame = None
+
+    def place(self, df: DataFrame, how: str) -> DataFrame:
+        """Add ``_at``, the row's time as a number, and its cell, ``_cell`` and ``_tie``.
+
+        Rows of series that are not cut get a null cell, or are left out if ``how`` is inner.
+        Rows without a time sort first: they get a cell before the first.
+        """
+        start = F.expr("_lo + ((_at - _lo) div _width) * _width")
+        placed = df.withColumn("_at", _position(df, self.ts))
+        if self.keys:
+            placed = placed.join(F.broadcast(self.roots), _same(self.keys), how)
+        else:
+            lo, width = self.roots.select("_lo", "_width").first()
+            placed = placed.withColumn("_lo", F.lit(lo)).withColumn("_width", F.lit(width))
+        placed = placed.withColumn("_at", F.coalesce(F.col("_at"), F.col("_lo") - 1))
+        timeless = F.col("_at") < F.col("_lo")
+        placed = placed.withColumn("_cell", F.when(timeless, F.col("_at")).otherwise(start))
+        placed = placed.drop("_lo", "_width", *self.small_keys)
+        for level in self.levels:
+            placed = self._inside(placed, level).withColumn(
+                "_cell", F.when(F.col("_start").isNull(), F.col("_cell")).otherwise(start)
+            )
+            placed = placed.drop("_start", "_lo", "_width", *self.small_keys)
+        if self.ties is None:
+            return placed.withColumn("_tie", F.lit(0).cast("long"))
+        turn = F.pmod(F.xxhash64(*df.columns), F.col("_parts"))
+        placed = self._inside(placed, self.ties).withColumn(
+            "_tie", F.coalesce(turn, F.lit(0).cast("long"))
         )
-    )
-    series.unpersist()
-    levels = []
-    while True:
-        cells = materialize(
-            _cells(df, keys, ts, roots, levels, "inner")
-            .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cell")
+        return placed.drop("_start", "_parts", *self.small_keys)
+
+    def _inside(self, placed, table):
+        inside = _same(self.keys) & (F.col("_cell") == F.col("_start"))
+        return placed.join(F.broadcast(table), inside, "left")
+
+    def count(self, df: DataFrame) -> DataFrame:
+        """Rows and range of time per cell."""
+        return materialize(
+            self.place(df, "inner")
+            .groupBy(*_renamed(self.keys), "_cell", "_tie")
             .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
         )
-        # Rows of one and the same time cannot be told apart by it: such a cell stays whole.
-        full = cells.filter((F.col("_n") > target // 2) & (F.col("_lo") < F.col("_hi")))
-        if full.isEmpty():
-            break
-        levels.append(
-            full.select(*small_keys, F.col("_cell").alias("_start"), "_lo", _cell_width(per_cell))
-        )
-    return {"roots": roots, "levels": levels, "cells": _pack(cells, small_keys, target, back)}
 
-
-def _cell_width(per_cell: int) -> Column:
-    parts = F.greatest(F.lit(2), F.ceil(F.col("_n") / F.lit(per_cell)))
-    return (((F.col("_hi") - F.col("_lo")) / parts).cast("long") + 1).alias("_width")
+    @property
+    def small_keys(self):
+        return [f"_k{i}" for i in range(len(self.keys))]
 
 
-def _cells(df, keys, ts, roots, levels, how):
-    """Add ``_at`` and ``_cell``, the start of the row's cell; null where a series is not cut.
+def _find_cut(df, keys, ts, back, rows_per_task):
+    """The cut, or None where no series is too long for a task."""
+    series = (
+        df.select(*_renamed(keys), _position(df, ts).alias("_at"))
+        .groupBy(*[f"_k{i}" for i in range(len(keys))])
+        .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        .persist()
+    )
+    longest, total = series.agg(F.max("_n"), F.sum("_n")).first()
+    target = max(rows_per_task, -(-(total or 0) // MAX_BUCKETS), 2 * back + 2)
+    per_cell = max(1, target // CELLS_PER_BUCKET)
+    cut = None
+    if longest and longest > target:
+        long = series.filter((F.col("_n") > target) & F.col("_lo").isNotNull())
+        cut = Cut(keys, ts, materialize(_division(long, per_cell).drop("_start")))
+    series.unpersist()
+    if cut is None or cut.roots.isEmpty():
+        return None
 
-    Rows without a time sort first, so they go to the first cell of their series.
-    """
-    start = F.expr("_lo + ((_at - _lo) div _width) * _width")
-    placed = df.withColumn("_at", _position(df, ts))
-    if keys:
-        placed = placed.join(F.broadcast(roots), _same(keys), how)
-    else:
-        lo, width = roots.select("_lo", "_width").first()
-        placed = placed.withColumn("_lo", F.lit(lo)).withColumn("_width", F.lit(width))
-    placed = placed.withColumn("_at", F.coalesce("_at", "_lo"))
-    placed = placed.withColumn("_cell", start).drop("_lo", "_width", *_small(keys))
-    for level in levels:
-        inside = _same(keys) & (F.col("_cell") == F.col("_start"))
-        placed = (
-            placed.join(F.broadcast(level), inside, "left")
-            .withColumn("_cell", F.when(F.col("_start").isNull(), F.col("_cell")).otherwise(start))
-            .drop("_start", "_lo", "_width", *_small(keys))
-        )
-    return placed
+    cells = cut.count(df)
+    full = F.col("_n") > target // 2
+    while not (again := cells.filter(full & (F.col("_lo") < F.col("_hi")))).isEmpty():
+        cut.levels.append(_division(again, per_cell))
+        cells = cut.count(df)
+    tied = cells.filter(full)
+    if not tied.isEmpty():
+        # Rows of one time have no order of their own; any that stays the same will do. Rows
+        # equal in every column are told apart by nothing and stay together.
+        parts = F.ceil(F.col("_n") / F.lit(per_cell)).cast("long").alias("_parts")
+        cut.ties = tied.select(*cut.small_keys, F.col("_cell").alias("_start"), parts)
+        cells = cut.count(df)
+    cut.buckets = _pack(cells, cut.small_keys, target, back)
+    return cut
+
+
+def _division(cells, per_cell):
+    """Equal parts of each cell's range, as many as its rows call for."""
+    parts = F.greatest(F.lit(2), F.ceil(F.col("_n") / F.lit(per_cell)))
+    width = (((F.col("_hi") - F.col("_lo")) / parts).cast("long") + 1).alias("_width")
+    keys = [c for c in cells.columns if c.startswith("_k")]
+    start = F.col("_cell") if "_cell" in cells.columns else F.lit(None)
+    return cells.select(*keys, start.alias("_start"), "_lo", width)
 
 
 def _pack(cells, small_keys, target, back):
@@ -137,10 +177,10 @@ def _pack(cells, small_keys, target, back):
     ``back``, away. So two candidates are enough.
     """
     series = Window.partitionBy(*(small_keys or [F.lit(0)]))
-    in_time = series.orderBy("_cell")
+    in_order = series.orderBy("_cell", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = series.orderBy("_bucket")
     numbered = (
-        cells.withColumn("_before", F.sum("_n").over(in_time) - F.col("_n"))
+        cells.withColumn("_before", F.coalesce(F.sum("_n").over(in_order), F.lit(0)))
         .withColumn("_slot", F.floor(F.col("_before") / F.lit(target)))
         .withColumn("_bucket", F.dense_rank().over(series.orderBy("_slot")))
     )
@@ -152,6 +192,7 @@ def _pack(cells, small_keys, target, back):
     return numbered.select(
         *small_keys,
         F.col("_cell").alias("_start"),
+        F.col("_tie").alias("_turn"),
         F.array_compact(F.array("_bucket", *wanted)).alias("_buckets"),
     )
 
@@ -173,8 +214,8 @@ def _position(df, ts) -> Column:
     raise TypeError(f"cannot order rows by {ts} of type {kind.simpleString()}")
 
 
-def _small(keys):
-    return [f"_k{i}" for i in range(len(keys))]
+def _renamed(keys):
+    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
 
 def _same(keys) -> Column:

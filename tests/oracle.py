@@ -46,10 +46,6 @@ def _plain(v):
     return repr(v)
 
 
-def _family(v):
-    return {int: "int", float: "float", str: "str"}.get(type(v), type(v).__name__)
-
-
 def compare(spark, con, fn, sql, sf_dir):
     """Differences between the two results, as text; empty where they agree."""
     df = fn(spark, sf_dir)

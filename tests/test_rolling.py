@@ -124,30 +124,54 @@ def test_burst_is_divided_again(spark):
     obs = series(spark, start).select("location", "datetime", "precipitation").union(
         spark.createDataFrame(rows, "location string, datetime timestamp_ntz, precipitation double")
     )
-    cut = rowframes._cut(obs, ["location"], "datetime", 23, 400)
-    assert cut["levels"]
-    cells = cut["cells"].agg(F.count("*")).first()[0]
-    assert cells > 20
+    cut = rowframes._find_cut(obs, ["location"], "datetime", 23, 400)
+    assert cut.levels and cut.ties is None
+    assert cut.buckets.count() > 20
     spec = (RollingSpec("precipitation", "sum", 24, "s"),)
     whole = rolling(obs, spec)
     assert rolling(obs, spec, rows_per_task=400).exceptAll(whole).isEmpty()
     assert rolling(obs, spec, rows_per_task=400).count() == 4002
 
 
-def test_buckets_stay_small(spark):
-    """No bucket holds much more than its share, however the rows lie in time."""
-    obs = series(spark, uneven(6000, 5))
-    limit = 400
-    cut = rowframes._cut(obs, ["location"], "datetime", 167, limit)
-    placed = rowframes._cells(obs, ["location"], "datetime", cut["roots"], cut["levels"], "left")
-    cells = cut["cells"]
+def largest_bucket(obs, limit, back=167):
+    cut = rowframes._find_cut(obs, ["location"], "datetime", back, limit)
+    placed, cells = cut.place(obs, "left"), cut.buckets
+    mine = (
+        placed.location.eqNullSafe(cells._k0)
+        & (placed._cell == cells._start)
+        & (placed._tie == cells._turn)
+    )
     sizes = (
-        placed.join(cells, (placed._cell == cells._start) & placed.location.eqNullSafe(cells._k0))
+        placed.join(cells, mine)
         .select("location", F.explode("_buckets").alias("b"))
         .groupBy("location", "b")
         .count()
     )
-    assert sizes.agg(F.max("count")).first()[0] <= 2 * limit + 2 * 167
+    return sizes.agg(F.max("count")).first()[0]
+
+
+def test_buckets_stay_small(spark):
+    """No bucket holds much more than its share, however the rows lie in time."""
+    limit = 400
+    assert largest_bucket(series(spark, uneven(6000, 5)), limit) <= 2 * limit + 2 * 167
+
+
+@pytest.mark.parametrize("when", [START + timedelta(days=3), None])
+def test_rows_of_one_time_are_divided(spark, when):
+    """A third of the rows at one time, or at none."""
+    rows = [("a", START + timedelta(hours=k), 1.0) for k in range(400)]
+    rows += [("a", when, float(k)) for k in range(1200)]
+    obs = spark.createDataFrame(rows, "location string, datetime timestamp_ntz, precipitation double")
+    assert rowframes._find_cut(obs, ["location"], "datetime", 9, 100).ties is not None
+    assert largest_bucket(obs, 100, back=9) <= 2 * 100 + 2 * 9
+
+    counted = obs.withColumn("one", F.lit(1.0))
+    spec = (RollingSpec("one", "sum", 10, "s"), RollingSpec("precipitation", "max", 10, "m"))
+    made = rolling(counted, spec, rows_per_task=100).collect()
+    assert len(made) == 1600
+    # Only the first nine rows of the series have short frames, whatever the order of ties.
+    assert sorted(r.s for r in made) == [float(min(k, 10)) for k in range(1, 1601)]
+    assert all(r.m >= r.precipitation for r in made)
 
 
 def test_single_series(spark):
