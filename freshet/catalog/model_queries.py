@@ -12,7 +12,7 @@ from freshet.operators.topk import top_rows
 from freshet.plans import training
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
 from freshet.plans.scoring import dropped_rows, score_table
-from freshet.plans.training import feature_importance, fit, temporal_split
+from freshet.plans.training import feature_importance, fit, model_rows, temporal_split
 from freshet.sources import load_model, save_model
 from freshet.storage import new_path, stage
 
@@ -43,9 +43,10 @@ def rf_score(spark, sf_dir):
 
 @query("rf_sample")
 def rf_sample(spark, sf_dir):
-    """The first twenty scored rows, by location and time."""
+    """The first twenty scored rows, by location and time: chosen before they are scored."""
     train, test = _split(spark, sf_dir)
-    return top_rows(score_table(fit(train), test).select(*SHOWN), i.KEY, 20)
+    chosen = top_rows(model_rows(test, training.MAIN, labelled=False), i.KEY, 20)
+    return score_table(fit(train), chosen).select(*SHOWN)
 
 
 @query("rf_unweighted")
@@ -75,13 +76,24 @@ def rf_importance(spark, sf_dir):
     return feature_importance(fit(_split(spark, sf_dir)[0]))
 
 
-@query("rf_roundtrip")
+@query(
+    "rf_roundtrip",
+    i.on_obs(
+        f"SELECT count(*) AS n_rows, count(*) AS n_equal FROM obs "
+        f"WHERE datetime >= TIMESTAMP '{i.TRAIN_END} 00:00:00'"
+    ),
+)
 def rf_roundtrip(spark, sf_dir):
-    """Scores of a model that was saved and loaded again."""
+    """Rows scored by a model and by the same model saved and loaded again, and equal scores."""
     train, test = _split(spark, sf_dir)
-    path = new_path(spark, "forest")
-    save_model(fit(train), path)
-    return score_table(load_model(path), test).select(*SHOWN)
+    model, path = fit(train), new_path(spark, "forest")
+    save_model(model, path)
+    before = score_table(model, test, out="before").select(*test.columns, "before")
+    both = score_table(load_model(path), before, out="after")
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("before") == F.col("after")).alias("n_equal"),
+    )
 
 
 @query("rf_calibrated")

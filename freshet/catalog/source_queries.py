@@ -24,7 +24,7 @@ def _documents(spark, sf_dir):
     """The observations as raw documents: of any 64 rows read in turn, one per location."""
     obs = i.observations(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
     hour = F.struct(
-        F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"),
+        F.translate(F.col("datetime").cast("string"), " ", "T").alias("time"),
         *[F.col(column).alias(source) for source, column in HOURLY_FIELDS.items()],
     )
     chunk = F.floor(F.col("id") / ROWS_PER_DOCUMENT).alias("chunk")
