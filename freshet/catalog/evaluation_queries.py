@@ -128,10 +128,10 @@ def confusion_loc(spark, sf_dir):
 
 METRICS = """,
 counts AS (
-  SELECT CAST(count(*) FILTER (flood_event = 1 AND prediction = 1) AS DOUBLE) AS tp,
-         CAST(count(*) FILTER (flood_event = 0 AND prediction = 1) AS DOUBLE) AS fp,
-         CAST(count(*) FILTER (flood_event = 1 AND prediction = 0) AS DOUBLE) AS fn,
-         CAST(count(*) FILTER (flood_event = 0 AND prediction = 0) AS DOUBLE) AS tn
+  SELECT CAST(count(*) FILTER (WHERE flood_event = 1 AND prediction = 1) AS DOUBLE) AS tp,
+         CAST(count(*) FILTER (WHERE flood_event = 0 AND prediction = 1) AS DOUBLE) AS fp,
+         CAST(count(*) FILTER (WHERE flood_event = 1 AND prediction = 0) AS DOUBLE) AS fn,
+         CAST(count(*) FILTER (WHERE flood_event = 0 AND prediction = 0) AS DOUBLE) AS tn
   FROM scored),
 rates AS (
   SELECT *, tp + fp + fn + tn AS n,
@@ -178,10 +178,10 @@ FROM (
            AS p,
          CAST(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS DOUBLE) AS r
   FROM (
-    SELECT threshold, count(*) FILTER (flood_event = 1 AND score >= threshold) AS tp,
-           count(*) FILTER (flood_event = 0 AND score >= threshold) AS fp,
-           count(*) FILTER (flood_event = 1 AND score < threshold) AS fn,
-           count(*) FILTER (flood_event = 0 AND score < threshold) AS tn
+    SELECT threshold, count(*) FILTER (WHERE flood_event = 1 AND score >= threshold) AS tp,
+           count(*) FILTER (WHERE flood_event = 0 AND score >= threshold) AS fp,
+           count(*) FILTER (WHERE flood_event = 1 AND score < threshold) AS fn,
+           count(*) FILTER (WHERE flood_event = 0 AND score < threshold) AS tn
     FROM scored, (VALUES {SWEEP}) t(threshold) GROUP BY threshold))"""
     ),
 )

@@ -112,7 +112,7 @@ def rf_calibrated(spark, sf_dir):
     "rf_dropped",
     i.sql(
         "SELECT count(*) AS n_rows, "
-        "count(*) FILTER (precipitation IS NULL OR isnan(humidity)) AS n_dropped FROM gappy",
+        "count(*) FILTER (WHERE precipitation IS NULL OR isnan(humidity)) AS n_dropped FROM gappy",
         i.OBS,
         i.GAPPY,
     ),

@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from freshet.storage import materialize
 
 ROWS_PER_TASK = 250_000
-# More rows make larger buckets, not more of them: this bounds the cells' table.
-MAX_BUCKETS = 32_768
+# More rows make larger buckets, not more of them: this bounds the cells' table. No more series
+# than this are cut, into at most 8 cells per bucket, and a cell is divided again only if it
+# holds half a bucket's rows.
+MAX_BUCKETS = 65_536
 CELLS_PER_BUCKET = 8
 
 
@@ -34,6 +36,9 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
     name to expression over it; a later dict may use the columns of an earlier one. They all
     share one shuffle and one sort, so ask for everything in one call. ``keys=[]`` treats the
     table as one series.
+
+    Keys and times are counted first, once more for each division: pass a stored table rather
+    than a long computation.
     """
     keys = list(keys)
     cut = _find_cut(df, keys, ts, back, rows_per_task)
@@ -85,7 +90,7 @@ class Cut:
         Rows without a time sort first: they get a cell before the first.
         """
         start = F.expr("_lo + ((_at - _lo) div _width) * _width")
-        placed = df.withColumn("_at", _position(df, self.ts))
+        placed = df.withColumn("_at", _position(df, self.ts, F.col(self.ts)))
         if self.keys:
             placed = placed.join(F.broadcast(self.roots), _same(self.keys), how)
         else:
@@ -127,10 +132,10 @@ class Cut:
 
 def _find_cut(df, keys, ts, back, rows_per_task):
     """The cut, or None where no series is too long for a task."""
+    ends = {"_lo": _position(df, ts, F.min(ts)), "_hi": _position(df, ts, F.max(ts))}
     series = (
-        df.select(*_renamed(keys), _position(df, ts).alias("_at"))
-        .groupBy(*[f"_k{i}" for i in range(len(keys))])
-        .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        df.groupBy(*_renamed(keys))
+        .agg(F.count("*").alias("_n"), *[at.alias(name) for name, at in ends.items()])
         .persist()
     )
     longest, total = series.agg(F.max("_n"), F.sum("_n")).first()
@@ -197,10 +202,9 @@ def _pack(cells, small_keys, target, back):
     )
 
 
-def _position(df, ts) -> Column:
-    """``ts`` as a whole number that keeps its order. NTZ needs no time zone for it."""
+def _position(df, ts, at) -> Column:
+    """A value of ``ts`` as a whole number that keeps its order. NTZ needs no time zone for it."""
     kind = df.schema[ts].dataType
-    at = F.col(ts)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(at)
     if isinstance(kind, T.TimestampNTZType):

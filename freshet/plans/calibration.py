@@ -26,7 +26,10 @@ def fit_calibrator(
     regression = IsotonicRegression(
         featuresCol="score", labelCol="rate", weightCol="weight", predictionCol=out
     )
-    return regression.fit(stage(pooled, "pooled-scores")).setFeaturesCol(score)
+    model = regression.fit(stage(pooled, "pooled-scores"))
+    if model.boundaries.size == 0:
+        raise ValueError("no rows with both a score and a label to calibrate on")
+    return model.setFeaturesCol(score)
 
 
 def apply_calibrator(model: IsotonicRegressionModel, df: DataFrame) -> DataFrame:

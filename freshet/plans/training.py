@@ -155,7 +155,7 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     """Importance per input, largest first; names come from the model's own assembler."""
     assembler, forest = model.stages[-2], model.stages[-1]
     values = forest.featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     pairs = list(zip(assembler.getInputCols(), values))
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"

@@ -87,7 +87,8 @@ def test_empty_denominators_are_zero(spark):
 
 def test_bins(spark):
     rows = [(k / 10, 1) for k in range(11)] + [(0.0999, 0), (0.2999999999999999, 0), (None, 1)]
-    got = {r.probability_bin: r.records for r in evaluation.reliability_table(frame(spark, rows), "score").collect()}
+    made = evaluation.reliability_table(frame(spark, rows), "score").collect()
+    got = {r.probability_bin: r.records for r in made}
     names = [f"{k / 10:.1f}-{(k + 1) / 10:.1f}" for k in range(10)]
     want = dict.fromkeys(names, 1)
     want["0.9-1.0"] += 1

@@ -136,6 +136,11 @@ def test_isotonic_known_values(spark):
     assert got == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0])
 
 
+def test_calibration_needs_rows(spark):
+    with pytest.raises(ValueError):
+        fit_calibrator(spark.createDataFrame([(0.5, None)], "raw_score double, flood_event int"))
+
+
 def test_calibrated_scores_keep_the_order(split, model):
     raw = score_table(model, split[1], SMALL, out="raw_score")
     made = apply_calibrator(fit_calibrator(raw), raw)

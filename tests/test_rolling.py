@@ -21,7 +21,10 @@ from freshet.operators.rolling import (
     row_features,
 )
 
-SCHEMA = "location string, datetime timestamp_ntz, precipitation double, soil_moisture double, pressure double"
+SCHEMA = (
+    "location string, datetime timestamp_ntz, "
+    "precipitation double, soil_moisture double, pressure double"
+)
 START = datetime(2024, 1, 1)
 ALL = FEATURES_48H + RAIN_SHORT
 
