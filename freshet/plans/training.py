@@ -12,7 +12,7 @@ from freshet.functions import add_month_cycle, between_times, complete_cases
 from freshet.operators.rolling import FEATURES_48H, MAIN_FEATURES
 from freshet.operators.stats import apply_weights, class_weights
 from freshet.schemas import MEASURES
-from freshet.storage import materialize
+from freshet.storage import materialize, stage
 
 # The forest's size and seed, and Spark's own default for bins.
 TREES = 100
@@ -111,12 +111,12 @@ def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataF
 def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> PipelineModel:
     """Train on ``train``. Weights and indexes come from these rows alone.
 
-    The rows are read several times, for counts, indexes, bins and the forest: pass a stored
-    table, not a long computation.
+    ``train`` is read three times, for classes, categories and the rows themselves: pass a
+    stored table, not a long computation. The indexer, the bins and the forest then read a
+    stored copy of the inputs alone, dealt out evenly, copies included, over enough partitions.
 
-    The forest passes over its rows once per tree level, so they are first dealt out evenly,
-    copies included, over enough partitions. A forest depends on how its rows are dealt and
-    ordered: with ``partitions`` given, both are fixed and a repeated fit gives the same forest.
+    A forest depends on how its rows are dealt and ordered: with ``partitions`` given, both are
+    fixed and a repeated fit gives the same forest.
     """
     rows = model_rows(train, spec)
     weights = materialize(class_weights(rows, spec.label))
@@ -142,7 +142,7 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
         rows = rows.repartition(_partitions(train.sparkSession, sum(counts.values())))
     else:
         rows = rows.repartition(partitions).sortWithinPartitions(*used)
-    return build_pipeline(spec, max_bins).fit(rows)
+    return build_pipeline(spec, max_bins).fit(stage(rows, "training"))
 
 
 def _partitions(spark, rows: int) -> int:

@@ -83,6 +83,7 @@ def test_feature_sets(split, spec, width):
     made = fit(split[0], small)
     assert len(spec.inputs) == width == made.stages[-1].numFeatures
     assert len(made.stages) == (3 if spec.use_category else 2)
+    assert {r.feature for r in feature_importance(made).collect()} == set(spec.inputs)
     assert score_table(made, split[1], small).count() == split[1].count()
     forest = training.build_pipeline(spec).getStages()[-1]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (100, 10, 42)
