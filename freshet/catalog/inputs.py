@@ -33,6 +33,16 @@ EPISODES = (
 )
 
 
+def _text(value):
+    return "CAST(NULL AS VARCHAR(20))" if value is None else f"'{value}'"
+
+
+EPISODE_VALUES = ", ".join(
+    f"('{name}', DATE '{first}', DATE '{last}', {_text(where)})"
+    for name, first, last, where in EPISODES
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,9 +73,8 @@ def gappy_observations(spark, sf_dir) -> DataFrame:
 
 
 def episodes(spark) -> DataFrame:
-    return spark.createDataFrame(
-        list(EPISODES), "event_id string, start_date string, end_date string, location string"
-    )
+    names = "event_id, start_date, end_date, location"
+    return spark.sql(f"SELECT * FROM VALUES {EPISODE_VALUES} AS episodes({names})")
 
 
 def labeled(spark, sf_dir) -> DataFrame:
@@ -127,15 +136,8 @@ gappy AS (
   FROM obs)"""
 
 
-def _text(value):
-    return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
-
-
-EPISODE_ROWS = """
-episodes(event_id, start_date, end_date, location) AS (
-  VALUES """ + ",\n         ".join(
-    f"('{i}', DATE '{a}', DATE '{b}', {_text(where)})" for i, a, b, where in EPISODES
-) + ")"
+EPISODE_ROWS = f"""
+episodes(event_id, start_date, end_date, location) AS (VALUES {EPISODE_VALUES})"""
 
 
 def _frame(fn, column, rows):
