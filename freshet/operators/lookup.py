@@ -24,17 +24,17 @@ def spread(cols, parts) -> Column:
     return F.pmod(F.pmod(F.xxhash64(*cols), parts) + F.spark_partition_id(), parts)
 
 
+def _bytes(field) -> Column:
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(field.name))) + 16
+    return F.lit(16)
+
+
 def fits_broadcast(df: DataFrame, rows=BROADCAST_ROWS, size=BROADCAST_BYTES) -> bool:
     """Measure ``df``: whether it may be sent whole to every executor."""
-    fixed = sum(
-        16 for f in df.schema if not isinstance(f.dataType, (T.StringType, T.BinaryType))
-    )
-    varying = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
-        for f in df.schema
-        if isinstance(f.dataType, (T.StringType, T.BinaryType))
-    ]
-    width = reduce(lambda a, b: a + b, varying, F.lit(fixed))
+    width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema])
     n, total = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     return n <= rows and total <= size
 

@@ -1,6 +1,7 @@
 """Dimension lookups: broadcast, shuffled, and with hot keys spread over tasks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.operators import lookup as lookups
 from freshet.sources import tag_location
@@ -32,8 +33,10 @@ def test_broadcast(tables):
     assert collected(df) == expected()
 
 
-def test_measure(tables):
+def test_measure(spark, tables):
     _, dim = tables
+    wide = spark.range(10).selectExpr("id", "sequence(0, 999) AS many")
+    assert lookups.fits_broadcast(wide) and not lookups.fits_broadcast(wide, size=10_000)
     assert lookups.fits_broadcast(dim)
     assert not lookups.fits_broadcast(dim, rows=3)
     assert not lookups.fits_broadcast(dim, size=10)
@@ -47,6 +50,12 @@ def test_shuffled(tables, rows_per_task):
     assert collected(made) == expected()
 
 
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    df = spark.range(4000, numPartitions=8).selectExpr("'hot' AS location", "1 AS v")
+    parts = df.select(lookups.spread(df.columns, F.lit(8)).alias("p")).groupBy("p").count()
+    assert parts.agg(F.max("count")).first()[0] <= 500
+
+
 def test_hot_keys_are_found(tables):
     hot = lookups._hot_keys(tables[0], ["location"], 50)
     assert {r[0]: r[1] for r in hot.collect()} == {"hot": 12, None: 6}
