@@ -1,7 +1,11 @@
 """The registered queries of this folder, and their SQL where SQL can say them."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from freshet.llm.langid import identify_language, train_language
+from freshet.llm.packing import pack_documents
 from freshet.llm.simhash import simhash_groups
 from freshet.llm.toxicity import toxicity, train_toxicity
 
@@ -43,3 +47,22 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
     return toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(docs.where(fold(4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    found = identify_language(docs, model)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
