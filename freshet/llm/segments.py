@@ -14,7 +14,7 @@ from freshet.llm.common import Codes, Ragged, slices
 
 CACHE = 400_000  # Segments a task keeps; it then starts over. Bounds memory only.
 # White space as the byte-level pattern takes it.
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_LEVEL = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _MARKED = re.compile("▁+[^▁]*|[^▁]+")
 
