@@ -12,6 +12,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,21 +174,27 @@ def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="
     languages = sorted(name for name, size in sizes.items() if size)
     rates = {name: min(1.0, chars / sizes[name]) for name in languages}
 
-    def count(batches: Iterator[pd.DataFrame]):
-        for frame in batches:
-            keep = frame["draw"] <= frame["lang"].map(rates)
+    def count(batches):
+        for batch in batches:
             words = {}
-            for text, lang in zip(frame["text"][keep], frame["lang"][keep]):
+            for text, lang, draw in zip(*(c.to_pylist() for c in batch.columns)):
+                if draw > rates.get(lang, -1.0):
+                    continue
                 for w in _WORD.findall(text.lower()):
                     words[lang, w] = words.get((lang, w), 0) + 1
-            yield pd.DataFrame(
-                {"lang": [k[0] for k in words], "word": [k[1] for k in words], "n": list(words.values())}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in words], pa.string()),
+                    pa.array([k[1] for k in words], pa.string()),
+                    pa.array(list(words.values()), pa.int64()),
+                ],
+                ["lang", "word", "n"],
             )
 
     least = min(1.0, max(rates.values(), default=0.0))
     found = (
         rows.where(F.col("draw") <= least)
-        .mapInPandas(count, "lang string, word string, n long")
+        .mapInArrow(count, "lang string, word string, n long")
         .groupBy("word", "lang")
         .agg(F.sum("n").alias("n"))
         .toPandas()

@@ -24,6 +24,7 @@ from freshet.storage import stage
 CAPACITY = 1024
 END = 2  # Id put after each document.
 ROUNDS = 400  # Of the least-squares fit.
+SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)  # Of the fitted repeats that are tried.
 RANKED = 100_000  # Pieces of a length that one task ranks, about.
 _SHIFT = 48  # A place's key is its length and, below this many bits, its rank.
 
@@ -179,14 +180,25 @@ def best_fit(lengths, counts, capacity):
 
 
 def patterns_for(histogram: dict, capacity=CAPACITY):
-    """(lengths, repeats) of sequences that hold ``histogram`` (length -> count) exactly."""
+    """(lengths, repeats) of sequences that hold ``histogram`` (length -> count) exactly.
+
+    The fitted repeats are tried whole and in smaller SHARES, the rest of the pieces packed
+    best-fit each time; the plan with the fewest sequences is taken.
+    """
     lengths = sorted(k for k, n in histogram.items() if n)
     if not lengths:
         return []
-    left = np.array([histogram[k] for k in lengths], np.int64)
+    counts = np.array([histogram[k] for k in lengths], np.int64)
     patterns = full_patterns(lengths, capacity)
-    wanted = np.rint(fit_counts(patterns, left.astype(float))).astype(np.int64)
-    plan = []
+    fitted = fit_counts(patterns, counts.astype(float))
+    plans = (_rounded(lengths, counts, patterns, share * fitted, capacity) for share in SHARES)
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _rounded(lengths, counts, patterns, fitted, capacity):
+    """A plan of the rounded repeats, as far as the counts go, and best-fit for what is left."""
+    left, plan = counts.copy(), []
+    wanted = np.rint(fitted).astype(np.int64)
     for k in np.argsort(-wanted, kind="stable"):
         if wanted[k] <= 0:
             break

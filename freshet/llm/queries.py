@@ -4,10 +4,17 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from freshet.llm.chat import format_chat, read_back
 from freshet.llm.langid import identify_language, train_language
 from freshet.llm.packing import pack_documents
+from freshet.llm.rptree import near_vectors
+from freshet.llm.sentencepieces import encode_documents
 from freshet.llm.simhash import simhash_groups
+from freshet.llm.tokencounts import token_counts
+from freshet.llm.topk import integer_vectors, top_products
 from freshet.llm.toxicity import toxicity, train_toxicity
+from freshet.llm.warc import archive_pages, page_number, read_archive
+from freshet.storage import new_path
 
 QUERIES = {}
 ORACLES = {}
@@ -32,6 +39,129 @@ def fold(parts):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+@query(
+    "op1_embedding_near_dup",
+    """
+    WITH RECURSIVE good AS (
+      SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+      ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reached AS (
+      SELECT vec_id, vec_id AS other FROM embeddings
+      UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+    least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+    SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+      component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN least USING (vec_id)
+    """,
+)
+def op1_embedding_near_dup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op2_exact_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank, vec_id, score FROM (
+      SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank
+      FROM s) WHERE rank <= 5
+    """,
+)
+def op2_exact_topk(spark, sf_dir):
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_products(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+_ESCAPED = (
+    "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '[INST]', '[\\INST]'), "
+    "'[/INST]', '[\\/INST]'), '<s>', '<\\s>'), '</s>', '<\\/s>')"
+)
+
+
+@query(
+    "op4_chat_format",
+    f"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+        (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    n AS (SELECT *, row_number() OVER o AS k, lag(r) OVER o AS p
+      FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x))
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY k)) AS turns_sha256,
+      coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(x, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256,
+      (4 + sum(length({_ESCAPED.format("x")}) + CASE WHEN p = r THEN 3
+        ELSE 13 + length({_ESCAPED.format("r")}) + CASE WHEN k > 1 THEN 4 ELSE 0 END END)
+      )::BIGINT AS formatted_chars
+    FROM n GROUP BY conv_id
+    """,
+)
+def op4_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return read_back(format_chat(rows.unionByName(more)))
+
+
+@query(
+    "op6_warc",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END
+        AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op6_warc(spark, sf_dir):
+    index = archive_pages(table(spark, sf_dir, "pages"))
+    return read_archive(index).select(
+        page_number(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark, sf_dir):
+    # A cache of its own, so that the query's work does not depend on what ran before it.
+    return token_counts(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        new_path(spark, "token-counts"),
+    )
+
+
 @query("op8_simhash")
 def op8_simhash(spark, sf_dir):
     groups = simhash_groups(table(spark, sf_dir, "documents"))

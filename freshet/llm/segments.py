@@ -39,8 +39,8 @@ class SegmentEncoder:
     def _clear(self):
         self.table, self.ids = Codes(), Ragged(np.uint32)
 
-    def __call__(self, texts):
-        """For each text, in order, an array of its ids."""
+    def _codes(self, texts):
+        """For each text, in order, the numbers of its segments, all encoded."""
         for a, b in slices(texts):
             if len(self.table) > self.cache:
                 self._clear()
@@ -49,5 +49,12 @@ class SegmentEncoder:
             if self.table.fresh:
                 self.ids.extend(self.encode(self.table.fresh))
                 self.table.fresh.clear()
-            for codes in at:
-                yield self.ids.gather(codes)
+            yield from at
+
+    def __call__(self, texts):
+        """For each text, in order, an array of its ids."""
+        return (self.ids.gather(codes) for codes in self._codes(texts))
+
+    def counts(self, texts):
+        """For each text, in order, how many ids it has."""
+        return (int(self.ids.sizes(codes).sum()) for codes in self._codes(texts))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,24 +212,28 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     )
 
     def count(batches):
-        for frame in batches:
-            seen = [set(_TOKEN.findall(text.lower())) for text in frame["text"]]
-            size = [len(x) for x in seen]
-            both = pd.DataFrame(
-                {
-                    "half": np.repeat(frame["half"].to_numpy(), size),
-                    "token": [t for x in seen for t in x],
-                    "toxic": np.repeat(frame["label"].to_numpy(), size),
-                    "both": 1,
-                }
+        for batch in batches:
+            seen = {}
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
+                for token in set(_TOKEN.findall(text.lower())):
+                    sums = seen.setdefault((half, token), [0, 0])
+                    sums[0] += label
+                    sums[1] += 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([h for h, _ in seen], pa.int32()),
+                    pa.array([t for _, t in seen], pa.string()),
+                    pa.array([s[0] for s in seen.values()], pa.int64()),
+                    pa.array([s[1] for s in seen.values()], pa.int64()),
+                ],
+                ["half", "token", "toxic", "both"],
             )
-            yield both.groupby(["half", "token"], as_index=False).sum()
 
     def part(name, half):
         return F.sum(F.when(F.col("half") == half, F.col(name)).otherwise(0)).alias(f"{name}{half}")
 
     sums = [part(name, half) for name in ("toxic", "both") for half in (0, 1)]
-    counts = texts.mapInPandas(count, "half int, token string, toxic long, both long")
+    counts = texts.mapInArrow(count, "half int, token string, toxic long, both long")
     counts = stage(counts.groupBy("token").agg(*sums), "toxicity-tokens")
     totals = counts.agg(*(F.sum(c).alias(c) for c in counts.columns[1:])).first()
     both = F.col("both0") + F.col("both1")
@@ -253,20 +258,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     crossed = {0: learned((1,)), 1: learned((0,))}
 
     def best(batches):
-        for frame in batches:
-            found = [
-                passages(text, crossed[half]) for text, half in zip(frame["text"], frame["half"])
-            ]
-            yield pd.DataFrame(
-                {
-                    "label": frame["label"],
-                    "n": [n for _, n in found],
-                    "best": [max((p[2] for p in f), default=0.0) for f, _ in found],
-                    "sums": [[p[2] for p in f] for f, _ in found],
-                }
+        for batch in batches:
+            labels, sizes, sums = [], [], []
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
+                found, size = passages(text, crossed[half])
+                labels.append(label)
+                sizes.append(size)
+                sums.append([score for _, _, score, _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(labels, pa.int32()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sums, pa.list_(pa.float64())),
+                ],
+                ["label", "n", "sums"],
             )
 
-    judged = texts.mapInPandas(best, "label int, n long, best double, sums array<double>").toPandas()
+    judged = texts.mapInArrow(best, "label int, n long, sums array<double>").toPandas()
     if not len(judged):
         return plain
     clean = judged[judged["label"] == 0]
