@@ -1,8 +1,9 @@
 """Helpers that several operators of this folder use."""
 
 import numpy as np
+import pyarrow.compute as pc
 
-TEXT_BYTES = 8_000_000  # Python-side working set: texts are handled in slices of about this size.
+TEXT_BYTES = 2_000_000  # Python-side working set: texts are handled in slices of about this size.
 
 
 def free_name(df, base):
@@ -27,6 +28,15 @@ def slices(texts, limit=TEXT_BYTES):
         yield start, len(texts)
 
 
+def text_slices(column, limit=TEXT_BYTES):
+    """(start, texts) of an Arrow string column, in lists of about ``limit`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    edges = (np.flatnonzero(np.diff(ends // limit)) + 1).tolist() if len(column) else []
+    for a, b in zip([0, *edges], [*edges, len(column)]):
+        if b > a:
+            yield a, column.slice(a, b - a).to_pylist()
+
+
 class Codes(dict):
     """Numbers strings in the order they come; ``fresh`` lists those not seen before."""
 

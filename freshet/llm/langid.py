@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import Codes, slices
+from freshet.llm.common import Codes, text_slices
 
 SAMPLE_CHARS = 1_500_000  # Characters to learn from per language, about; documents by hash of id.
 LONGEST_SAMPLE = 200_000  # Texts longer than this many characters are not learned from.
@@ -26,10 +26,10 @@ WORD = 24  # Longer words are cut every so many characters.
 ROUNDS = 4  # Of expectation maximisation.
 POOLED = 200.0  # Occurrences' worth of the pooled distribution in each language's.
 UNSEEN = 1e-7  # Probability of a character that no piece covers.
-CACHE = 400_000  # Words whose scores a task keeps; it then starts over. Bounds memory only.
+CACHE = 250_000  # Words whose scores a task keeps; it then starts over. Bounds memory only.
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
-_STEP = 20_000  # Words scored at a time.
+_STEP = 5_000  # Words scored at a time.
 
 
 def _mixed(codes):
@@ -216,16 +216,15 @@ def language_column(text, model: LanguageModel):
     or has no letter is ``und`` with score 0, as is every text under a model without languages.
     """
 
-    @F.pandas_udf("lang string, score double")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, scores = Codes(), np.zeros((0, len(model.languages)))
-        for batch in batches:
-            texts = batch.tolist()
+        for column in batches:
             names, sure = [], []
-            for a, b in slices(texts):
-                words = [_WORD.findall(t.lower()) if t else [] for t in texts[a:b]]
+            for _, texts in text_slices(column):
                 if len(table) > CACHE:
                     table, scores = Codes(), scores[:0]
+                words = (_WORD.findall(t.lower()) if t else [] for t in texts)
                 at = [np.array(list(map(table.__getitem__, w)), np.int64) for w in words]
                 if table.fresh:
                     scores = np.concatenate(
@@ -241,7 +240,9 @@ def language_column(text, model: LanguageModel):
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"lang": names, "score": sure})
+            yield pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["lang", "score"]
+            )
 
     return judged(text)
 

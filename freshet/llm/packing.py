@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from freshet.llm.common import text_slices
 from freshet.llm.segments import SegmentEncoder, byte_level_segments
 from freshet.storage import stage
 
@@ -80,9 +81,9 @@ def token_pieces(docs: DataFrame, tokenizer, id="doc_id", text="text", capacity=
 
     def encode(batches):
         encoder = text_encoder(tokenizer)
-        for batch in batches:
+        for batch, first, texts in ((b, *part) for b in batches for part in text_slices(b.column(1))):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, body in enumerate(encoder(batch.column(1).to_pylist())):
+            for k, body in enumerate(encoder(texts), first):
                 whole = np.append(body, np.uint32(end)).astype("<u4")
                 for p, (a, size) in enumerate(cuts(len(whole), capacity)):
                     row.append(k)

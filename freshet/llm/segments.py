@@ -12,15 +12,19 @@ import numpy as np
 
 from freshet.llm.common import Codes, Ragged, slices
 
-CACHE = 400_000  # Segments a task keeps; it then starts over. Bounds memory only.
+CACHE = 250_000  # Segments a task keeps; it then starts over. Bounds memory only.
 # White space as the byte-level pattern takes it.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BYTE_LEVEL = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+# Letters of which some are enough; a run of them, if something else of ASCII follows, is a token's border.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_BYTE_LEVEL = re.compile(
+    f"[{_WHITE}]*(?:[{_LETTERS}]++(?=[{_WHITE}!-@\\[-`{{-~]|\\Z)|[^{_WHITE}]+)|[{_WHITE}]+"
+)
 _MARKED = re.compile("▁+[^▁]*|[^▁]+")
 
 
 def byte_level_segments(text):
-    """A text cut before each run of white space that follows something else."""
+    """A text cut before each run of white space, and after letters that other ASCII follows."""
     return _BYTE_LEVEL.findall(text)
 
 

@@ -16,12 +16,13 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from freshet.llm.common import free_name, merge_labels
+from freshet.llm.common import free_name, merge_labels, text_slices
 from freshet.llm.components import components
 from freshet.storage import stage
 
@@ -72,10 +73,10 @@ def fingerprint(text, width=3) -> int:
 def fingerprint_column(text, width=3):
     """Fingerprint of a text column, as a long with the same bits."""
 
-    @F.pandas_udf(T.LongType())
-    def marks(texts: pd.Series) -> pd.Series:
-        unsigned = np.array([fingerprint(t, width) for t in texts], np.uint64)
-        return pd.Series(unsigned.view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def marks(column: pa.Array) -> pa.Array:
+        found = [fingerprint(t, width) for _, texts in text_slices(column) for t in texts]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
 
     return marks(text)
 

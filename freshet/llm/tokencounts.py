@@ -11,6 +11,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.common import text_slices
 from freshet.llm.packing import text_encoder
 from freshet.llm.segments import SegmentEncoder
 from freshet.llm.sentencepieces import digest, reference_encoder
@@ -78,11 +79,12 @@ def token_counts(docs: DataFrame, tokenizer, cache, id="doc_id", text="text", li
     def encode(batches):
         count = _counter(tokenizer)
         for batch in _first_copies(batches):
+            counts = [n for _, texts in text_slices(batch.column(1)) for n in count(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([name] * batch.num_rows, pa.string()),
-                    pa.array(list(count(batch.column(1).to_pylist())), pa.int64()),
+                    pa.array(counts, pa.int64()),
                 ],
                 ["digest", "version", "n_tokens"],
             )

@@ -12,12 +12,12 @@ import re
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freshet.llm.common import text_slices
 from freshet.storage import stage
 
 SAMPLE = 20_000  # Labelled texts to learn from, at most; chosen by a hash of their id.
@@ -29,6 +29,11 @@ LEAST_SCALE = 0.01  # K is not taken below this, however few clean texts were se
 SIGNIFICANT = 0.05  # Passages with E below this are significant.
 _TOKEN = re.compile(r"[^\W\d_]+")
 
+_SPANS = pa.list_(
+    pa.struct(
+        [("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]
+    )
+)
 PASSAGES = "array<struct<start:int,end:int,score:double,evalue:double>>"
 
 
@@ -113,10 +118,10 @@ def toxicity_column(text, model: ToxicityModel):
     and the score of a text without any.
     """
 
-    @F.pandas_udf(f"score double, passages {PASSAGES}")
-    def judged(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(f"score double, passages {PASSAGES}")
+    def judged(column: pa.Array) -> pa.Array:
         scores, spans = [], []
-        for text in texts:
+        for text in (t for _, texts in text_slices(column) for t in texts):
             found, _ = passages(text, model)
             scores.append(float(_sigmoid(model.bias + model.slope * summary(found))))
             spans.append(
@@ -126,7 +131,9 @@ def toxicity_column(text, model: ToxicityModel):
                     if v > -np.log(SIGNIFICANT)
                 ]
             )
-        return pd.DataFrame({"score": scores, "passages": spans})
+        return pa.StructArray.from_arrays(
+            [pa.array(scores, pa.float64()), pa.array(spans, _SPANS)], ["score", "passages"]
+        )
 
     return judged(text)
 
