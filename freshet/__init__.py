@@ -15,6 +15,7 @@ from freshet.operators.evaluation import (
     class_metrics,
     confusion,
     fp_count,
+    left_out,
     reliability_table,
     threshold_sweep,
 )
@@ -26,6 +27,7 @@ from freshet.operators.profile import (
     preview,
     row_count,
     schema_of,
+    schema_table,
 )
 from freshet.operators.rolling import (
     LagSpec,
@@ -56,6 +58,7 @@ from freshet.plans.training import (
 )
 from freshet.sources import (
     load_model,
+    quarantine,
     read_csv,
     read_events,
     read_observations,
@@ -66,6 +69,7 @@ from freshet.sources import (
     write_csv,
     write_table,
 )
+from freshet.storage import scratch
 
 __all__ = [
     "FeatureSpec",
@@ -97,11 +101,13 @@ __all__ = [
     "label_intervals",
     "labeled_features",
     "lag_change",
+    "left_out",
     "load_model",
     "monthly_rate",
     "null_counts",
     "positive_score",
     "preview",
+    "quarantine",
     "read_csv",
     "read_events",
     "read_observations",
@@ -113,6 +119,8 @@ __all__ = [
     "row_features",
     "save_model",
     "schema_of",
+    "schema_table",
+    "scratch",
     "score_table",
     "tag_location",
     "temporal_split",

@@ -6,18 +6,15 @@ from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
 from freshet.functions import false_positives, with_risk_report
 from freshet.operators import evaluation, stats
+from freshet.operators.labeling import label_intervals
+from freshet.operators.rolling import MAIN_FEATURES
 from freshet.operators.topk import top_rows
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
 from freshet.plans.training import location_indexer, temporal_split, with_split
+from freshet.storage import stage
 
 KEY = i.KEY
-AUDITED = (
-    "rainfall_24h",
-    "rainfall_72h",
-    "rainfall_7d",
-    "soil_moisture_avg_24h",
-    "max_rainfall_24h",
-)
+AUDITED = tuple(s.out for s in MAIN_FEATURES)
 AUDIT_PLACES = {c: 6 if "avg" in c else 4 for c in AUDITED}
 AUDIT_ROUNDS = i.rounds(AUDIT_PLACES)
 
@@ -98,7 +95,7 @@ FROM (SELECT location, count(*) AS n FROM obs GROUP BY location)"""
 )
 def location_index(spark, sf_dir):
     obs = i.observations(spark, sf_dir).select("location")
-    indexed = location_indexer().fit(obs).transform(obs)
+    indexed = location_indexer(obs).transform(obs)
     return stats.label_counts(indexed, ("location", "location_index"))
 
 
@@ -156,12 +153,13 @@ SELECT round((tp + tn) / n, 6) AS accuracy,
        round(((tp + fn) * p1 + (tn + fp) * p0) / n, 6) AS weighted_precision,
        round(((tp + fn) * r1 + (tn + fp) * r0) / n, 6) AS weighted_recall,
        round(((tp + fn) * f1 + (tn + fp) * f0) / n, 6) AS weighted_f1,
-       round(p1, 6) AS precision_1, round(r1, 6) AS recall_1, round(f1, 6) AS f1_1
+       round(p1, 6) AS precision_1, round(r1, 6) AS recall_1, round(f1, 6) AS f1_1,
+       (SELECT count(*) FROM scored) - CAST(n AS BIGINT) AS left_out
 FROM f""",
 )
 def class_metrics(spark, sf_dir):
     made = evaluation.class_metrics(i.scored(spark, sf_dir))
-    return i.rounded(made, {c: 6 for c in made.columns})
+    return i.rounded(made, {c: 6 for c in made.columns if c != "left_out"})
 
 
 SWEEP = ", ".join(f"(CAST({t} AS DOUBLE))" for t in evaluation.THRESHOLDS)
@@ -254,10 +252,60 @@ def auc(spark, sf_dir):
     return i.rounded(made, {"roc_auc": 6, "pr_auc": 6})
 
 
-@query("auc_binned")
+# How far areas over about a thousand curve points may lie from the exact ones.
+BINNED_ERROR = 0.01
+
+
+@query("auc_binned", "SELECT true AS roc_auc_close, true AS pr_auc_close")
 def auc_binned(spark, sf_dir):
-    """Over about a thousand curve points, the evaluator's default."""
-    return evaluation.auc(i.scored(spark, sf_dir), "score")
+    """Over about a thousand curve points, the evaluator's default, held against the exact areas."""
+    scored = stage(i.scored(spark, sf_dir).select("score", "flood_event"), "scored")
+    both = [evaluation.auc(scored, "score", exact=exact) for exact in (False, True)]
+    binned, exact = (d.select(*(F.col(c).alias(f"{c}_{k}") for c in d.columns)) for k, d in enumerate(both))
+    areas = ("roc_auc", "pr_auc")
+    return binned.withColumns({f"{a}_1": exact.select(f"{a}_1").scalar() for a in areas}).select(
+        *((F.abs(F.col(f"{a}_0") - F.col(f"{a}_1")) <= BINNED_ERROR).alias(f"{a}_close") for a in areas)
+    )
+
+
+@query(
+    "gappy_evaluation",
+    i.sql(
+        f"""
+SELECT round({ROC}, 6) AS roc_auc, round({PR}, 6) AS pr_auc,
+       (SELECT count(*) FROM scored WHERE score IS NULL) AS left_out,
+       (SELECT count(*) FROM known) AS confusion_rows, (SELECT count(*) FROM known) AS sweep_rows,
+       (SELECT count(*) FROM known) AS bin_rows,
+       (SELECT round(avg(CASE WHEN prediction = flood_event THEN 1.0 ELSE 0.0 END), 6) FROM known)
+         AS accuracy
+FROM curve""",
+        i.OBS,
+        i.GAPPY,
+        i.EPISODE_ROWS,
+        i.LABELED.replace("FROM obs", "FROM gappy").replace("obs.", "gappy."),
+        i.SCORED,
+        "known AS (SELECT * FROM scored WHERE score IS NOT NULL)",
+        CURVE.format(tag="", rows="known"),
+    ),
+)
+def gappy_evaluation(spark, sf_dir):
+    """Where scores are missing, all metrics count the same rows, and say how many they leave out."""
+    rows = i.with_score(label_intervals(i.gappy_observations(spark, sf_dir), i.episodes(spark)))
+    rows = stage(rows.select("location", "flood_event", "score", "prediction"), "gappy-scored")
+    areas = evaluation.auc(rows, "score", exact=True)
+    counted = evaluation.confusion(rows).filter("prediction is not null")
+    sweep = evaluation.threshold_sweep(rows, "score").filter("threshold = 0.5")
+    bins = evaluation.reliability_table(rows, "score")
+    metrics = evaluation.class_metrics(rows)
+    parts = {
+        "left_out": metrics.select("left_out"),
+        "confusion_rows": counted.agg(F.sum("n")),
+        "sweep_rows": sweep.select(F.expr("tp + fp + fn + tn")),
+        "bin_rows": bins.agg(F.sum("records")),
+        "accuracy": metrics.select("accuracy"),
+    }
+    made = areas.withColumns({name: part.scalar() for name, part in parts.items()})
+    return i.rounded(made, {c: 6 for c in ("roc_auc", "pr_auc", "accuracy")})
 
 
 @query(
@@ -290,20 +338,16 @@ def fp_audit(spark, sf_dir):
     "top_rain_negatives",
     i.on_labeled_features(
         f"SELECT location, datetime, {AUDIT_ROUNDS} FROM labeled WHERE flood_event = 0 "
-        "ORDER BY round(labeled.rainfall_72h, 4) DESC, location, datetime LIMIT 30"
+        "ORDER BY labeled.rainfall_72h DESC, location, datetime LIMIT 30"
     ),
 )
 def top_rain_negatives(spark, sf_dir):
-    rows = i.labeled_features(spark, sf_dir)
-    rows = i.rounded(
-        rows.select("location", "datetime", *AUDITED, "flood_event"), AUDIT_PLACES
-    )
-    top = top_rows(
-        rows, [F.desc("rainfall_72h"), *KEY], 30, where=F.col("flood_event") == 0
-    )
-    return top.drop("flood_event")
+    rows = i.labeled_features(spark, sf_dir).filter("flood_event = 0")
+    rows = rows.select("location", "datetime", *AUDITED)
+    return i.rounded(top_rows(rows, [F.desc("rainfall_72h"), *KEY], 30), AUDIT_PLACES)
 
 
+# The columns of the site report, in its order.
 SITE = (
     "datetime",
     "score",

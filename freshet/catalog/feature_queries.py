@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
-from freshet.functions import add_month_cycle, complete_cases
+from freshet.functions import add_month_cycle, between_times, complete_cases
 from freshet.operators import profile, stats
 from freshet.operators.labeling import label_intervals
 from freshet.operators.rolling import (
@@ -16,6 +16,7 @@ from freshet.operators.rolling import (
     RAIN_7D,
     RAIN_SHORT,
     SOIL_24,
+    RollingSpec,
     lag_change,
     rolling,
 )
@@ -75,6 +76,52 @@ def rolling_gaps(spark, sf_dir):
     return _rolled(i.gappy_observations(spark, sf_dir), MAIN_FEATURES)
 
 
+TYPED_ROWS = (24, 48, 72, 168)
+# The sum of a bigint column over 168 rows must keep all its digits.
+BIG = 9_007_199_254_740_993
+
+
+def _typed_frame(column, rows):
+    return (
+        f"sum({column}) OVER (PARTITION BY location ORDER BY datetime "
+        f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+    )
+
+
+@query(
+    "rolling_types",
+    i.sql(
+        "SELECT location, datetime, "
+        + ", ".join(
+            f"CAST({_typed_frame('big', n)} AS BIGINT) AS big_{n}, "
+            f"CAST(CAST({_typed_frame('dec', n)} AS DECIMAL(22, 2)) AS VARCHAR) AS dec_{n}"
+            for n in TYPED_ROWS
+        )
+        + " FROM typed",
+        f"""
+typed AS (
+  SELECT event_type AS location, ts AS datetime,
+         CAST(CASE WHEN event_id % 7 <> 0 THEN {BIG} + event_id END AS BIGINT) AS big,
+         CAST(event_id % 997 AS DECIMAL(12, 2)) + CAST(0.25 AS DECIMAL(12, 2)) AS dec
+  FROM events)""",
+    ),
+)
+def rolling_types(spark, sf_dir):
+    """Sums of whole numbers and decimals, short and long ones together: exact, of their own type."""
+    big = F.when(F.col("event_id") % 7 != 0, F.lit(BIG) + F.col("event_id"))
+    dec = (F.col("event_id") % 997).cast("decimal(11,2)") + F.lit(0.25).cast("decimal(11,2)")
+    rows = i.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("location"),
+        F.col("ts").alias("datetime"),
+        big.cast("bigint").alias("big"),
+        dec.cast("decimal(12,2)").alias("dec"),
+    )
+    specs = [RollingSpec(c, "sum", n, f"{c}_{n}") for n in TYPED_ROWS for c in ("big", "dec")]
+    made = rolling(rows, specs)
+    texts = {f"dec_{n}": F.col(f"dec_{n}").cast("string") for n in TYPED_ROWS}
+    return made.withColumns(texts).select("location", "datetime", *[s.out for s in specs])
+
+
 SINGLE_ORDER = "ORDER BY datetime ROWS BETWEEN"
 
 
@@ -222,22 +269,22 @@ def positives_by_day(spark, sf_dir):
     return stats.label_counts(rows, (F.to_date("datetime").alias("date"),)).orderBy("date")
 
 
-def _class_query(name, cols, fns, by="flood_event", where=None):
+def _class_query(name, cols, fns, by="flood_event", where=None, training=False):
     aggregates = {"avg": "avg", "max": "max", "stddev": "stddev_samp"}
     parts = [f"round({aggregates[f]}({c}), 6) AS {c}_{f}" for f in fns for c in cols]
     condition = f" WHERE {where}" if where else ""
     text = f"SELECT {by}, {', '.join(parts)} FROM labeled{condition} GROUP BY {by}"
 
-    @query(name, i.on_labeled_features(text))
+    @query(name, (i.on_training_features if training else i.on_labeled_features)(text))
     def run(spark, sf_dir):
-        rows = i.explored(spark, sf_dir)
+        rows = (i.explored_training if training else i.explored)(spark, sf_dir)
         rows = rows.filter(where) if where else rows
         made = stats.class_stats(rows, cols, (by,), fns)
         return i.rounded(made, {f"{c}_{f}": 6 for f in fns for c in cols}).orderBy(by)
 
 
-_class_query("class_means", (*SHORT, *RAINS, "rainfall_48h", "pressure", *DROPS), ("avg",))
-_class_query("class_stddev", ("precipitation", *MAIN), ("stddev",))
+_class_query("class_means", (*SHORT, *RAINS, "rainfall_48h", "pressure", *DROPS), ("avg",), training=True)
+_class_query("class_stddev", ("precipitation", *MAIN), ("stddev",), training=True)
 _class_query("class_avg_max", MAIN, ("avg", "max"))
 _class_query("loc_avg_max", MAIN, ("avg", "max"), by="location", where="flood_event = 1")
 
@@ -253,9 +300,9 @@ def _correlation_query(name, nulls):
         for c in CORRELATED
     ]
 
-    @query(name, i.on_labeled_features("\nUNION ALL ".join(parts)))
+    @query(name, i.on_training_features("\nUNION ALL ".join(parts)))
     def run(spark, sf_dir):
-        made = stats.label_correlation(i.explored(spark, sf_dir), CORRELATED, nulls=nulls)
+        made = stats.label_correlation(i.explored_training(spark, sf_dir), CORRELATED, nulls=nulls)
         return i.rounded(made, {"correlation": 6})
 
 
@@ -278,10 +325,11 @@ SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS total_records,
        CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS flood_records,
        round(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE)
              / CAST(count(*) AS DOUBLE), 6) AS flood_rate
-FROM orders GROUP BY 1""",
+FROM orders WHERE o_orderdate < DATE '2000-01-01' GROUP BY 1""",
 )
 def monthly_rate(spark, sf_dir):
-    made = stats.monthly_rate(_orders(spark, sf_dir))
+    """Of the years before the last two, which are held out."""
+    made = stats.monthly_rate(between_times(_orders(spark, sf_dir), "datetime", end="2000-01-01"))
     return i.rounded(made, {"flood_rate": 6}).orderBy("month")
 
 
@@ -305,6 +353,21 @@ def seasonal_cycle(spark, sf_dir):
     )
 
 
+@query(
+    "schema_listing",
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({k}, '{name}', '{kind}')"
+        for k, (name, kind) in enumerate(
+            [("location", "string"), ("datetime", "timestamp_ntz"), *((m, "double") for m in MEASURES)]
+        )
+    )
+    + ") t(position, column_name, type)",
+)
+def schema_listing(spark, sf_dir):
+    return profile.schema_table(i.observations(spark, sf_dir))
+
+
 @query("row_count", "SELECT count(*) AS n_rows FROM events")
 def row_count(spark, sf_dir):
     return profile.row_count(i.observations(spark, sf_dir))

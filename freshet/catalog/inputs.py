@@ -7,6 +7,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import between_times
 from freshet.operators.labeling import label_intervals
 from freshet.operators.rolling import (
     FEATURES_48H,
@@ -83,7 +84,8 @@ def labeled(spark, sf_dir) -> DataFrame:
 
 def with_score(df: DataFrame) -> DataFrame:
     """A deterministic score and prediction, so that evaluation can be checked without a model."""
-    score = F.least(F.col("precipitation") / 100.0, F.lit(1.0))
+    rain = F.col("precipitation")
+    score = F.when(rain.isNotNull(), F.least(rain / 100.0, F.lit(1.0)))
     return df.withColumn("score", score).withColumn(
         "prediction", (F.col("score") >= 0.5).cast("double")
     )
@@ -108,6 +110,12 @@ def explored(spark, sf_dir) -> DataFrame:
     )
 
 
+def explored_training(spark, sf_dir) -> DataFrame:
+    """The same of the training period alone, cut off before any window looks at it."""
+    obs = between_times(observations(spark, sf_dir), "datetime", end=TRAIN_END)
+    return plan.labeled_features(obs, episodes(spark), ALL_SPECS, PRESSURE_LAGS)
+
+
 def rounded(df: DataFrame, places: dict) -> DataFrame:
     """Round to the places at which two engines' sums in different order agree."""
     return df.withColumns({c: F.round(c, p) for c, p in places.items()})
@@ -174,12 +182,16 @@ labeled AS (
   SELECT *, CAST(datetime AS DATE) AS date, {FLAG.format(rows="features")} AS flood_event
   FROM features)"""
 
-SCORED = """
+SCORED_ROWS = """
 scored AS (
-  SELECT *, CAST(CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END AS DOUBLE)
-           AS prediction
-  FROM (SELECT *, least(precipitation / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) AS score
-        FROM labeled))"""
+  SELECT *, CAST(CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 WHEN score IS NOT NULL THEN 0 END
+             AS DOUBLE) AS prediction
+  FROM (SELECT *, CASE WHEN precipitation IS NOT NULL THEN
+               least(precipitation / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) END AS score
+        FROM {rows}))"""
+
+
+SCORED = SCORED_ROWS.format(rows="labeled")
 
 
 def sql(body, *ctes):
@@ -202,6 +214,11 @@ def on_labeled_features(body):
     return sql(body, OBS, EPISODE_ROWS, FEATURES, LABELED_FEATURES)
 
 
+def on_training_features(body):
+    early = OBS.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{TRAIN_END} 00:00:00')")
+    return sql(body, early, EPISODE_ROWS, FEATURES, LABELED_FEATURES)
+
+
 def on_scored(body, *more):
     return sql(body, OBS, EPISODE_ROWS, LABELED, SCORED, *more)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
+from freshet.operators.rolling import RAIN_24, rolling
 from freshet.schemas import HOURLY_FIELDS, MEASURES
 from freshet.sources import (
     read_csv,
@@ -83,7 +84,46 @@ def dim_tag(spark, sf_dir):
 def csv_scan(spark, sf_dir):
     path = new_path(spark, "observations-csv")
     write_csv(i.observations(spark, sf_dir), path)
-    return read_observations(spark, path).select("location", "datetime", *MEASURES)
+    rows, _ = read_observations(spark, path)
+    return rows.select("location", "datetime", *MEASURES)
+
+
+@query(
+    "csv_quarantine",
+    i.sql(
+        """
+SELECT location, 'kept' AS reason, count(*) AS n, round(sum(rainfall_24h), 3) AS rain
+FROM (SELECT *, sum(precipitation) OVER (PARTITION BY location ORDER BY datetime
+                ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rainfall_24h
+      FROM obs WHERE pressure NOT IN (1011, 1012, 1013)) GROUP BY 1
+UNION ALL
+SELECT location, CASE WHEN pressure = 1013 THEN 'missing' ELSE 'unreadable' END, count(*), NULL
+FROM obs WHERE pressure IN (1011, 1012, 1013) GROUP BY 1, 2""",
+        i.OBS,
+    ),
+)
+def csv_quarantine(spark, sf_dir):
+    """Lines with a bad time, a bad number and no time: set aside, and no window sees them."""
+    obs = i.observations(spark, sf_dir)
+    stamp = F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    damaged = {
+        "datetime": F.when(F.col("pressure") == 1011, "not-a-time")
+        .when(F.col("pressure") == 1013, F.lit(None))
+        .otherwise(stamp),
+        "precipitation": F.when(F.col("pressure") == 1012, "much").otherwise(
+            F.col("precipitation").cast("string")
+        ),
+    }
+    path = new_path(spark, "damaged-csv")
+    write_csv(obs.withColumns(damaged), path)
+    rows, bad = read_observations(spark, path)
+    kept = rolling(rows, (RAIN_24,)).groupBy("location").agg(
+        F.lit("kept").alias("reason"),
+        F.count("*").alias("n"),
+        F.round(F.sum("rainfall_24h"), 3).alias("rain"),
+    )
+    counted = bad.groupBy("location", "reason").agg(F.count("*").alias("n"))
+    return kept.unionByName(counted.withColumn("rain", F.lit(None).cast("double")))
 
 
 @query(

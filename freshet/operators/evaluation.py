@@ -13,7 +13,7 @@ CURVE_BINS = 1000
 
 
 def confusion(df: DataFrame, label="flood_event", prediction="prediction", by=()) -> DataFrame:
-    """Rows per label and prediction, optionally per further columns."""
+    """Rows per label and prediction, optionally per further columns; all rows, as they are."""
     return df.groupBy(*by, label, prediction).agg(F.count("*").alias("n"))
 
 
@@ -23,9 +23,9 @@ def fp_count(df: DataFrame, by="location") -> DataFrame:
 
 
 def reliability_table(df: DataFrame, score: str, label="flood_event", bins=10) -> DataFrame:
-    """Per score bin: rows, mean score, observed rate. Rows without a score are left out."""
+    """Per score bin: rows, mean score, observed rate, of the rows that count (``left_out``)."""
     return (
-        df.filter(F.col(score).isNotNull())
+        df.filter(_known(label, score))
         .groupBy(score_bin(F.col(score), bins).alias("probability_bin"))
         .agg(
             F.count("*").alias("records"),
@@ -40,8 +40,26 @@ def squared_error(score: str, label: str):
 
 
 def brier(df: DataFrame, score: str, label="flood_event") -> DataFrame:
-    """Mean squared error of the score."""
-    return df.agg(F.avg(squared_error(score, label)).alias("brier_score"))
+    """Mean squared error of the score, over the rows that count (``left_out``)."""
+    return df.filter(_known(label, score)).agg(F.avg(squared_error(score, label)).alias("brier_score"))
+
+
+def _known(label, value):
+    """Whether a row counts: its label is 0 or 1, and its score or prediction is a number."""
+    number = F.col(value).cast("double")
+    whole = number.isNotNull() & ~F.isnan(number)
+    return F.coalesce(F.col(label).isin(0, 1), F.lit(False)) & whole
+
+
+def left_out(df: DataFrame, value: str, label="flood_event") -> DataFrame:
+    """One row: how many rows there are, and how many no metric of ``value`` counts.
+
+    ``value`` is a score or a prediction. Those left out have a label other than 0 or 1, or no
+    number in ``value``.
+    """
+    return df.agg(
+        F.count("*").alias("n_rows"), F.count_if(~_known(label, value)).alias("left_out")
+    )
 
 
 def _ratio(top, bottom):
@@ -55,8 +73,11 @@ def _f1(precision, recall):
 def threshold_sweep(
     df: DataFrame, score: str, label="flood_event", thresholds=THRESHOLDS
 ) -> DataFrame:
-    """Confusion counts, precision, recall and F1 at ``score >= threshold``, in one pass."""
-    known = F.col(score).isNotNull()
+    """Confusion counts, precision, recall and F1 at ``score >= threshold``, in one pass.
+
+    Over the rows that count (``left_out``).
+    """
+    df = df.filter(_known(label, score))
     is_pos, is_neg = F.col(label) == 1, F.col(label) == 0
     hits = []
     for i, t in enumerate(thresholds):
@@ -65,7 +86,7 @@ def threshold_sweep(
             F.count_if(is_pos & above).alias(f"tp{i}"),
             F.count_if(is_neg & above).alias(f"fp{i}"),
         ]
-    totals = [F.count_if(is_pos & known).alias("pos"), F.count_if(is_neg & known).alias("neg")]
+    totals = [F.count_if(is_pos).alias("pos"), F.count_if(is_neg).alias("neg")]
     points = F.array(
         *[
             F.struct(
@@ -91,14 +112,16 @@ def threshold_sweep(
 def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -> DataFrame:
     """One row: accuracy, class-weighted and class-1 precision, recall and F1.
 
-    All come from the four confusion counts, so the scored rows are read once.
+    All come from the four confusion counts, so the scored rows are read once. ``left_out`` rows
+    have a label or prediction other than 0 and 1 and are in none of the four.
     """
     pairs = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
     counts = df.agg(
         *[
             F.count_if((F.col(label) == y) & (F.col(prediction) == p)).alias(name)
             for name, (y, p) in pairs.items()
-        ]
+        ],
+        F.count("*").alias("rows"),
     )
     tp, fp, fn, tn = (F.col(c) for c in pairs)
     n = tp + fp + fn + tn
@@ -119,12 +142,13 @@ def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -
         precision.alias("precision_1"),
         recall.alias("recall_1"),
         _f1(precision, recall).alias("f1_1"),
+        (F.col("rows") - n).alias("left_out"),
     )
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Rows per distinct score and label, stored: all that a curve needs of ``df``."""
-    counts = df.groupBy(
+    """Rows that count per distinct score and label, stored: all that a curve needs of ``df``."""
+    counts = df.filter(_known(label, score)).groupBy(
         F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")
     ).agg(F.count("*").cast("double").alias("weight"))
     return stage(counts, "score-counts")
@@ -147,7 +171,12 @@ def area_under(counts: DataFrame, metric: str, exact=False) -> float:
 
 
 def auc(df: DataFrame, score: str, label="flood_event", exact=False) -> DataFrame:
-    """One row: both areas. ``df`` is read once."""
+    """One row: both areas, over the rows that count (``left_out``). ``df`` is read once.
+
+    Both are null where no row counts.
+    """
     counts = score_counts(df, score, label)
+    if counts.isEmpty():
+        return df.sparkSession.createDataFrame([(None, None)], "roc_auc double, pr_auc double")
     areas = [area_under(counts, m, exact) for m in ("areaUnderROC", "areaUnderPR")]
     return df.sparkSession.createDataFrame([areas], "roc_auc double, pr_auc double")

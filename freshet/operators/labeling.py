@@ -23,9 +23,9 @@ def label_intervals(
     repeat a row. Both ends count. Intervals that end before they start, or lack a bound, cover
     nothing, and a null key matches nothing. ``keys=[]`` lets an event cover every series.
 
-    The days are broadcast only where their number, bounded from the intervals alone, allows
-    it. Otherwise they are first cut to the observed dates and, if still too many, joined by
-    shuffle, hot days spread over tasks.
+    The days are broadcast only where their number, bounded from the intervals alone, and then
+    their measured bytes allow it. Otherwise they are first cut to the observed dates and, if
+    still too large, joined by shuffle, hot days spread over tasks.
     """
     keys = list(keys)
     spans = events.select(
@@ -34,8 +34,8 @@ def label_intervals(
     rows = obs.withColumn("date", F.to_date(ts))
 
     bound = spans.agg(F.sum(F.datediff("_to", "_from") + 1)).first()[0] or 0
-    small = bound <= broadcast_rows
-    if not small:
+    few = bound <= broadcast_rows
+    if not few:
         first, last = rows.agg(F.min("date"), F.max("date")).first()
         spans = spans.select(
             *keys,
@@ -48,7 +48,7 @@ def label_intervals(
         .distinct()
         .withColumn("_covered", F.lit(1))
     )
-    small = small or fits_broadcast(days, broadcast_rows)
+    small = fits_broadcast(days, broadcast_rows)
     marked = lookup(rows, days, keys + ["date"], small, rows_per_task)
     names = [c for c in obs.columns if c not in ("date", out)]
     return marked.select(*names, "date", F.coalesce("_covered", F.lit(0)).alias(out))

@@ -20,6 +20,12 @@ def schema_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema]
 
 
+def schema_table(df: DataFrame) -> DataFrame:
+    """Position, name and type of each column, as rows."""
+    rows = [(k, name, kind) for k, (name, kind) in enumerate(schema_of(df))]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string")
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Nulls per column, as rows, from one pass over the table."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -72,6 +72,7 @@ def row_features(
     ``keys=[]`` is the single-series form.
     """
     levels = _levels(specs)
+    summed = {s.col: df.select(F.sum(s.col)).schema[0].dataType for s in specs if s.fn == "sum"}
 
     def columns(window):
         plain = {
@@ -81,7 +82,7 @@ def row_features(
         for lag in lags:
             plain[lag.change] = F.col(lag.col) - F.lag(lag.col, lag.rows).over(window)
         built = [
-            {s.out: _from_blocks(s, block, window) for s, block in level.items()}
+            {s.out: _from_blocks(s, block, window, summed[s.col]) for s, block in level.items()}
             for level in levels[1:]
         ]
         drops = {lag.drop: -F.col(lag.change) for lag in lags}
@@ -111,12 +112,13 @@ def _levels(specs):
     return [{s: block[s] for s in specs if level[s] == n} for n in range(depth + 1)]
 
 
-def _from_blocks(spec, block, window):
+def _from_blocks(spec, block, window, kind):
+    """The sum from shorter ones, of the type that the plain sum has."""
     parts = [F.col(block.out)] + [
         F.lag(block.out, back).over(window) for back in range(block.rows, spec.rows, block.rows)
     ]
-    total = reduce(add, [F.coalesce(p, F.lit(0.0)) for p in parts])
-    return F.when(F.coalesce(*parts).isNotNull(), total)
+    total = reduce(add, [F.coalesce(p, F.lit(0).cast(kind)) for p in parts])
+    return F.when(F.coalesce(*parts).isNotNull(), total.cast(kind))
 
 
 def rolling(df: DataFrame, specs=MAIN_FEATURES, keys=("location",), ts="datetime", **options):

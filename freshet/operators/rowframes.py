@@ -27,6 +27,7 @@ ROWS_PER_TASK = 250_000
 # holds half a bucket's rows.
 MAX_BUCKETS = 65_536
 CELLS_PER_BUCKET = 8
+TURNS = 1 << 32
 
 
 def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PER_TASK):
@@ -37,16 +38,16 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
     share one shuffle and one sort, so ask for everything in one call. ``keys=[]`` treats the
     table as one series.
 
-    Keys and times are counted first, once more for each division: pass a stored table rather
-    than a long computation.
+    Keys and times are counted first, once more for each division; rows of one key and time are
+    ordered by their content. Pass a stored table rather than a long computation.
     """
     keys = list(keys)
     cut = _find_cut(df, keys, ts, back, rows_per_task)
     if cut is None:
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts)
-        return _with_all(df, columns(window))
+        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts, "_turn")
+        return _with_all(df.withColumn("_turn", _turn(df)), columns(window)).drop("_turn")
 
-    mine = _same(keys) & (F.col("_cell") == F.col("_start")) & (F.col("_tie") == F.col("_turn"))
+    mine = _same(keys) & (F.col("_cell") == F.col("_start")) & (F.col("_tie") == F.col("_part"))
     unplaced = F.raise_error(F.lit("the rows changed while their windows were planned"))
     buckets = F.when(F.col("_cell").isNull(), F.array(F.lit(0))).otherwise(
         F.coalesce(F.col("_buckets"), unplaced)
@@ -56,10 +57,16 @@ def over_rows(df: DataFrame, keys, ts, back: int, columns, rows_per_task=ROWS_PE
         .join(F.broadcast(cut.buckets), mine, "left")
         .select(*df.columns, "_tie", F.posexplode(buckets).alias("_copy", "_bucket"))
     )
-    order = [ts, "_tie"] if cut.ties is not None else [ts]
-    window = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    copied = copied.withColumn("_turn", _turn(df))
+    window = Window.partitionBy(*keys, "_bucket").orderBy(ts, "_turn")
     computed = _with_all(copied, columns(window))
-    return computed.filter(F.col("_copy") == 0).drop("_tie", "_copy", "_bucket")
+    return computed.filter(F.col("_copy") == 0).drop("_tie", "_turn", "_copy", "_bucket")
+
+
+def _turn(df):
+    """Order of rows of one time: by their content, on every path; equal rows are alike anyway."""
+    columns = [name for name, kind in df.dtypes if "map<" not in kind]
+    return F.pmod(F.xxhash64(*columns), F.lit(TURNS))
 
 
 def _with_all(df, stages):
@@ -107,11 +114,12 @@ class Cut:
             placed = placed.drop("_start", "_lo", "_width", *self.small_keys)
         if self.ties is None:
             return placed.withColumn("_tie", F.lit(0).cast("long"))
-        turn = F.pmod(F.xxhash64(*df.columns), F.col("_parts"))
+        turn = F.expr(f"_turn * _parts div {TURNS}")
+        placed = placed.withColumn("_turn", _turn(df))
         placed = self._inside(placed, self.ties).withColumn(
             "_tie", F.coalesce(turn, F.lit(0).cast("long"))
         )
-        return placed.drop("_start", "_parts", *self.small_keys)
+        return placed.drop("_start", "_parts", "_turn", *self.small_keys)
 
     def _inside(self, placed, table):
         inside = _same(self.keys) & (F.col("_cell") == F.col("_start"))
@@ -143,7 +151,9 @@ def _find_cut(df, keys, ts, back, rows_per_task):
     per_cell = max(1, target // CELLS_PER_BUCKET)
     cut = None
     if longest and longest > target:
-        long = series.filter((F.col("_n") > target) & F.col("_lo").isNotNull())
+        # A series without any time is a single cell, before the first; its ties divide it.
+        none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("_lo", "_hi")}
+        long = series.filter(F.col("_n") > target).withColumns(none)
         cut = Cut(keys, ts, materialize(_division(long, per_cell).drop("_start")))
     series.unpersist()
     if cut is None or cut.roots.isEmpty():
@@ -156,8 +166,8 @@ def _find_cut(df, keys, ts, back, rows_per_task):
         cells = cut.count(df)
     tied = cells.filter(full)
     if not tied.isEmpty():
-        # Rows of one time have no order of their own; any that stays the same will do. Rows
-        # equal in every column are told apart by nothing and stay together.
+        # Rows of one time are divided along the order that their windows use. Rows equal in
+        # every column are told apart by nothing and stay together.
         parts = F.ceil(F.col("_n") / F.lit(per_cell)).cast("long").alias("_parts")
         cut.ties = tied.select(*cut.small_keys, F.col("_cell").alias("_start"), parts)
         cells = cut.count(df)
@@ -197,7 +207,7 @@ def _pack(cells, small_keys, target, back):
     return numbered.select(
         *small_keys,
         F.col("_cell").alias("_start"),
-        F.col("_tie").alias("_turn"),
+        F.col("_tie").alias("_part"),
         F.array_compact(F.array("_bucket", *wanted)).alias("_buckets"),
     )
 

@@ -17,9 +17,13 @@ def label_counts(df: DataFrame, by=("flood_event",)) -> DataFrame:
     return df.groupBy(*_columns(by)).agg(F.count("*").alias("n"))
 
 
-def class_weights(train: DataFrame, label="flood_event") -> DataFrame:
-    """Per class: its count and the balanced weight N / (K * count)."""
-    counts = train.groupBy(label).agg(F.count("*").alias("n"))
+def class_weights(train: DataFrame, label="flood_event", n=None) -> DataFrame:
+    """Per class: its count and the balanced weight N / (K * count).
+
+    ``n`` names a column of counts, where a row stands for several.
+    """
+    rows = F.count("*") if n is None else F.sum(n)
+    counts = train.groupBy(label).agg(rows.alias("n"))
     # One row per class here, so a single partition is right.
     everything = Window.partitionBy(F.lit(0))
     total, classes = F.sum("n").over(everything), F.count("*").over(everything)

@@ -4,7 +4,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.evaluation import area_under, score_counts, squared_error
+from freshet.operators.evaluation import _known, area_under, score_counts, squared_error
 from freshet.storage import stage
 
 CALIBRATED = "calibrated_probability"
@@ -38,8 +38,14 @@ def apply_calibrator(model: IsotonicRegressionModel, df: DataFrame) -> DataFrame
 
 
 def compare_scores(df: DataFrame, scores, label="flood_event", exact=False) -> DataFrame:
-    """Brier score and area under the precision-recall curve, one row per score column."""
-    errors = df.agg(*[F.avg(squared_error(s, label)).alias(s) for s in scores])
+    """Brier score and area under the precision-recall curve, one row per score column.
+
+    Each over the rows that count for its score. ``df`` is stored: it is read once per score.
+    """
+    df = stage(df.select(*scores, label), "compared-scores")
+    errors = df.agg(
+        *[F.avg(F.when(_known(label, s), squared_error(s, label))).alias(s) for s in scores]
+    )
     briers = errors.unpivot([], list(scores), "score", "brier_score")
     areas = {s: area_under(score_counts(df, s, label), "areaUnderPR", exact) for s in scores}
     pick = F.coalesce(*[F.when(F.col("score") == s, F.lit(a)) for s, a in areas.items()])

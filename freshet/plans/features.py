@@ -14,5 +14,8 @@ def labeled_features(
     keys=("location",),
     ts="datetime",
 ) -> DataFrame:
-    """Rolling and lagged features and interval labels of one observation table."""
-    return label_intervals(row_features(obs, specs, lags, keys, ts), events, keys, ts)
+    """Interval labels and rolling and lagged features of one observation table.
+
+    Labels first: what the label join looks at is then a plain scan, not the windows' result.
+    """
+    return row_features(label_intervals(obs, events, keys, ts), specs, lags, keys, ts)

@@ -4,7 +4,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +12,24 @@ from freshet.functions import add_month_cycle, between_times, complete_cases
 from freshet.operators.rolling import FEATURES_48H, MAIN_FEATURES
 from freshet.operators.stats import apply_weights, class_weights
 from freshet.schemas import MEASURES
-from freshet.storage import materialize, stage
+from freshet.storage import stage
 
 # The forest's size and seed, and Spark's own default for bins.
 TREES = 100
 DEPTH = 10
 SEED = 42
-MIN_BINS = 32
-# A categorical feature costs one bin per value in every node's statistics.
-MAX_CATEGORIES = 10_000
+MAX_BINS = 32
 ROWS_PER_TASK = 1_000_000
-MAX_PARTITIONS = 32_768
 
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """What a model is trained on."""
+    """What a model is trained on.
+
+    ``max_bins`` is a parameter of the model, the same for any data: numeric inputs are split at
+    so many places, and the category has so many indexes, one of which stands for all values
+    beyond the most frequent.
+    """
 
     numeric: tuple = MEASURES + tuple(s.out for s in MAIN_FEATURES)
     category: str = "location"
@@ -39,6 +41,7 @@ class FeatureSpec:
     trees: int = TREES
     depth: int = DEPTH
     seed: int = SEED
+    max_bins: int = MAX_BINS
 
     @property
     def index(self):
@@ -80,25 +83,32 @@ def with_split(df: DataFrame, ts: str, cuts, names, out="split") -> DataFrame:
     return df.withColumn(out, part.otherwise(names[-1]))
 
 
-def location_indexer(column="location") -> StringIndexer:
-    """Index by falling frequency, ties by name; unseen and null values share one more index."""
-    return StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep")
+def location_indexer(df: DataFrame, column="location", values=MAX_BINS - 1, n=None):
+    """Index by falling frequency, ties by name, of the ``values`` most frequent values of ``df``.
+
+    All others, null and unseen ones share one more index. Spark counts the values and the
+    driver gets no more than ``values`` of them. ``n`` names a column of counts.
+    """
+    rows = F.count("*") if n is None else F.sum(n)
+    most = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows.alias("rows_of_value"))
+    labels = [r[0] for r in most.orderBy(F.desc("rows_of_value"), column).limit(values).collect()]
+    return StringIndexerModel.from_labels(labels, column, f"{column}_index", handleInvalid="keep")
 
 
-def build_pipeline(spec: FeatureSpec = MAIN, max_bins: int = MIN_BINS) -> Pipeline:
+def build_pipeline(spec: FeatureSpec = MAIN, *before) -> Pipeline:
+    """The assembler and forest of ``spec``, after the stages ``before``."""
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=spec.label,
         numTrees=spec.trees,
         maxDepth=spec.depth,
-        maxBins=max_bins,
+        maxBins=spec.max_bins,
         seed=spec.seed,
     )
     if spec.weighted:
         forest.setWeightCol("class_weight")
-    stages = [location_indexer(spec.category)] if spec.use_category else []
-    stages += [VectorAssembler(inputCols=list(spec.inputs), outputCol="features"), forest]
-    return Pipeline(stages=stages)
+    assembler = VectorAssembler(inputCols=list(spec.inputs), outputCol="features")
+    return Pipeline(stages=[*before, assembler, forest])
 
 
 def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataFrame:
@@ -111,44 +121,39 @@ def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataF
 def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> PipelineModel:
     """Train on ``train``. Weights and indexes come from these rows alone.
 
-    ``train`` is read three times, for classes, categories and the rows themselves: pass a
-    stored table, not a long computation. The indexer, the bins and the forest then read a
-    stored copy of the inputs alone, dealt out evenly, copies included, over enough partitions.
+    ``train`` is read twice, for the counts of classes and categories and for the inputs, which
+    are stored: pass a stored table, not a long computation. The forest reads the stored inputs,
+    dealt out evenly, copies included, over enough partitions.
 
-    A forest depends on how its rows are dealt and ordered: with ``partitions`` given, both are
-    fixed and a repeated fit gives the same forest.
+    A forest depends on how its rows are dealt and ordered: with ``partitions`` given, both
+    follow from the rows' content, and a fit gives the same forest on any cluster.
     """
     rows = model_rows(train, spec)
-    weights = materialize(class_weights(rows, spec.label))
-    counts = {r[0]: r[1] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
+    by = [spec.label, *([spec.category] if spec.use_category else [])]
+    groups = stage(rows.groupBy(*by).agg(F.count("*").alias("n")), "class-counts")
+    weights = class_weights(groups, spec.label, "n")
+    counts = {r[0]: r["n"] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
     if spec.weighted and set(counts) != {0, 1}:
         raise ValueError(f"training rows hold only the classes {sorted(counts)}")
-    max_bins = MIN_BINS
+    before = []
     if spec.use_category:
-        values = rows.select(spec.category).distinct().count()
-        if values > MAX_CATEGORIES:
-            raise ValueError(
-                f"{values} values of {spec.category} are too many for a categorical feature; "
-                "train with use_category=False"
-            )
-        max_bins = max(MIN_BINS, values + 1)
+        before = [location_indexer(groups, spec.category, spec.max_bins - 1, "n")]
     if spec.weighted:
         rows = apply_weights(rows, weights, spec.label)
     used = [*spec.numeric, *spec.cycle, spec.label]
     used += ["class_weight"] if spec.weighted else []
     used += [spec.category] if spec.use_category else []
-    rows = rows.select(*used)
+    rows = stage(rows.select(*used), "training")
     if partitions is None:
         rows = rows.repartition(_partitions(train.sparkSession, sum(counts.values())))
     else:
-        rows = rows.repartition(partitions).sortWithinPartitions(*used)
-    return build_pipeline(spec, max_bins).fit(stage(rows, "training"))
+        rows = rows.repartition(partitions, F.xxhash64(*used)).sortWithinPartitions(*used)
+    return build_pipeline(spec, *before).fit(rows)
 
 
 def _partitions(spark, rows: int) -> int:
-    """Every core busy, no partition over a task's worth of rows while there are few enough."""
-    wanted = min(-(-rows // ROWS_PER_TASK), MAX_PARTITIONS)
-    return max(wanted, spark.sparkContext.defaultParallelism)
+    """Every core busy, no partition over a task's worth of rows."""
+    return max(-(-rows // ROWS_PER_TASK), spark.sparkContext.defaultParallelism)
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The columns of the observation table.
 MEASURES = (
     "temperature",
     "humidity",
@@ -28,6 +29,7 @@ LOCATIONS = T.StructType(
     ]
 )
 
+# The columns of the event table.
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.StringType()),

@@ -1,6 +1,7 @@
 from freshet.sources.models import load_model, save_model
 from freshet.sources.observations import tag_location, unpack_hourly
 from freshet.sources.tables import (
+    quarantine,
     read_csv,
     read_events,
     read_observations,
@@ -11,6 +12,7 @@ from freshet.sources.tables import (
 
 __all__ = [
     "load_model",
+    "quarantine",
     "read_csv",
     "read_events",
     "read_observations",

@@ -1,6 +1,7 @@
 """CSV and Parquet tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.schemas import EVENTS, OBSERVATIONS
@@ -25,9 +26,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_observations(spark: SparkSession, path: str, schema=OBSERVATIONS) -> DataFrame:
-    """Scan observation CSV files, with a location column or, by ``schema``, without one."""
-    return read_csv(spark, path, schema)
+def quarantine(rows: DataFrame, required=()):
+    """Split the rows of ``read_csv`` into good ones and a quarantine table with a ``reason``.
+
+    ``unreadable``: the line does not fit the schema; ``missing``: a ``required`` column is null.
+    """
+    # The scan parses only columns that are asked for, and finds only their damage. The second
+    # condition never holds, but asks for all of them.
+    every = F.xxhash64(*(c for c in rows.columns if c != CORRUPT)) % 2 == 2
+    reason = F.when(F.col(CORRUPT).isNotNull() | every, "unreadable")
+    for column in required:
+        reason = reason.when(F.col(column).isNull(), "missing")
+    judged = rows.withColumn("reason", reason)
+    good = judged.filter(F.col("reason").isNull()).drop("reason", CORRUPT)
+    return good, judged.filter(F.col("reason").isNotNull())
+
+
+def read_observations(spark: SparkSession, path: str, schema=OBSERVATIONS, ts="datetime"):
+    """Scan observation CSV files, with a location column or, by ``schema``, without one.
+
+    Returns the good rows and a quarantine table: a line that does not fit the schema, or has
+    no time, has no place in a window.
+    """
+    return quarantine(read_csv(spark, path, schema), [ts])
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -2,31 +2,55 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope = ContextVar("stored tables of the scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read.
 
-    Taken from the session. Only a local session that names none gets a temporary folder;
-    on a cluster a missing setting is an error, since a machine-local folder would be lost
-    with its machine.
+    Taken from the session's setting, or from the folder its context was given. Only a local
+    session that names none gets a temporary folder; on a cluster a missing setting is an error,
+    since a machine-local folder would be lost with its machine. A ``file:`` path is taken as
+    named: on a cluster it must be a file system mounted everywhere.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
     return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path not used before, under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scope.get() is not None:
+        _scope.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end of the block, the tables and files that were stored inside it.
+
+    Results that read them must be written elsewhere, or collected, before the block ends.
+    """
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        paths = _scope.get()
+        _scope.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -127,3 +127,25 @@ def test_top_rows_overall(spark):
 def test_fp_count_order(spark):
     df = spark.createDataFrame([("b",), ("b",), ("c",), ("a",)], "location string")
     assert [tuple(r) for r in evaluation.fp_count(df).collect()] == [("b", 2), ("a", 1), ("c", 1)]
+
+
+def test_one_rule_for_missing_scores_and_labels(spark):
+    rows = [(0.9, 1), (0.2, 0), (0.7, 0), (0.4, 1), (None, 1), (0.5, None), (0.8, 2), (float("nan"), 0)]
+    df = frame(spark, rows)
+    clean = frame(spark, rows[:4])
+    assert tuple(evaluation.left_out(df, "score").first()) == (8, 4)
+    assert evaluation.auc(df, "score", exact=True).first() == evaluation.auc(clean, "score", exact=True).first()
+    assert evaluation.brier(df, "score").first() == evaluation.brier(clean, "score").first()
+    by = "threshold"
+    assert evaluation.threshold_sweep(df, "score").orderBy(by).collect() == (
+        evaluation.threshold_sweep(clean, "score").orderBy(by).collect()
+    )
+    by = "probability_bin"
+    assert evaluation.reliability_table(df, "score").orderBy(by).collect() == (
+        evaluation.reliability_table(clean, "score").orderBy(by).collect()
+    )
+    nothing = df.filter("score is null")
+    assert tuple(evaluation.auc(nothing, "score").first()) == (None, None)
+    metrics = evaluation.class_metrics(df).first()
+    # A prediction counts where it is 0 or 1 and the label is too.
+    assert metrics.left_out == df.filter("prediction is null or flood_event is null or flood_event = 2").count()

@@ -151,3 +151,13 @@ def test_archive_monthly_rate(archive):
     got = {r.month: (r.flood_records, r.total_records) for r in rows if r.flood_records}
     assert got == {5: (816, 22_320), 6: (792, 21_600), 7: (168, 22_320), 8: (168, 22_320)}
     assert len(rows) == 12
+
+
+def test_wide_days_are_not_broadcast(spark):
+    keys = spark.range(500).select(F.concat(F.lit("k"), "id", F.repeat(F.lit("x"), 200_000)).alias("location"))
+    events = keys.select(
+        "location", F.lit("2024-01-01").alias("start_date"), F.lit("2024-01-03").alias("end_date")
+    )
+    obs = keys.limit(5).withColumn("datetime", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    plan = label_intervals(obs, events)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan

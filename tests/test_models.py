@@ -1,5 +1,7 @@
 """Forests and calibration: properties that hold whatever the trees are."""
 
+import subprocess
+import sys
 from dataclasses import replace
 
 import pytest
@@ -112,17 +114,48 @@ def test_one_class_is_refused(split):
 
 
 def test_indexer(spark):
-    train = spark.createDataFrame([("b",), ("b",), ("c",), ("a",)], "location string")
-    model = location_indexer().fit(train)
+    train = spark.createDataFrame([("b",), ("b",), ("c",), ("a",), (None,)], "location string")
+    model = location_indexer(train)
     other = spark.createDataFrame([("a",), ("b",), ("c",), ("new",), (None,)], "location string")
     got = {r.location: r.location_index for r in model.transform(other).collect()}
     assert got == {"b": 0.0, "a": 1.0, "c": 2.0, "new": 3.0, None: 3.0}
 
 
-def test_many_locations_get_bins(spark, split):
+def test_bins_do_not_follow_the_number_of_locations(spark, split):
     many = split[0].withColumn("location", F.concat("location", (F.xxhash64("datetime") % 40).cast("string")))
+    assert many.select("location").distinct().count() > 100
     made = fit(many, replace(SMALL, trees=1, depth=2))
-    assert made.stages[-1].getMaxBins() > 32
+    assert made.stages[-1].getMaxBins() == 32 and len(made.stages[0].labels) == 31
+    assert score_table(made, many, SMALL).agg(F.max("location_index")).first()[0] == 31
+
+
+FOREST = """
+import sys
+from dataclasses import replace
+from pyspark.sql import functions as F
+from tests.oracle import session
+from freshet.catalog import inputs as i
+from freshet.operators.rolling import FEATURES_48H
+from freshet.plans import training
+from freshet.plans.scoring import score_table
+from freshet.storage import stage
+spark = session(int(sys.argv[1]), int(sys.argv[1]))
+rows = stage(i.labeled_features(spark, sys.argv[2], FEATURES_48H), "rows")
+train, test = training.temporal_split(rows, "datetime", (i.TRAIN_END,))
+spec = replace(training.MAIN, trees=8, depth=4)
+scored = score_table(training.fit(train, spec, partitions=4), test, spec)
+print("SUM", scored.agg(F.sum(F.xxhash64("location", "datetime", "flood_probability") % 1000000)).first()[0])
+"""
+
+
+def test_same_forest_on_any_number_of_cores(small_dir):
+    sums = set()
+    for cores in ("2", "4"):
+        run = subprocess.run(
+            [sys.executable, "-c", FOREST, cores, small_dir], capture_output=True, text=True, timeout=300
+        )
+        sums.add(next(x for x in run.stdout.splitlines() if x.startswith("SUM")))
+    assert len(sums) == 1
 
 
 def test_isotonic_known_values(spark):

@@ -142,7 +142,7 @@ def largest_bucket(obs, limit, back=167):
     mine = (
         placed.location.eqNullSafe(cells._k0)
         & (placed._cell == cells._start)
-        & (placed._tie == cells._turn)
+        & (placed._tie == cells._part)
     )
     sizes = (
         placed.join(cells, mine)
@@ -240,3 +240,35 @@ def test_any_series(spark, points, rows_per_task):
         series(spark, points), specs, PRESSURE_LAGS[:1], rows_per_task=rows_per_task
     )
     check(made, by_hand(points, specs, PRESSURE_LAGS[:1]))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "decimal(10,2)", "float", "double"])
+def test_sums_keep_their_type_and_digits(spark, kind):
+    big = 9_007_199_254_740_993 if kind == "bigint" else 12_345
+    df = spark.range(400).select(
+        F.lit("a").alias("location"),
+        F.col("id").alias("datetime"),
+        F.when(F.col("id") % 9 != 0, F.col("id") + big).cast(kind).alias("precipitation"),
+    )
+    specs = [RollingSpec("precipitation", "sum", n, f"s{n}") for n in (24, 48, 72, 168)]
+    together = rolling(df, specs)
+    for s in specs:
+        alone = rolling(df, [s])
+        assert alone.schema[s.out].dataType == together.schema[s.out].dataType
+        assert sorted(map(tuple, alone.select("datetime", s.out).collect())) == sorted(
+            map(tuple, together.select("datetime", s.out).collect())
+        )
+
+
+def test_a_series_without_times_is_divided(spark):
+    df = spark.range(2000).select(
+        F.lit("a").alias("location"),
+        F.lit(None).cast("bigint").alias("datetime"),
+        F.col("id").cast("double").alias("precipitation"),
+    )
+    spec = RollingSpec("precipitation", "sum", 3, "s")
+    cut = rowframes._find_cut(df, ["location"], "datetime", 2, 100)
+    assert cut is not None and cut.buckets.count() > 10
+    got = rolling(df, [spec], rows_per_task=100).select("precipitation", "s").collect()
+    want = rolling(df, [spec]).select("precipitation", "s").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -6,6 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.operators.rolling import RAIN_24, rolling
 from freshet.schemas import HOURLY_FIELDS, SINGLE_SITE_OBSERVATIONS
 from freshet.sources import (
     read_events,
@@ -15,7 +16,7 @@ from freshet.sources import (
     write_csv,
     write_table,
 )
-from freshet.storage import new_path, shared_dir
+from freshet.storage import new_path, scratch, shared_dir, stage
 
 
 def document(times, **changed):
@@ -96,10 +97,24 @@ def test_observations(spark, folder):
         header + "a,2020-01-01T00:00,15.5,80,0.0,1010.1,3.2,0.3\na,2020-01-01T01:00,,81,,1010,3,0.31\n"
         "a,2020-01-01T02:00,warm,80,0.0,1010.1,3.2,0.3\n",
     )
-    rows = read_observations(spark, path).orderBy("datetime").collect()
+    good, bad = read_observations(spark, path)
+    rows = good.orderBy("datetime").collect()
     assert rows[0].datetime == datetime(2020, 1, 1) and rows[0].humidity == 80.0
     assert rows[1].temperature is None and rows[1].precipitation is None
-    assert rows[2].temperature is None and "warm" in rows[2]["_corrupt_record"]
+    assert len(rows) == 2 and "_corrupt_record" not in good.columns
+    assert [(r.reason, "warm" in r["_corrupt_record"]) for r in bad.collect()] == [("unreadable", True)]
+
+
+def test_rows_without_a_time_reach_no_window(spark, folder):
+    header = "location,datetime,temperature,humidity,precipitation,pressure,wind_speed,soil_moisture\n"
+    path = folder(
+        "times.csv",
+        header + "a,not-a-time,15,80,100.0,1010,3,0.3\na,,15,80,50.0,1010,3,0.3\n"
+        "a,2020-01-01T00:00,15,80,1.0,1010,3,0.3\n",
+    )
+    good, bad = read_observations(spark, path)
+    assert sorted(r.reason for r in bad.collect()) == ["missing", "unreadable"]
+    assert [r.rainfall_24h for r in rolling(good, (RAIN_24,)).collect()] == [1.0]
 
 
 def test_single_site(spark, folder):
@@ -108,7 +123,7 @@ def test_single_site(spark, folder):
         "datetime,temperature,humidity,precipitation,pressure,wind_speed,soil_moisture\n"
         "2020-01-01T00:00,15.5,80,0.0,1010.1,3.2,0.3\n",
     )
-    rows = read_observations(spark, path, SINGLE_SITE_OBSERVATIONS).collect()
+    rows = read_observations(spark, path, SINGLE_SITE_OBSERVATIONS)[0].collect()
     assert rows[0].soil_moisture == 0.3 and "location" not in rows[0]
 
 
@@ -162,3 +177,17 @@ def test_shared_dir(spark):
     assert shared_dir(local) == shared_dir(local)
     with pytest.raises(RuntimeError):
         shared_dir(FakeSession("yarn"))
+    given = FakeSession("yarn")
+    given.setCheckpointDir("/shared/given")
+    assert shared_dir(given) == "/shared/given"
+
+
+def test_scratch_deletes_what_it_stored(spark):
+    with scratch(spark):
+        kept = stage(spark.range(5), "inside")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    outside = stage(spark.range(5), "outside")
+    assert outside.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
