@@ -1,5 +1,7 @@
 """Helpers that several operators of this folder use."""
 
+from itertools import chain
+
 import numpy as np
 import pyarrow.compute as pc
 
@@ -66,7 +68,7 @@ class Ragged:
             grown[:used] = self.flat[:used]
             self.flat = grown
         if need > used:
-            self.flat[used:need] = np.concatenate([np.asarray(r, self.flat.dtype) for r in rows])
+            self.flat[used:need] = np.fromiter(chain.from_iterable(rows), self.flat.dtype, need - used)
         self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
 
     def sizes(self, at):

@@ -10,16 +10,17 @@ import json
 import os
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from freshet.llm.common import text_slices
-from freshet.llm.segments import SegmentEncoder, byte_level_segments
+from freshet.llm.segments import SegmentEncoder, byte_level_segments, is_word
 from freshet.storage import stage
 
 CAPACITY = 1024
@@ -30,35 +31,77 @@ RANKED = 100_000  # Pieces of a length that one task ranks, about.
 _SHIFT = 48  # A place's key is its length and, below this many bits, its rank.
 
 
-def load_tokenizer(path):
-    """The tokenizer and whether it encodes white-space segments by themselves."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    made = Tokenizer.from_file(path)
-    said = json.loads(made.to_str())
-    before = said.get("pre_tokenizer") or {}
+def _byte_characters():
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is
+    printable, else the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {byte: byte if byte in own else next(others) for byte in range(256)}
+
+
+_BYTES = _byte_characters()
+
+
+def _merger(said):
+    """The BPE model alone, if the tokenizer merges white-space segments by themselves, else None."""
+    before, model = said.get("pre_tokenizer") or {}, said["model"]
     apart = (
         said.get("normalizer") is None
         and before.get("type") == "ByteLevel"
         and not before.get("add_prefix_space", True)
         and before.get("use_regex", True)
+        and model["type"] == "BPE"
+        and not any(
+            model.get(k)
+            for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        )
         and not any(
             t.get("lstrip") or t.get("rstrip") or t.get("normalized") or any(map(str.isspace, t["content"]))
             for t in said.get("added_tokens", [])
         )
     )
-    return made, apart
+    if not apart:
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return models.BPE(vocab=model["vocab"], merges=merges)
+
+
+@lru_cache(maxsize=2)
+def _loaded(path, changed):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    made = Tokenizer.from_file(path)
+    return made, _merger(json.loads(made.to_str()))
+
+
+def load_tokenizer(path):
+    """The tokenizer, and its model alone where segments can be encoded by themselves.
+
+    Kept by the worker process, so that only its first task reads the file.
+    """
+    return _loaded(path, os.stat(path).st_mtime_ns)
 
 
 def text_encoder(path):
     """A function from a list of texts to their arrays of ids, without added special tokens."""
-    made, apart = load_tokenizer(path)
+    made, merger = load_tokenizer(path)
 
     def encode(texts):
         return [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
 
-    if apart:
-        return SegmentEncoder(byte_level_segments, encode)
-    return lambda texts: (np.array(ids, np.uint32) for ids in encode([t or "" for t in texts]))
+    if merger is None:
+        return lambda texts: (np.array(ids, np.uint32) for ids in encode([t or "" for t in texts]))
+    merge = merger.tokenize
+
+    def segments(some):
+        words = [is_word(s) for s in some]
+        others = iter(encode([s for s, word in zip(some, words) if not word]))
+        # A word is one piece for the model: it needs none of the steps before.
+        return [
+            [t.id for t in merge(s.encode().decode("latin-1").translate(_BYTES))] if word else next(others)
+            for s, word in zip(some, words)
+        ]
+
+    return SegmentEncoder(byte_level_segments, segments)
 
 
 def cuts(n, capacity):

@@ -23,6 +23,14 @@ _BYTE_LEVEL = re.compile(
 _MARKED = re.compile("▁+[^▁]*|[^▁]+")
 
 
+_WORD = re.compile(f" ?[{_LETTERS}]+\\Z")
+
+
+def is_word(segment):
+    """Whether a byte-level tokenizer takes a segment as one piece to merge: letters, maybe a space before."""
+    return _WORD.match(segment) is not None
+
+
 def byte_level_segments(text):
     """A text cut before each run of white space, and after letters that other ASCII follows."""
     return _BYTE_LEVEL.findall(text)
@@ -49,7 +57,8 @@ class SegmentEncoder:
             if len(self.table) > self.cache:
                 self._clear()
             look = self.table.__getitem__
-            at = [np.array(list(map(look, self.cut(t))) if t else [], np.int64) for t in texts[a:b]]
+            cuts = (self.cut(t) if t else [] for t in texts[a:b])
+            at = [np.fromiter(map(look, c), np.int64, len(c)) for c in cuts]
             if self.table.fresh:
                 self.ids.extend(self.encode(self.table.fresh))
                 self.table.fresh.clear()
