@@ -1,10 +1,10 @@
 """Toxic passages: maximal scoring segments over token log-odds, judged by extreme values.
 
-Training, from labelled texts: a token's score is the log-odds of toxic against clean texts under
-a Dirichlet prior (Monroe et al. 2008), drawn towards zero by its standard error (and to zero where
-that leaves no certain difference), less a constant drift, so that clean text scores below zero on average. A linear scan (Ruzzo and Tompa 1999)
-finds every maximal scoring segment. A segment of score s in n tokens has
-E = K n exp(-lambda s) rivals by chance (Karlin and Altschul 1990); lambda and K come from clean
+Training, from labelled texts: a token's score, a word's or a stem's, is the log-odds of toxic
+against clean texts under a Dirichlet prior (Monroe et al. 2008), less its standard error; tokens without a clear surplus
+have none. A constant drift is taken from all, so that clean text scores below zero on average.
+A linear scan (Ruzzo and Tompa 1999) finds every maximal scoring segment. A segment of score s in
+n tokens has E = K n exp(-lambda s) rivals by chance (Karlin and Altschul 1990); lambda and K come from clean
 training texts. A text's score is a logistic function of its passages' evidence, -log E.
 """
 
@@ -21,9 +21,13 @@ from freshet.llm.common import text_slices
 from freshet.storage import stage
 
 SAMPLE = 20_000  # Labelled texts to learn from, at most; chosen by a hash of their id.
-VOCABULARY = 100_000  # Tokens that may carry a score; the most frequent of the sample.
+VOCABULARY = 100_000  # Tokens and stems that may carry a score; those most toxic texts hold.
+STEMS = (3, 4, 5, 6)  # Letters; a word that has no score takes that of its longest known stem.
+CACHE = 250_000  # Words whose scores a task keeps; it then starts over. Bounds memory only.
 PRIOR = 2000.0  # Tokens' worth of the Dirichlet prior, dealt by overall frequency.
+LEAST_PRIOR = 0.5  # Of each token besides.
 ERRORS = 3.0  # Standard errors from zero that a token's log-odds must lie to count.
+LEAST_ODDS = 1.0  # Least log-odds, after that, of a token that counts; a weaker one is no sign.
 DRIFT = 0.05  # Taken from each token's score.
 LEAST_SCALE = 0.01  # K is not taken below this, however few clean texts were seen.
 SIGNIFICANT = 0.05  # Passages with E below this are significant.
@@ -53,6 +57,26 @@ class ToxicityModel:
         return self.rate * score - np.log(self.scale * max(n, 1))
 
 
+def token_keys(token):
+    """What a token is scored by, most specific first: itself, then its stems."""
+    return [token, *(f"{token[:k]}*" for k in reversed(STEMS) if len(token) > k)]
+
+
+class Scores(dict):
+    """Score of each token, None where neither it nor a stem has one; remembered for a while."""
+
+    def __init__(self, weights):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token):
+        if len(self) >= CACHE:
+            self.clear()
+        known = (w for k in token_keys(token) if (w := self.weights.get(k)) is not None)
+        score = self[token] = next(known, None)
+        return score
+
+
 def segments(scores):
     """All maximal scoring segments of a list of (start, end, score) runs, as such triples.
 
@@ -78,11 +102,11 @@ def segments(scores):
     return [(s, e, r - l) for s, e, l, r, _ in kept]
 
 
-def passages(text, model: ToxicityModel):
-    """(start, end, score, evidence) of each maximal segment of a whole text, in characters."""
+def passages(text, model: ToxicityModel, scores: Scores):
+    """(start, end, score, evidence) of each maximal segment of a whole text, in characters, and
+    its number of tokens. ``scores`` is of the model's weights."""
     tokens = _TOKEN.findall(text.lower()) if text else []
-    get = model.weights.get
-    marked = [(k, w) for k, t in enumerate(tokens) if (w := get(t)) is not None]
+    marked = [(k, w) for k, w in enumerate(map(scores.__getitem__, tokens)) if w is not None]
     if not any(w > 0 for _, w in marked):
         return [], len(tokens)
     runs, last = [], 0
@@ -118,11 +142,13 @@ def toxicity_column(text, model: ToxicityModel):
     and the score of a text without any.
     """
 
+    known = Scores(model.weights)
+
     @F.arrow_udf(f"score double, passages {PASSAGES}")
     def judged(column: pa.Array) -> pa.Array:
         scores, spans = [], []
         for text in (t for _, texts in text_slices(column) for t in texts):
-            found, _ = passages(text, model)
+            found, _ = passages(text, model, known)
             scores.append(float(_sigmoid(model.bias + model.slope * summary(found))))
             spans.append(
                 [
@@ -139,13 +165,13 @@ def toxicity_column(text, model: ToxicityModel):
 
 
 def _weights(counts, totals):
-    """Token scores from rows (token, toxic, all)."""
+    """Scores of the tokens and stems that are surely signs, from rows (token, toxic, both)."""
     toxic = np.array([r["toxic"] for r in counts], float)
     both = np.array([r["both"] for r in counts], float)
     n_toxic, n_both = float(totals["toxic"] or 0), float(totals["both"] or 0)
     if not len(both) or not n_toxic or n_toxic == n_both:
         return {}
-    prior = PRIOR * both / n_both
+    prior = LEAST_PRIOR + PRIOR * both / n_both
     clean, n_clean = both - toxic, n_both - n_toxic
     a, b = toxic + prior, clean + prior
     odds = np.log(a / np.maximum(n_toxic + PRIOR - a, 1e-9)) - np.log(
@@ -155,7 +181,7 @@ def _weights(counts, totals):
     drawn = np.sign(odds) * (np.abs(odds) - error)
     return {
         r["token"]: float(w) - DRIFT
-        for r, w, sure in zip(counts, drawn, np.abs(odds) > ERRORS * error)
+        for r, w, sure in zip(counts, drawn, (odds > ERRORS * error) & (drawn > LEAST_ODDS))
         if sure
     }
 
@@ -198,7 +224,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     Labels that are null or of another value, and rows with a null id, are left out; of repeated
     labels of an id the larger counts. At most ``sample`` labelled texts are used, the ids with
     the least hash; they are whole texts. Token counts are summed by Spark; the driver gets at
-    most ``vocabulary`` of them and three numbers per text of the sample.
+    most ``vocabulary`` of them, and the label, length and segment scores of each sampled text.
     """
     chosen = (
         labels.where("doc_id is not null and toxic in (0, 1)")
@@ -222,7 +248,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
         for batch in batches:
             seen = {}
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
-                for token in set(_TOKEN.findall(text.lower())):
+                for token in {k for t in set(_TOKEN.findall(text.lower())) for k in token_keys(t)}:
                     sums = seen.setdefault((half, token), [0, 0])
                     sums[0] += label
                     sums[1] += 1
@@ -243,8 +269,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     counts = texts.mapInArrow(count, "half int, token string, toxic long, both long")
     counts = stage(counts.groupBy("token").agg(*sums), "toxicity-tokens")
     totals = counts.agg(*(F.sum(c).alias(c) for c in counts.columns[1:])).first()
-    both = F.col("both0") + F.col("both1")
-    rows = counts.where(both > 1).orderBy(both.desc(), "token").limit(vocabulary).collect()
+    toxic, both = F.col("toxic0") + F.col("toxic1"), F.col("both0") + F.col("both1")
+    # Only what toxic texts hold more often than others can be a sign of one.
+    shown = (totals["toxic0"] or 0) + (totals["toxic1"] or 0)
+    base = shown / max(1, (totals["both0"] or 0) + (totals["both1"] or 0))
+    signs = counts.where((toxic > 1) & (toxic > base * both))
+    rows = signs.orderBy(toxic.desc(), "token").limit(vocabulary).collect()
 
     def learned(halves):
         def total(row, name):
@@ -265,10 +295,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     crossed = {0: learned((1,)), 1: learned((0,))}
 
     def best(batches):
+        scores = {half: Scores(made.weights) for half, made in crossed.items()}
         for batch in batches:
             labels, sizes, sums = [], [], []
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
-                found, size = passages(text, crossed[half])
+                found, size = passages(text, crossed[half], scores[half])
                 labels.append(label)
                 sizes.append(size)
                 sums.append([score for _, _, score, _ in found])
@@ -285,8 +316,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample=SAMPLE, vocabulary
     if not len(judged):
         return plain
     clean = judged[judged["label"] == 0]
-    # Moment estimate of K: exp(lambda s) over the segments of clean texts, to their tokens.
-    hits = sum(sum(np.exp(plain.rate * s) for s in sums if s < 50) for sums in clean["sums"])
+    # K from how many segments of clean texts, to their tokens, reach their median score.
+    found = np.array([s for sums in clean["sums"] for s in sums])
+    middle = float(np.median(found)) if len(found) else 0.0
+    hits = (found >= middle).sum() * np.exp(min(plain.rate * middle, 50.0))
     scale = max(LEAST_SCALE, float(hits / max(1.0, clean["n"].sum())))
     model = replace(plain, scale=scale)
     x = np.array(
