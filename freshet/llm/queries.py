@@ -43,10 +43,10 @@ def fold(parts):
     "op1_embedding_near_dup",
     """
     WITH RECURSIVE good AS (
-      SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+      SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
       WHERE label IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
-        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     links AS (
       SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
       ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
@@ -68,9 +68,9 @@ def op1_embedding_near_dup(spark, sf_dir):
     "op2_exact_topk",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
       WHERE len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
     s AS (
       SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
       FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
