@@ -6,6 +6,7 @@ exactly, and counted in the first leaf they share, so no pair has to be kept to
 """
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,51 +20,61 @@ from freshet.storage import stage
 TREES = 6
 LEAF = 512  # Vectors a leaf should hold.
 BLOCK = 2048  # A leaf over this size is cut, and compared part against part in several tasks.
-SAMPLE = 40_000  # Vectors that the splits of one round are fitted on, at most.
+SAMPLE = 2048  # Vectors of a leaf that its splits of one round are fitted on, about.
 LEAST = 32  # Sampled vectors a node must have to be split.
 REACH = 0.7  # Vectors as near a split as this many times the spread of a link's projection go to both sides.
 WIDEST = 0.8  # A split whose larger side keeps more than this share of its node is not made.
-ROUNDS = 6  # Of fitting; leaves still large after these are compared in parts.
+ROUNDS = 16  # Of fitting, each of which cuts large leaves to a sixtieth or so; more are never needed.
 SEED = 7
+FAMILIES = 512  # Sequences of directions; a leaf's name chooses its own.
 _PAIRS = 200_000  # Found pairs whose shared leaves are looked up at a time.
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Splits by node number, the root 1, its sides 2n and 2n + 1: (threshold, margin)."""
+    """Thresholds of the splits by node number, the root 1, its sides 2n and 2n + 1."""
 
     seed: int
+    margin: float
     splits: dict
 
 
-def _direction(seed, node, size):
-    axis = np.random.default_rng([SEED, seed, node]).standard_normal(size)
+def _margin(threshold, size):
+    """Half the width of a split's overlap: it follows from how far apart vectors at the
+    ``threshold`` cosine lie."""
+    return REACH * np.sqrt(max(0.0, 2 - 2 * threshold) / size)
+
+
+@lru_cache(maxsize=8192)
+def _direction(seed, level, size):
+    axis = np.random.default_rng([SEED, seed, level]).standard_normal(size)
     return axis / np.linalg.norm(axis)
 
 
-def _sides(tree, node, x):
-    """Whether each vector goes to the lower and to the upper side of a split node."""
-    threshold, margin = tree.splits[node]
-    at = x @ _direction(tree.seed, node, x.shape[1])
-    return at <= threshold + margin, at >= threshold - margin
+def _projected(tree, node, x):
+    return x @ _direction(tree.seed, node.bit_length(), x.shape[1])
+
+
+def _sides(tree, node, at):
+    """Whether each vector, projected to ``at``, goes to the lower and to the upper side of a split node."""
+    threshold = tree.splits[node]
+    return at <= threshold + tree.margin, at >= threshold - tree.margin
 
 
 def grow(x, seed, leaf, threshold, least=LEAST):
     """A tree whose leaves hold ``leaf`` of the sampled vectors ``x`` or too few to split.
 
-    The overlap of a split follows from how far apart vectors at the ``threshold`` cosine lie, so a
-    group that lies closer together than that is not split.
+    A group that lies closer together than the overlap of a split is not split.
     """
-    margin = REACH * np.sqrt(max(0.0, 2 - 2 * threshold) / x.shape[1])
-    tree = Tree(seed, {})
+    tree = Tree(seed, _margin(threshold, x.shape[1]), {})
     todo = [(1, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
         if len(rows) <= max(leaf, least):
             continue
-        at = x[rows] @ _direction(seed, node, x.shape[1])
-        tree.splits[node] = (float(np.median(at)), margin)
-        low, high = _sides(tree, node, x[rows])
+        at = _projected(tree, node, x[rows])
+        tree.splits[node] = float(np.float32(np.median(at)))
+        low, high = _sides(tree, node, at)
         if max(low.sum(), high.sum()) > WIDEST * len(rows):
             del tree.splits[node]  # Too many lie near the split: parts of the leaf do better.
             continue
@@ -83,7 +94,7 @@ def leaves(tree, x):
             rows.append(some)
             nodes.append(np.full(len(some), node))
             continue
-        low, high = _sides(tree, node, x[some])
+        low, high = _sides(tree, node, _projected(tree, node, x[some]))
         todo += [(2 * node, some[low]), (2 * node + 1, some[high])]
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -127,83 +138,76 @@ def distinct_vectors(rows: DataFrame, id="vec_id", vector="embedding", label="la
 def plant(vectors: DataFrame, threshold, trees=TREES, leaf=LEAF, sample=SAMPLE, rounds=ROUNDS) -> DataFrame:
     """``vectors`` (class, bucket, x, copies) with an array of their leaves in all trees: leaves.
 
-    Each round fits splits for the groups over twice ``leaf`` on one bounded sample, and sends
-    every vector down; a group that got too few sampled vectors to be cut small enough is split
-    further in the next. Vectors of equal bucket must have equal size.
+    Each round splits the leaves over twice ``leaf``, each by a bounded sample of its own vectors
+    in a task of its own, and sends every vector down; a leaf whose sample was too thin to cut it
+    small enough is split further in the next. The splits are a table, joined to the vectors by
+    leaf, so neither their number nor the driver limits how many leaves there can be. Vectors of
+    equal bucket must have equal size.
     """
     roots = F.array(*(F.xxhash64("bucket", F.lit(t)) for t in range(trees)))
     out = vectors.select("class", "x", "copies", roots.alias("leaves"))
     for turn in range(rounds):
         in_leaves = out.select("class", F.explode("leaves").alias("leaf"), "x")
-        sizes = in_leaves.groupBy("leaf").count().where(F.col("count") > 2 * leaf)
-        total = sizes.agg(F.sum("count").alias("n")).first()["n"]
-        if not total:
-            break
-        # A group's share of the sample is its share of the rows; the draw is a hash.
-        rate = min(1.0, sample / total)
-        drawn = (
-            in_leaves.where(
-                F.pmod(F.xxhash64("class", "leaf", F.lit(turn)), F.lit(1 << 20)) < rate * (1 << 20)
-            )
-            .join(sizes.select("leaf"), "leaf", "left_semi")
-            .limit(2 * sample)
-            .select("leaf", "x")
-            .toArrow()
+        sizes = stage(
+            in_leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "leaf-sizes"
         )
-        groups = drawn.column("leaf").to_numpy()
-        forest = {}
-        for name in np.unique(groups):
-            x = _unit(drawn.column("x").take(pa.array(np.flatnonzero(groups == name))))
-            grown = grow(x, int(name) % (1 << 31), max(1, int(leaf * rate)), threshold)
-            if grown.splits:
-                forest[int(name)] = grown
-        if not forest:
+        if sizes.isEmpty():
+            break
+        draw = F.pmod(F.xxhash64("class", "leaf", F.lit(turn)), F.lit(1 << 40))
+        drawn = in_leaves.join(sizes, "leaf").where(draw * F.col("n") < F.lit(float(sample * (1 << 40))))
+        splits = stage(_fitted(drawn, threshold, leaf), "splits")
+        if splits.isEmpty():
             break
-        out = stage(_descend(out, forest), "leaves")
+        stay = in_leaves.join(splits, "leaf", "left_anti").select("class", "leaf")
+        moved = _descend(in_leaves.join(splits, "leaf").sortWithinPartitions("leaf"), threshold)
+        named = stay.union(moved).groupBy("class").agg(F.collect_set("leaf").alias("leaves"))
+        out = stage(out.drop("leaves").join(named, "class"), "leaves")
     return out
 
 
-def _descend(out, forest):
-    """Every vector sent from its leaves down the new splits."""
-    kind = out.schema["x"].dataType.simpleString()
+def _fitted(drawn, threshold, leaf):
+    """leaf, nodes, cuts: the splits of each leaf that can be split, from its sample (leaf, n, x)."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        name, n = table.column("leaf")[0].as_py(), table.column("n")[0].as_py()
+        x = _unit(table.column("x"))
+        grown = grow(x, name % FAMILIES, max(1, leaf * len(x) // n), threshold).splits
+        rows = [{"leaf": name, "nodes": list(grown), "cuts": list(grown.values())}] if grown else []
+        return pa.Table.from_pylist(rows, schema=kinds)
+
+    kinds = pa.schema([("leaf", pa.int64()), ("nodes", pa.list_(pa.int32())), ("cuts", pa.list_(pa.float32()))])
+    return drawn.groupBy("leaf").applyInArrow(fit, "leaf long, nodes array<int>, cuts array<float>")
+
+
+def _descend(rows, threshold):
+    """(class, leaf): each vector's new leaves below its leaf, from rows (class, leaf, x, nodes, cuts)."""
 
     def walk(batches):
         for batch in batches:
-            lists = batch.column(3)
-            names = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            columns = dict(zip(batch.schema.names, batch.columns))
+            owners, names = (columns[c].to_numpy() for c in ("class", "leaf"))
             order = np.argsort(names, kind="stable")
             at, to = [], []
             for some in np.split(order, np.flatnonzero(np.diff(names[order])) + 1):
                 if not len(some):
                     continue
-                grown = forest.get(int(names[some[0]]))
-                if grown is None:
-                    at.append(owner[some])
-                    to.append(names[some])
-                    continue
-                rows, nodes = leaves(grown, _unit(batch.column(1).take(pa.array(owner[some]))))
-                at.append(owner[some][rows])
+                first = int(some[0])
+                x = _unit(columns["x"].take(pa.array(some)))
+                cuts = dict(zip(columns["nodes"][first].as_py(), columns["cuts"][first].as_py()))
+                tree = Tree(int(names[first]) % FAMILIES, _margin(threshold, x.shape[1]), cuts)
+                rows, nodes = leaves(tree, x)
+                at.append(owners[some][rows])
                 # A leaf's name: its group's, mixed with the node's number.
                 mixed = names[some[:1]].view(np.uint64) ^ (nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 to.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
-            if not at:
-                continue
-            at, to = np.concatenate(at), np.concatenate(to)
-            order = np.lexsort((to, at))
-            ends = np.cumsum(np.bincount(at, minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(to[order], pa.int64())
-                    ),
-                ],
-                ["class", "x", "copies", "leaves"],
-            )
-
-    return out.mapInArrow(walk, f"class long, x {kind}, copies long, leaves array<long>")
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(to), pa.int64())],
+                    ["class", "leaf"],
+                )
+
+    return rows.mapInArrow(walk, "class long, leaf long")
 
 
 def _shared_before(mine, other, own, lists):

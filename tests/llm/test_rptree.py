@@ -98,3 +98,30 @@ def test_a_dense_group_is_compared_in_parts(spark):
     classes = rptree.distinct_vectors(df).select("class", "bucket", "x", "copies")
     got = rptree.link_vectors(classes, leaf=20, block=40).groupBy("class").sum("linked").collect()
     assert sorted(r[1] for r in got) == [299] * 300
+
+
+def test_leaves_are_cut_in_rounds_by_small_samples(spark):
+    """A sample too thin for the whole tree at once: later rounds go on, and links stay found."""
+    rows = clustered(3000, 16, 3)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA)
+    classes = rptree.distinct_vectors(df).select("class", "bucket", "x", "copies")
+    once = rptree.plant(classes, 0.93, trees=3, leaf=50, sample=128, rounds=1)
+    planted = rptree.plant(classes, 0.93, trees=3, leaf=50, sample=128)
+
+    def largest(out):
+        sizes = out.selectExpr("explode(leaves) AS leaf").groupBy("leaf").count()
+        return sizes.agg({"count": "max"}).first()[0]
+
+    assert planted.count() == 3000 and planted.where("size(leaves) < 3").isEmpty()
+    assert largest(planted) <= 100 < largest(once)
+    sides = {r["class"]: (r["bucket"], set(r["leaves"])) for r in planted.join(classes.select("class", "bucket"), "class").collect()}
+    buckets = {}
+    for bucket, names in sides.values():
+        for name in names:
+            assert buckets.setdefault(name, bucket) == bucket
+    x = {r["class"]: np.array(r["x"]) / np.linalg.norm(r["x"]) for r in classes.collect()}
+    names, matrix = list(x), np.stack(list(x.values()))
+    a, b = np.nonzero(np.triu(matrix @ matrix.T >= 0.93, 1))
+    pairs = [(names[i], names[j]) for i, j in zip(a, b) if sides[names[i]][0] == sides[names[j]][0]]
+    met = sum(bool(sides[i][1] & sides[j][1]) for i, j in pairs)
+    assert met >= 0.95 * len(pairs)
