@@ -22,7 +22,7 @@ LEAF = 512  # Vectors a leaf should hold.
 BLOCK = 2048  # A leaf over this size is cut, and compared part against part in several tasks.
 SAMPLE = 2048  # Vectors of a leaf that its splits of one round are fitted on, about.
 LEAST = 32  # Sampled vectors a node must have to be split.
-REACH = 0.7  # Vectors as near a split as this many times the spread of a link's projection go to both sides.
+REACH = 0.5  # Vectors as near a split as this many times the spread of a link's projection go to both sides.
 WIDEST = 0.8  # A split whose larger side keeps more than this share of its node is not made.
 ROUNDS = 16  # Of fitting, each of which cuts large leaves to a sixtieth or so; more are never needed.
 SEED = 7
