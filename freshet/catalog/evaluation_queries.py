@@ -7,10 +7,11 @@ from freshet.catalog.registry import query
 from freshet.functions import false_positives, with_risk_report
 from freshet.operators import evaluation, stats
 from freshet.operators.labeling import label_intervals
+from freshet.operators.lookup import lookup
 from freshet.operators.rolling import MAIN_FEATURES
 from freshet.operators.topk import top_rows
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
-from freshet.plans.training import location_indexer, temporal_split, with_split
+from freshet.plans.training import location_ranks, temporal_split, with_split
 from freshet.storage import stage
 
 KEY = i.KEY
@@ -95,7 +96,7 @@ FROM (SELECT location, count(*) AS n FROM obs GROUP BY location)"""
 )
 def location_index(spark, sf_dir):
     obs = i.observations(spark, sf_dir).select("location")
-    indexed = location_indexer(obs).transform(obs)
+    indexed = lookup(obs, location_ranks(obs), ["location"])
     return stats.label_counts(indexed, ("location", "location_index"))
 
 

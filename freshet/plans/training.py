@@ -4,8 +4,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import add_month_cycle, between_times, complete_cases
@@ -27,8 +27,8 @@ class FeatureSpec:
     """What a model is trained on.
 
     ``max_bins`` is a parameter of the model, the same for any data: numeric inputs are split at
-    so many places, and the category has so many indexes, one of which stands for all values
-    beyond the most frequent.
+    so many places, and the category is given as inputs of at most so many indexes each, more of
+    them the more values it has (see ``category_stages``).
     """
 
     numeric: tuple = MEASURES + tuple(s.out for s in MAIN_FEATURES)
@@ -83,20 +83,79 @@ def with_split(df: DataFrame, ts: str, cuts, names, out="split") -> DataFrame:
     return df.withColumn(out, part.otherwise(names[-1]))
 
 
-def location_indexer(df: DataFrame, column="location", values=MAX_BINS - 1, n=None):
-    """Index by falling frequency, ties by name, of the ``values`` most frequent values of ``df``.
-
-    All others, null and unseen ones share one more index. Spark counts the values and the
-    driver gets no more than ``values`` of them. ``n`` names a column of counts.
-    """
+def _by_frequency(df, column, n):
     rows = F.count("*") if n is None else F.sum(n)
     most = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows.alias("rows_of_value"))
-    labels = [r[0] for r in most.orderBy(F.desc("rows_of_value"), column).limit(values).collect()]
-    return StringIndexerModel.from_labels(labels, column, f"{column}_index", handleInvalid="keep")
+    return most.orderBy(F.desc("rows_of_value"), column)
+
 
+def location_ranks(df: DataFrame, column="location", n=None) -> DataFrame:
+    """Each value of ``column`` and its ``<column>_index``, as ``location_indexer`` numbers them.
 
-def build_pipeline(spec: FeatureSpec = MAIN, *before) -> Pipeline:
-    """The assembler and forest of ``spec``, after the stages ``before``."""
+    For any number of values: they are sorted and numbered in tasks, none come to the driver.
+    """
+    place = F.monotonically_increasing_id()
+    placed = stage(_by_frequency(df, column, n).select(column, place.alias("place")), "ranks")
+    # The place holds the number of the sorted partition above 33 bits of the row's place in it.
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    # One row per sorted partition here, so a single partition is right.
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    index = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "part").select(
+        column, index.cast("double").alias(f"{column}_index")
+    )
+
+
+def location_indexer(df: DataFrame, column="location", values=None, n=None):
+    """Index by falling frequency, ties by name, of all values of ``df`` or the first ``values``.
+
+    All others, null and unseen ones share one more index. Spark counts the values; the model
+    holds those it indexes, as Spark's does. ``n`` names a column of counts.
+    """
+    most = _by_frequency(df, column, n)
+    labels = [r[0] for r in (most if values is None else most.limit(values)).collect()]
+    return _indexer(labels, column, f"{column}_index")
+
+
+def _indexer(labels, column, out):
+    return StringIndexerModel.from_labels(labels, column, out, handleInvalid="keep")
+
+
+def category_stages(df: DataFrame, spec: FeatureSpec = MAIN, n=None):
+    """Stages that index every value of the category in inputs of ``max_bins`` indexes at most.
+
+    The first tells the ``max_bins - 1`` most frequent values apart and the rest from them. If
+    there is a rest, its values are numbered on, unseen ones last, and the digits of that number
+    in base ``max_bins`` are inputs too (0 for the most frequent): no two values share a code.
+    Gives the stages and the digits' columns.
+    """
+    base, column = spec.max_bins, spec.category
+    labels = location_indexer(df, column, n=n).labels
+    first = _indexer(labels[: base - 1], column, spec.index)
+    if len(labels) < base:
+        return [first], []
+    place, most = f"{column}_place", len(labels) - (base - 2)
+    powers = [1]
+    while powers[-1] * base <= most:
+        powers.append(powers[-1] * base)
+    texts = [f"{column}_digit{k}_text" for k in range(len(powers))]
+    digits = [f"{column}_digit{k}" for k in range(len(powers))]
+    number = f"greatest(CAST(`{place}` AS BIGINT) - {base - 2}, 0)"
+    made = ", ".join(f"CAST({number} div {p} % {base} AS STRING) AS `{t}`" for p, t in zip(powers, texts))
+    indexes = [[str(k) for k in range(min(base, most // p + 1))] for p in powers]
+    return [
+        first,
+        _indexer(labels, column, place),
+        SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"),
+        StringIndexerModel.from_arrays_of_labels(indexes, texts, digits, handleInvalid="error"),
+    ], digits
+
+
+def build_pipeline(spec: FeatureSpec = MAIN, *before, more=()) -> Pipeline:
+    """The assembler and forest of ``spec``, after the stages ``before``; ``more`` names inputs
+    that these add to those of ``spec``."""
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=spec.label,
@@ -107,7 +166,7 @@ def build_pipeline(spec: FeatureSpec = MAIN, *before) -> Pipeline:
     )
     if spec.weighted:
         forest.setWeightCol("class_weight")
-    assembler = VectorAssembler(inputCols=list(spec.inputs), outputCol="features")
+    assembler = VectorAssembler(inputCols=[*spec.inputs, *more], outputCol="features")
     return Pipeline(stages=[*before, assembler, forest])
 
 
@@ -135,9 +194,7 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
     counts = {r[0]: r["n"] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
     if spec.weighted and set(counts) != {0, 1}:
         raise ValueError(f"training rows hold only the classes {sorted(counts)}")
-    before = []
-    if spec.use_category:
-        before = [location_indexer(groups, spec.category, spec.max_bins - 1, "n")]
+    before, digits = category_stages(groups, spec, "n") if spec.use_category else ([], [])
     if spec.weighted:
         rows = apply_weights(rows, weights, spec.label)
     used = [*spec.numeric, *spec.cycle, spec.label]
@@ -148,7 +205,7 @@ def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> P
         rows = rows.repartition(_partitions(train.sparkSession, sum(counts.values())))
     else:
         rows = rows.repartition(partitions, F.xxhash64(*used)).sortWithinPartitions(*used)
-    return build_pipeline(spec, *before).fit(rows)
+    return build_pipeline(spec, *before, more=digits).fit(rows)
 
 
 def _partitions(spark, rows: int) -> int:
@@ -157,11 +214,21 @@ def _partitions(spark, rows: int) -> int:
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:
-    """Importance per input, largest first; names come from the model's own assembler."""
+    """Importance per input, largest first; names come from the model's own assembler.
+
+    The digits of a category are one input with its index: their shares are added up.
+    """
     assembler, forest = model.stages[-2], model.stages[-1]
     values = forest.featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    pairs = list(zip(assembler.getInputCols(), values))
+    whole = {}
+    if len(model.stages) > 3:
+        whole = dict.fromkeys(model.stages[-3].getOutputCols(), model.stages[0].getOutputCol())
+    shares = {}
+    for name, value in zip(assembler.getInputCols(), values):
+        name = whole.get(name, name)
+        shares[name] = shares.get(name, 0.0) + value
+    pairs = list(shares.items())
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )

@@ -4,18 +4,27 @@ import subprocess
 import sys
 from dataclasses import replace
 
+import duckdb
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from freshet.catalog import inputs as i
 from freshet.operators.rolling import FEATURES_48H
 from freshet.plans import training
 from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
 from freshet.plans.scoring import dropped_rows, score_table
-from freshet.plans.training import feature_importance, fit, location_indexer, temporal_split
+from freshet.plans.training import (
+    feature_importance,
+    fit,
+    location_indexer,
+    location_ranks,
+    temporal_split,
+)
 from freshet.sources import load_model, save_model
 from freshet.storage import new_path, stage
+from tests.oracle import compare
 
 SMALL = replace(training.MAIN, trees=8, depth=4)
 
@@ -129,6 +138,46 @@ def test_bins_do_not_follow_the_number_of_locations(spark, split):
     assert score_table(made, many, SMALL).agg(F.max("location_index")).first()[0] == 31
 
 
+def test_location_index_of_many_locations(spark, small_dir, tmp_path):
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    many = events.withColumn("event_type", F.concat("event_type", (F.pmod(F.xxhash64("ts"), F.lit(60))).cast("string")))
+    many.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert con.execute("SELECT count(DISTINCT event_type) FROM events").fetchone()[0] > 32
+    run, sql = queries()["location_index"], oracle_sql()["location_index"]
+    assert compare(spark, con, run, sql, str(tmp_path)) == ""
+    obs = i.observations(spark, str(tmp_path)).select("location")
+    indexed = location_indexer(obs).transform(obs).distinct().collect()
+    assert sorted(map(tuple, indexed)) == sorted(map(tuple, location_ranks(obs).collect()))
+
+
+def test_every_location_has_a_code_of_its_own(spark, split):
+    many = split[0].withColumn("location", F.concat("location", (F.xxhash64("datetime") % 400).cast("string")))
+    many = stage(many, "many")
+    places = many.select("location").distinct().count()
+    assert places > 500
+    spec = replace(SMALL, trees=2, depth=3)
+    path = new_path(spark, "model")
+    save_model(fit(many, spec), path)
+    made = load_model(path)
+    digits = made.stages[-3].getOutputCols()
+    assert made.stages[-1].numFeatures == 12 + len(digits) and len(digits) == 2
+    new = many.limit(1).withColumn("location", F.lit("never seen"))
+    scored = score_table(made, many.unionByName(new), spec)
+    assert scored.select("location_index", *digits).distinct().count() == places + 1
+    assert {r.feature for r in feature_importance(made).collect()} == set(spec.inputs)
+
+
+def test_a_rare_location_counts(spark, split):
+    """A location beyond the 31 most frequent, where alone it floods, is told from the others."""
+    rows = spark.range(40 * 200).select(F.expr("concat('p', lpad(id % 40, 2, '0'))").alias("location"), "id")
+    rows = rows.withColumn("flood_event", (F.col("location") == "p37").cast("int"))
+    rows = rows.withColumns({c: F.lit(1.0) for c in SMALL.numeric})
+    scored = score_table(fit(rows, SMALL, partitions=2), rows, SMALL)
+    assert scored.filter("prediction <> flood_event").count() == 0
+
+
 FOREST = """
 import sys
 from dataclasses import replace
