@@ -21,15 +21,15 @@ from freshet.llm.common import Codes, text_slices
 
 SAMPLE_CHARS = 1_500_000  # Characters to learn from per language, about; documents by hash of id.
 LONGEST_SAMPLE = 200_000  # Texts longer than this many characters are not learned from.
-LONGEST_PIECE = 8  # Characters; longer pieces of the vocabulary are not used.
-WORD = 24  # Longer words are cut every so many characters.
+LONGEST_PIECE = 16  # Characters, with the mark; no piece of letters may be longer.
+STRETCH = 24  # Characters of a word that are summed at a time. Bounds memory only.
 ROUNDS = 4  # Of expectation maximisation.
 POOLED = 200.0  # Occurrences' worth of the pooled distribution in each language's.
 UNSEEN = 1e-7  # Probability of a character that no piece covers.
 CACHE = 250_000  # Words whose scores a task keeps; it then starts over. Bounds memory only.
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
-_STEP = 5_000  # Words scored at a time.
+_STEP = 5_000  # Stretches scored at a time.
 
 
 def _mixed(codes):
@@ -41,10 +41,11 @@ def _mixed(codes):
 
 
 _BASE = 0x9E3779B97F4A7C55
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(LONGEST_PIECE + 1)], np.uint64)
 
 
 def _prefix_hashes(words):
-    """Lengths, and hashes of all prefixes, of words of at most WORD + 1 characters."""
+    """Lengths, and hashes of all prefixes, of words or of equal stretches of them."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     width = int(sizes.max()) if len(words) else 0
     codes = np.array(words, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(words), -1)
@@ -55,50 +56,83 @@ def _prefix_hashes(words):
     return sizes, sums
 
 
-def _spans(words, keys):
-    """For each piece length and end: (length, end, words that have it, piece numbers)."""
+def _spans(words, keys, lead=0):
+    """For each end after ``lead``: (end, words, lengths and numbers of the pieces there, in the
+    words' order, words whose last character is no piece)."""
     sizes, sums = _prefix_hashes(words)
-    for end in range(1, sums.shape[1]):
+    for end in range(lead + 1, sums.shape[1]):
         rows = np.flatnonzero(sizes >= end)
-        power = 1
-        for length in range(1, min(LONGEST_PIECE, end) + 1):
-            power = power * _BASE % (1 << 64)
-            part = sums[rows, end] - sums[rows, end - length] * np.uint64(power)
-            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-            known = keys[at] == part
-            yield length, end, rows[known], at[known], rows[~known] if length == 1 else None
-
-
-def _forward(words, keys, probs):
-    """Sums over cuts: (word, position, language), and the spans used."""
-    spans = list(_spans(words, keys))
-    width = max((e for _, e, *_ in spans), default=0)
-    sums = np.zeros((len(words), width + 1, probs.shape[1]))
-    sums[:, 0] = 1.0
-    for length, end, rows, pieces, bare in spans:
-        sums[rows, end] += sums[rows, end - length] * probs[pieces]
-        if bare is not None:
-            sums[bare, end] += sums[bare, end - 1] * UNSEEN
+        lengths = np.arange(1, min(LONGEST_PIECE, end) + 1)
+        part = sums[rows, end][:, None] - sums[rows[:, None], end - lengths] * _POWERS[lengths]
+        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+        known = keys[at] == part
+        found, k = np.nonzero(known)
+        yield end, rows[found], lengths[k], at[found, k], rows[~known[:, 0]]
+
+
+def _forward(words, keys, probs, carried=None):
+    """Sums over cuts: (word, position, language), and the spans used.
+
+    ``carried`` holds the sums at the first positions, where words are stretches that go on.
+    """
+    if carried is None:
+        carried = np.ones((len(words), 1, probs.shape[1]))
+    lead = carried.shape[1] - 1
+    spans = list(_spans(words, keys, lead))
+    sums = np.zeros((len(words), max(map(len, words), default=0) + 1, probs.shape[1]))
+    sums[:, : lead + 1] = carried
+    for end, rows, lengths, pieces, bare in spans:
+        if len(rows):
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            parts = sums[rows, end - lengths] * probs[pieces]
+            sums[rows[first], end] = np.add.reduceat(parts, first, axis=0)
+        sums[bare, end] += sums[bare, end - 1] * UNSEEN
     return sums, spans
 
 
-def _cut(word):
-    """The marked word, in stretches of at most WORD characters."""
-    if len(word) <= WORD:
-        return [MARK + word]
-    return [MARK + word[:WORD]] + [word[k : k + WORD] for k in range(WORD, len(word), WORD)]
+def _stretches(words, keys, probs):
+    """The forward pass over whole words, STRETCH characters at a time.
+
+    Gives, for each stretch: the words that reach it, their length in it, sums and spans, and
+    which of them go on. These carry the sums of their last LONGEST_PIECE positions into the next
+    stretch, divided by the very last one so that they never vanish.
+    """
+    words = [MARK + w for w in words]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at, end, carried = np.arange(len(words)), STRETCH, None
+    while len(at):
+        lead = 0 if carried is None else carried.shape[1] - 1
+        start = end - STRETCH - lead
+        parts = [words[k][start:end] for k in at]
+        sums, spans = _forward(parts, keys, probs, carried)
+        on = sizes[at] > end
+        yield at, sizes[at].clip(max=end) - start, sums, spans, on
+        if on.any():
+            carried = sums[on][:, -min(end, LONGEST_PIECE) - 1 :]
+            carried = carried / carried[:, -1:]
+        at, end = at[on], end + STRETCH
+
+
+def _batches(words):
+    """(start, end) ranges of ``words`` of about _STEP stretches, one word at least."""
+    start = held = 0
+    for k, word in enumerate(words):
+        n = len(word) // STRETCH + 1
+        if held and held + n > _STEP:
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(words):
+        yield start, len(words)
 
 
 def word_scores(words, keys, probs):
     """Log-probability of each word in each language."""
-    parts = [p for w in words for p in _cut(w)]
-    owner = np.repeat(np.arange(len(words)), [len(_cut(w)) for w in words])
     out = np.zeros((len(words), probs.shape[1]))
-    for k in range(0, len(parts), _STEP):
-        some = parts[k : k + _STEP]
-        sums, _ = _forward(some, keys, probs)
-        ends = np.fromiter(map(len, some), np.int64, len(some))
-        np.add.at(out, owner[k : k + _STEP], np.log(sums[np.arange(len(some)), ends]))
+    for a, b in _batches(words):
+        for at, ends, sums, _, _ in _stretches(words[a:b], keys, probs):
+            # Each stretch's last sum is in units of the last sum before it.
+            out[a + at] += np.log(sums[np.arange(len(at)), ends])
     return out
 
 
@@ -112,14 +146,21 @@ class LanguageModel:
 
 
 def vocabulary(model_file):
-    """Normal pieces of a SentencePiece model that are lower case and short enough."""
+    """Normal pieces of a SentencePiece model that are lower case.
+
+    Pieces longer than LONGEST_PIECE that hold more than letters are in no word, and left out.
+    """
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = (
         sp.id_to_piece(k)
         for k in range(sp.get_piece_size())
         if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))
     )
-    return sorted({p for p in pieces if len(p) <= LONGEST_PIECE and p == p.lower()})
+    pieces = {p for p in pieces if p == p.lower()}
+    long = {p for p in pieces if len(p) > LONGEST_PIECE}
+    if any(_WORD.fullmatch(p.removeprefix(MARK)) for p in long):
+        raise ValueError(f"{model_file} holds a piece of more than {LONGEST_PIECE} letters")
+    return sorted(pieces - long)
 
 
 def _fit(words, counts, pieces, languages):
@@ -127,26 +168,29 @@ def _fit(words, counts, pieces, languages):
     _, sums = _prefix_hashes(pieces)
     hashes = sums[np.arange(len(pieces)), [len(p) for p in pieces]]
     keys = np.unique(hashes)
-    parts = [(p, k) for k, w in enumerate(words) for p in _cut(w)]
-    texts = [p for p, _ in parts]
-    seen = counts[[k for _, k in parts]] if parts else np.zeros((0, len(languages)))
     probs = np.full((len(keys), len(languages)), 1.0 / len(keys))
     for _ in range(ROUNDS):
         expected = np.zeros_like(probs)
-        for k in range(0, len(texts), _STEP):
-            some, weight = texts[k : k + _STEP], seen[k : k + _STEP]
-            sums, spans = _forward(some, keys, probs)
-            ends = np.fromiter(map(len, some), np.int64, len(some))
-            back = np.zeros_like(sums)
-            back[np.arange(len(some)), ends] = weight / sums[np.arange(len(some)), ends]
-            for length, end, rows, at, bare in reversed(spans):
-                if bare is not None:
+        for a, b in _batches(words):
+            after = None  # What the next stretch passes back, in its own unit.
+            for at, ends, sums, spans, on in reversed(list(_stretches(words[a:b], keys, probs))):
+                last = np.arange(len(at)), ends
+                back = np.zeros_like(sums)
+                back[last] = counts[a + at] / sums[last]
+                back[on] = 0.0
+                if after is not None:
+                    back[on, -after.shape[1] :] = after / sums[on][:, -1:]
+                used = []
+                for end, rows, lengths, at_piece, bare in reversed(spans):
                     back[bare, end - 1] += back[bare, end] * UNSEEN
-                share = probs[at] * back[rows, end]
-                back[rows, end - length] += share
-                used = sums[rows, end - length] * share
+                    share = probs[at_piece] * back[rows, end]
+                    back[rows, end - lengths] += share
+                    used.append((at_piece, sums[rows, end - lengths] * share))
+                seen = np.concatenate([k for k, _ in used])
+                times = np.concatenate([n for _, n in used])
                 for lang in range(len(languages)):
-                    expected[:, lang] += np.bincount(at, used[:, lang], len(keys))
+                    expected[:, lang] += np.bincount(seen, times[:, lang], len(keys))
+                after = back[:, : spans[0][0]]  # Up to the first end: what was carried.
         pooled = expected.sum(axis=1) + 0.01
         pooled /= pooled.sum()
         total = expected.sum(axis=0) + POOLED

@@ -48,6 +48,38 @@ def test_long_words_are_scored_whole():
     np.testing.assert_allclose(model.probs.sum(axis=0), 1.0)
 
 
+def test_long_pieces_are_in_the_vocabulary():
+    pieces = set(langid.vocabulary(MODEL))
+    assert {"▁information", "▁function", "▁important"} <= pieces
+    assert max(map(len, pieces)) == langid.LONGEST_PIECE
+
+
+def test_pieces_across_stretches_count(monkeypatch):
+    """Words of many stretches are scored and learned from as if they were summed at once."""
+    pieces = ["▁", "a", "b", "ab", "abababababababab", "bbbbbbbbbb", "▁ba", "aba"]
+    words = ["ab" * 90, "b" * 60, "z" * 30 + "ab" * 20, "ab", "a" * 23, "a" * 24, "ba" * 12]
+    counts = np.array([[3.0, 1], [0, 2], [1, 1], [5, 0], [1, 0], [2, 2], [0, 4]])
+    got = langid._fit(words, counts, pieces, ["x", "y"])
+    scores = langid.word_scores(words, got.keys, got.probs)
+    probs = np.random.default_rng(1).uniform(0.2, 1, got.probs.shape)
+    wanted = langid.word_scores(words, got.keys, probs)
+    cut = langid.word_scores(["b" * 24, "b" * 36], got.keys, probs)
+    assert (np.abs(cut.sum(axis=0) - wanted[1]) > 0.01).all()  # not a product of its stretches
+    monkeypatch.setattr(langid, "STRETCH", 1_000)
+    np.testing.assert_allclose(wanted, langid.word_scores(words, got.keys, probs), rtol=1e-9)
+    whole = langid._fit(words, counts, pieces, ["x", "y"])
+    np.testing.assert_allclose(got.probs, whole.probs, rtol=1e-9)
+    np.testing.assert_allclose(scores, langid.word_scores(words, got.keys, whole.probs), rtol=1e-9)
+
+
+def test_very_long_words_keep_finite_scores():
+    pieces = langid.vocabulary(MODEL)
+    model = langid._fit(["hello", "bonjour" * 3_000], np.array([[3.0, 0], [0, 3.0]]), pieces, ["en", "fr"])
+    got = langid.word_scores(["bonjour" * 3_000, "ж" * 20_000], model.keys, model.probs)
+    assert np.isfinite(got).all() and got[0, 1] > got[0, 0]
+    np.testing.assert_allclose(model.probs.sum(axis=0), 1.0)
+
+
 def test_held_out_accuracy(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     model = langid.train_language(docs.where("doc_id % 4 <> 2"), MODEL, chars=100_000)
