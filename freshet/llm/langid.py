@@ -14,13 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import Codes, text_slices
 
-SAMPLE_CHARS = 1_500_000  # Characters to learn from per language, about; documents by hash of id.
-LONGEST_SAMPLE = 200_000  # Texts longer than this many characters are not learned from.
+SAMPLE_CHARS = 1_500_000  # Characters to learn from per language, about; by hash of id and text.
 LONGEST_PIECE = 16  # Characters, with the mark; no piece of letters may be longer.
 STRETCH = 24  # Characters of a word that are summed at a time. Bounds memory only.
 ROUNDS = 4  # Of expectation maximisation.
@@ -201,22 +200,25 @@ def _fit(words, counts, pieces, languages):
 def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="lang", chars=SAMPLE_CHARS):
     """Learn from the texts of ``docs`` and their non-null ``lang``.
 
-    Uses about ``chars`` characters per language: whole texts, chosen by a hash of their id at a
-    rate that Spark's totals per language give; languages with less are used whole. Null texts,
-    null languages and texts over LONGEST_SAMPLE are left out. Spark counts the words; the driver
-    gets the counts of this bounded sample. Without any usable row the model knows no language.
+    Uses about ``chars`` characters per language: whole texts of any length, chosen by a hash of
+    their id and text at a rate that Spark's totals per language give, and at least the one with
+    the least hash; languages with less are used whole. Null texts and null languages are left
+    out. Spark counts the words; the driver gets the counts of this sample, of each language the
+    most frequent words up to ``chars`` characters, which only a text longer than that can pass.
+    Without any usable row the model knows no language.
     """
     rows = docs.select(
         F.col(text).alias("text"),
         F.col(lang).alias("lang"),
-        (F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("draw"),
-    ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
-    sizes = {
-        r["lang"]: r["chars"]
-        for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()
-    }
-    languages = sorted(name for name, size in sizes.items() if size)
-    rates = {name: min(1.0, chars / sizes[name]) for name in languages}
+        (F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("draw"),
+    ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    drawn = F.when(F.col("text").rlike(r"\p{L}"), F.col("draw"))
+    totals = rows.groupBy("lang").agg(
+        F.sum(F.length("text")).alias("chars"), F.min(drawn).alias("least")
+    )
+    sizes = {r["lang"]: (r["chars"], r["least"] or 0.0) for r in totals.collect()}
+    languages = sorted(name for name, (size, _) in sizes.items() if size)
+    rates = {name: min(1.0, max(chars / sizes[name][0], sizes[name][1])) for name in languages}
 
     def count(batches):
         for batch in batches:
@@ -236,11 +238,19 @@ def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="
             )
 
     least = min(1.0, max(rates.values(), default=0.0))
+    frequent = (
+        Window.partitionBy("lang")
+        .orderBy(F.desc("n"), "word")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     found = (
         rows.where(F.col("draw") <= least)
         .mapInArrow(count, "lang string, word string, n long")
         .groupBy("word", "lang")
         .agg(F.sum("n").alias("n"))
+        .withColumn("before", F.sum(F.length("word")).over(frequent))
+        .where(F.coalesce("before", F.lit(0)) < chars)
+        .drop("before")
         .toPandas()
     )
     pieces = vocabulary(model_file)

@@ -3,6 +3,7 @@ from itertools import product
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import langid
 
@@ -89,6 +90,28 @@ def test_held_out_accuracy(spark, small_dir):
     assert all(0 < r["score"] <= 1 for r in rows)
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    long = "xilo vanta morek " * 13_000
+    rows = [(1, "the cat and the dog", "en"), (2, long, "xx"), (3, long + "more", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_language(docs, MODEL, chars=10_000)
+    assert model.languages == ("en", "xx")
+    got = langid.identify_language(docs, model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "xx", 3: "xx"}
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark, monkeypatch):
+    docs = spark.range(2_000).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.format_string("word %s", F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    seen = {}
+    monkeypatch.setattr(langid, "_fit", lambda words, counts, *_: seen.update(zip(words, counts[:, 0])))
+    langid.train_language(docs, MODEL, chars=4_000)
+    assert 300 < seen["word"] < 700
+
+
 def test_odd_rows(odd_docs):
     model = langid.train_language(odd_docs, MODEL, chars=10_000)
     assert set(model.languages) <= {"en", "de", "fr"}
