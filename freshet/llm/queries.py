@@ -7,9 +7,12 @@ import corpus_pipeline
 from freshet.llm.chat import format_chat, read_back
 from freshet.llm.langid import identify_language, train_language
 from freshet.llm.packing import pack_documents
+from freshet.llm.phrases import collocations
 from freshet.llm.rptree import near_vectors
+from freshet.llm.secrets import find_secrets, span_text
 from freshet.llm.sentencepieces import encode_documents
 from freshet.llm.simhash import simhash_groups
+from freshet.llm.spelling import spelling_variants
 from freshet.llm.tokencounts import token_counts
 from freshet.llm.topk import integer_vectors, top_products
 from freshet.llm.toxicity import toxicity, train_toxicity
@@ -193,6 +196,72 @@ def op7_packing(spark, sf_dir):
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_secret_scan")
+def op11_secret_scan(spark, sf_dir):
+    words = public_tokenizers.path("word_bpe_49k.json")
+    found = find_secrets(table(spark, sf_dir, "documents"), words)
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(span_text(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"), typos=199)
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+    WITH p AS (
+      SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(range(len(pieces))) AS piece,
+        unnest(pieces) AS text FROM (SELECT doc_id, lang, string_split_regex(translate(
+          coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x{0A}-\x{0D}]') AS pieces FROM documents)),
+    w AS (SELECT lang, regexp_extract_all(text, '[^\x{20}\x{09}]+') AS words FROM p),
+    grams AS (
+      SELECT lang, width, array_to_string(words[i:i + width - 1], ' ') AS phrase
+      FROM (SELECT lang, words, width, unnest(range(1, len(words) - width + 2)) AS i
+        FROM w, (VALUES (1), (2), (3), (4)) AS v(width) WHERE len(words) >= width)),
+    f AS (SELECT lang, width, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE width > 1),
+    cuts AS (
+      SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS head,
+        array_to_string(words[k + 1:], ' ') AS tail
+      FROM (SELECT *, unnest(range(1, width)) AS k FROM c)),
+    scored AS (
+      SELECT cuts.lang, cuts.phrase, cuts.a, k, h.a AS l, t.a AS r,
+        ((2000000::HUGEINT * cuts.a) // (h.a + t.a))::BIGINT AS score
+      FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head
+        JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+    least AS (
+      SELECT * FROM scored
+      QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+      SELECT lang, array_to_string(words[i:i + short - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, words, a, short, unnest(range(1, width - short + 2)) AS i
+        FROM c, (VALUES (2), (3)) AS v(short) WHERE short < width) GROUP BY ALL),
+    kept AS (
+      SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase)
+      WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+      phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang)
+    QUALIFY rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents")).drop("doc", "at")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
