@@ -45,7 +45,14 @@ from freshet.operators.stats import (
     monthly_rate,
 )
 from freshet.operators.topk import top_rows
-from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
+from freshet.plans.calibration import (
+    Calibrator,
+    apply_calibrator,
+    compare_scores,
+    fit_calibrator,
+    load_calibrator,
+    save_calibrator,
+)
 from freshet.plans.features import labeled_features
 from freshet.plans.scoring import dropped_rows, score_table
 from freshet.plans.training import (
@@ -76,6 +83,7 @@ __all__ = [
     "LagSpec",
     "RollingSpec",
     "add_month_cycle",
+    "Calibrator",
     "apply_calibrator",
     "apply_weights",
     "auc",
@@ -95,6 +103,8 @@ __all__ = [
     "feature_importance",
     "fit",
     "fit_calibrator",
+    "load_calibrator",
+    "save_calibrator",
     "fp_count",
     "label_correlation",
     "label_counts",

@@ -257,15 +257,32 @@ def auc(spark, sf_dir):
 BINNED_ERROR = 0.01
 
 
-@query("auc_binned", "SELECT true AS roc_auc_close, true AS pr_auc_close")
+@query(
+    "auc_binned",
+    i.on_scored(
+        f"""
+SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+       CASE WHEN count(*) // {evaluation.CURVE_BINS} >= 2
+            THEN CAST(ceil(count(*) / (count(*) // {evaluation.CURVE_BINS})) AS BIGINT)
+            ELSE count(*) END AS n_points,
+       true AS roc_auc_close, true AS pr_auc_close
+FROM (SELECT score, sum(flood_event) AS pos, sum(1 - flood_event) AS neg FROM scored
+      WHERE score IS NOT NULL GROUP BY score)"""
+    ),
+)
 def auc_binned(spark, sf_dir):
-    """Over about a thousand curve points, the evaluator's default, held against the exact areas."""
+    """Over about a thousand curve points: their number, and their areas against the exact ones."""
     scored = stage(i.scored(spark, sf_dir).select("score", "flood_event"), "scored")
-    both = [evaluation.auc(scored, "score", exact=exact) for exact in (False, True)]
-    binned, exact = (d.select(*(F.col(c).alias(f"{c}_{k}") for c in d.columns)) for k, d in enumerate(both))
-    areas = ("roc_auc", "pr_auc")
-    return binned.withColumns({f"{a}_1": exact.select(f"{a}_1").scalar() for a in areas}).select(
-        *((F.abs(F.col(f"{a}_0") - F.col(f"{a}_1")) <= BINNED_ERROR).alias(f"{a}_close") for a in areas)
+    binned, exact = (evaluation.auc(scored, "score", exact=exact) for exact in (False, True))
+    points = evaluation.curves(scored, ["score"])
+    counts = points.agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("n_points")
+    )
+    return counts.withColumns(
+        {
+            f"{a}_close": F.abs(binned.select(a).scalar() - exact.select(a).scalar()) <= BINNED_ERROR
+            for a in ("roc_auc", "pr_auc")
+        }
     )
 
 
@@ -457,26 +474,23 @@ def risk_band(spark, sf_dir):
     return with_risk_report(rows, "score")
 
 
-# The best non-decreasing fit at x is the largest, over starts at or below x, of the smallest
-# mean from that start to an end at or above x.
+# The best non-decreasing fit is the slope of the greatest convex curve below the running sums:
+# from each of its corners the next is the later point that the smallest slope leads to.
 ISOTONIC = f"""
 fitting AS (
-  SELECT score AS x, count(*) AS w, CAST(sum(flood_event) AS DOUBLE) AS s,
-         row_number() OVER (ORDER BY score) AS k
+  SELECT score AS x, count(*) AS w, CAST(sum(flood_event) AS DOUBLE) AS s
   FROM scored WHERE datetime >= TIMESTAMP '{i.CALIBRATION_START} 00:00:00'
                 AND datetime < TIMESTAMP '{i.TRAIN_END} 00:00:00'
-  GROUP BY score),
+  GROUP BY score HAVING score IS NOT NULL),
 sums AS (
-  SELECT x, k, sum(w) OVER o AS w1, sum(s) OVER o AS s1,
-         sum(w) OVER o - w AS w0, sum(s) OVER o - s AS s0
-  FROM fitting WINDOW o AS (ORDER BY k)),
-means AS (
-  SELECT a.k AS ak, b.k AS bk, (b.s1 - a.s0) / (b.w1 - a.w0) AS g
-  FROM sums a JOIN sums b ON a.k <= b.k),
-lowest AS (
-  SELECT ak, bk, min(g) OVER (PARTITION BY ak ORDER BY bk DESC) AS g FROM means),
-fitted AS (
-  SELECT x, max(g) AS y FROM lowest JOIN sums ON sums.k = bk GROUP BY x),
+  SELECT x, CAST(sum(w) OVER o AS BIGINT) AS w, sum(s) OVER o AS s FROM fitting WINDOW o AS (ORDER BY x)),
+corners(w, s, y) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT w, s, y FROM (
+    SELECT sums.w, sums.s, (sums.s - corners.s) / (sums.w - corners.w) AS y
+    FROM corners JOIN sums ON sums.w > corners.w ORDER BY y, sums.w DESC LIMIT 1)),
+fitted AS (SELECT x, y FROM sums ASOF JOIN corners ON sums.w <= corners.w),
 test AS (
   SELECT location, datetime, score AS raw_score, flood_event FROM scored
   WHERE datetime >= TIMESTAMP '{i.TRAIN_END} 00:00:00'),
@@ -492,6 +506,10 @@ calibrated AS (
   FROM around)"""
 
 
+def _on_calibrated(body, *more):
+    return i.on_scored(body, ISOTONIC, *more).replace("WITH", "WITH RECURSIVE", 1)
+
+
 def _calibrated(spark, sf_dir):
     scored = i.scored(spark, sf_dir).withColumnRenamed("score", "raw_score")
     cuts = (i.CALIBRATION_START, i.TRAIN_END)
@@ -501,10 +519,9 @@ def _calibrated(spark, sf_dir):
 
 @query(
     "isotonic_calibrate",
-    i.on_scored(
+    _on_calibrated(
         "SELECT location, datetime, flood_event, raw_score, "
-        "round(calibrated_probability, 6) AS calibrated_probability FROM calibrated",
-        ISOTONIC,
+        "round(calibrated_probability, 6) AS calibrated_probability FROM calibrated"
     ),
 )
 def isotonic_calibrate(spark, sf_dir):
@@ -519,7 +536,7 @@ ERROR = "avg(({c} - flood_event) * ({c} - flood_event))"
 
 @query(
     "calibration_compare",
-    i.on_scored(
+    _on_calibrated(
         f"""
 SELECT 'raw_score' AS score, (SELECT round({ERROR.format(c="raw_score")}, 6) FROM test)
          AS brier_score, (SELECT round({PR}, 6) FROM curve_raw) AS pr_auc
@@ -527,7 +544,6 @@ UNION ALL
 SELECT 'calibrated_probability',
        (SELECT round({ERROR.format(c="calibrated_probability")}, 6) FROM calibrated),
        (SELECT round({PR}, 6) FROM curve_calibrated)""",
-        ISOTONIC,
         CURVE.format(tag="_raw", rows="(SELECT raw_score AS score, flood_event FROM test)"),
         CURVE.format(
             tag="_calibrated",
@@ -544,11 +560,10 @@ def calibration_compare(spark, sf_dir):
 
 @query(
     "calibrated_top",
-    i.on_scored(
+    _on_calibrated(
         "SELECT location, datetime, raw_score, "
         "round(calibrated_probability, 6) AS calibrated_probability, flood_event "
-        "FROM calibrated ORDER BY raw_score DESC, location, datetime LIMIT 20",
-        ISOTONIC,
+        "FROM calibrated ORDER BY raw_score DESC, location, datetime LIMIT 20"
     ),
 )
 def calibrated_top(spark, sf_dir):

@@ -1,13 +1,12 @@
 """Evaluation of scores and predictions against a 0/1 label."""
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import score_bin
-from freshet.storage import stage
+from freshet.operators.ordered import PLACE, running
 
-# The swept thresholds, and the evaluator's default number of curve points.
+# The swept thresholds, and the usual number of curve points.
 THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
 CURVE_BINS = 1000
 
@@ -113,7 +112,8 @@ def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -
     """One row: accuracy, class-weighted and class-1 precision, recall and F1.
 
     All come from the four confusion counts, so the scored rows are read once. ``left_out`` rows
-    have a label or prediction other than 0 and 1 and are in none of the four.
+    have a label or prediction other than 0 and 1 and are in none of the four. Where all are left
+    out, every metric is 0.
     """
     pairs = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
     counts = df.agg(
@@ -131,7 +131,7 @@ def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -
     }
 
     def weighted(metric):
-        return sum(size * metric(p, r) for size, p, r in per_class.values()) / n
+        return _ratio(sum(size * metric(p, r) for size, p, r in per_class.values()), n)
 
     _, precision, recall = per_class["pos"]
     return counts.select(
@@ -146,37 +146,88 @@ def class_metrics(df: DataFrame, label="flood_event", prediction="prediction") -
     )
 
 
-def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Rows that count per distinct score and label, stored: all that a curve needs of ``df``."""
-    counts = df.filter(_known(label, score)).groupBy(
-        F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")
-    ).agg(F.count("*").cast("double").alias("weight"))
-    return stage(counts, "score-counts")
+def curves(df: DataFrame, scores, label="flood_event", exact=False) -> DataFrame:
+    """Points of the curves of several score columns, best score first: name, score, pos, neg, tp,
+    fp, n_pos, n_neg.
 
+    A point is a distinct score: pos and neg rows have it, tp and fp rows have it or a higher one,
+    of n_pos and n_neg in all. Over the rows that count for that score (``left_out``). There are
+    about a thousand points a column, each of as many neighbouring scores; ``exact`` keeps every
+    distinct score. All columns share one pass over ``df``, one shuffle by score and one sort.
+    """
+    each = F.array(
+        *(
+            F.struct(F.lit(s).alias("name"), F.when(_known(label, s), F.col(s).cast("double")).alias("score"))
+            for s in scores
+        )
+    )
+    counts = (
+        df.select(F.col(label).alias("label"), F.explode(each).alias("each"))
+        .select("label", "each.*")
+        .filter("score is not null")
+        .groupBy("name", "score")
+        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    )
+    placed = running(counts, ["name", F.desc("score")], ["pos", "neg"], "score-counts")
+    # A row per column asked for.
+    spans = placed.groupBy("name").agg(
+        F.min(PLACE).alias("first"),
+        F.count("*").alias("n"),
+        F.sum("pos").alias("n_pos"),
+        F.sum("neg").alias("n_neg"),
+        F.min(F.col("pos_to") - F.col("pos")).alias("pos_before"),
+        F.min(F.col("neg_to") - F.col("neg")).alias("neg_before"),
+    )
+    points = placed.join(F.broadcast(spans), "name").select(
+        "name",
+        "score",
+        "pos",
+        "neg",
+        (F.col("pos_to") - F.col("pos_before")).alias("tp"),
+        (F.col("neg_to") - F.col("neg_before")).alias("fp"),
+        "n_pos",
+        "n_neg",
+        (F.col(PLACE) - F.col("first")).alias("k"),
+        F.expr(f"n div {CURVE_BINS}").alias("width"),
+    )
+    if exact:
+        return points.drop("k", "width")
+    merged = F.when(F.col("width") >= 2, F.expr("k div width")).otherwise(F.col("k"))
+    return (
+        points.groupBy("name", merged.alias("k"), "n_pos", "n_neg")
+        .agg(
+            F.min("score").alias("score"),
+            F.sum("pos").alias("pos"),
+            F.sum("neg").alias("neg"),
+            F.max("tp").alias("tp"),
+            F.max("fp").alias("fp"),
+        )
+        .select("name", "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg")
+    )
 
-def area_under(counts: DataFrame, metric: str, exact=False) -> float:
-    """Area under the ROC ("areaUnderROC") or precision-recall ("areaUnderPR") curve.
 
-    The curve has about a thousand points, whatever the data; ``exact`` keeps every distinct
-    score. Both are sorted and summed by Spark over the cluster.
+def areas(df: DataFrame, scores, label="flood_event", exact=False) -> DataFrame:
+    """One row per score column: name, roc_auc, pr_auc; both null where no row counts.
+
+    Each point knows the counts before it, so both areas are one sum over the points. Where one
+    class has no row its rate is 0 throughout: without negative rows the area under the ROC curve
+    is 1, without positive rows both areas are 0.
     """
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="score",
-        labelCol="label",
-        weightCol="weight",
-        metricName=metric,
-        numBins=0 if exact else CURVE_BINS,
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    precision = _ratio(tp, tp + fp)
+    before = F.when(tp0 + fp0 > 0, _ratio(tp0, tp0 + fp0)).otherwise(precision)
+    roc = _ratio(F.col("neg"), F.col("n_neg")) * _ratio(tp + tp0, F.col("n_pos")) / 2
+    pr = _ratio(F.col("pos"), F.col("n_pos")) * (precision + before) / 2
+    made = (
+        curves(df, scores, label, exact)
+        .groupBy("name")
+        .agg(F.when(F.max("n_neg") == 0, F.lit(1.0)).otherwise(F.sum(roc)).alias("roc_auc"), F.sum(pr).alias("pr_auc"))
     )
-    return evaluator.evaluate(counts)
+    names = df.sparkSession.createDataFrame([(s,) for s in scores], "name string")
+    return names.join(F.broadcast(made), "name", "left")
 
 
 def auc(df: DataFrame, score: str, label="flood_event", exact=False) -> DataFrame:
-    """One row: both areas, over the rows that count (``left_out``). ``df`` is read once.
-
-    Both are null where no row counts.
-    """
-    counts = score_counts(df, score, label)
-    if counts.isEmpty():
-        return df.sparkSession.createDataFrame([(None, None)], "roc_auc double, pr_auc double")
-    areas = [area_under(counts, m, exact) for m in ("areaUnderROC", "areaUnderPR")]
-    return df.sparkSession.createDataFrame([areas], "roc_auc double, pr_auc double")
+    """One row: both areas of one score; see ``areas``. ``df`` is read once."""
+    return areas(df, [score], label, exact).select("roc_auc", "pr_auc")

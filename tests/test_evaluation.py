@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from freshet.operators import evaluation
+from freshet.operators import evaluation, ordered
 from freshet.operators.topk import top_rows
+from freshet.plans.calibration import compare_scores
 
 
 def frame(spark, rows):
@@ -63,6 +64,70 @@ def test_exact_area_is_the_rank_sum(scores):
     assert got == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
 
 
+@pytest.mark.parametrize("rows", [[(0.2, 1), (0.7, 1)], [(0.2, 0), (0.7, 0), (0.7, 0)]])
+def test_areas_of_one_class_equal_evaluator(spark, rows):
+    df = frame(spark, rows)
+    got = evaluation.auc(df, "score", exact=True).first()
+    for value, metric in ((got.roc_auc, "areaUnderROC"), (got.pr_auc, "areaUnderPR")):
+        evaluator = BinaryClassificationEvaluator(
+            labelCol="flood_event", rawPredictionCol="score", metricName=metric, numBins=0
+        )
+        assert value == pytest.approx(evaluator.evaluate(df)), metric
+
+
+def test_areas_of_many_points_are_close(spark):
+    rng = random.Random(4)
+    df = frame(spark, [(x := rng.random(), int(rng.random() < x * x)) for _ in range(9000)])
+    exact, binned = (evaluation.auc(df, "score", exact=e).first() for e in (True, False))
+    assert 1000 <= evaluation.curves(df, ["score"]).count() < 2000
+    assert binned.roc_auc == pytest.approx(exact.roc_auc, abs=1e-4)
+    assert binned.pr_auc == pytest.approx(exact.pr_auc, abs=1e-2)
+
+
+def test_several_scores_share_one_sort(spark, scores, monkeypatch):
+    plans = []
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+    df = scores.withColumn("other", 1 - F.col("score")).withColumn("none", F.lit(None).cast("double"))
+    want = {s: tuple(evaluation.auc(df, s, exact=True).first()) for s in ("score", "other", "none")}
+    monkeypatch.setattr(ordered, "stage", stored)
+    got = evaluation.areas(df, ["score", "other", "none"], exact=True).collect()
+    assert {r["name"]: (r.roc_auc, r.pr_auc) for r in got} == pytest.approx(want)
+    assert want["none"] == (None, None) and want["other"][0] == pytest.approx(1 - want["score"][0])
+    assert len(plans) == 1 and plans[0].count("RepartitionByExpression") == plans[0].count("Sort [") == 1
+
+
+def test_running_totals(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(-5, 9), rng.random(), None if k % 7 == 0 else k) for k in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, a int, x double, n long").repartition(7)
+    got = sorted((r.place, r.id, r.a_to, r.x_to, r.n_to) for r in ordered.running(df, [F.desc("id")], ["a", "x", "n"]).collect())
+    a = x = n = 0
+    for place, (row, r) in enumerate(zip(got, sorted(rows, reverse=True)), 1):
+        a, x, n = a + r[1], x + r[2], n + (r[3] or 0)
+        assert row[:3] == (place, r[0], a) and row[3] == pytest.approx(x) and row[4] == n
+    assert ordered.running(df.limit(0), ["id"], ["a"]).count() == 0
+
+
+def test_nothing_counts(spark):
+    """A period without rows, or with scores alone that are none: no crash, and stated results."""
+    empty = frame(spark, [])
+    unscored = frame(spark, [(None, 1), (float("nan"), 0)]).withColumn("prediction", F.lit(None).cast("double"))
+    for df in (empty, unscored):
+        metrics = evaluation.class_metrics(df).first().asDict()
+        assert metrics.pop("left_out") == df.count() and set(metrics.values()) == {0.0}
+        assert tuple(evaluation.auc(df, "score").first()) == (None, None)
+        assert evaluation.reliability_table(df, "score").count() == 0
+        compared = compare_scores(df.withColumn("other", F.col("score")), ("score", "other")).collect()
+        assert sorted(map(tuple, compared)) == [("other", None, None), ("score", None, None)]
+    one = frame(spark, [(0.4, 1), (0.6, 1)])
+    assert evaluation.class_metrics(one).first().accuracy == 0.5
+
+
 def test_sweep(spark):
     rows = [(k / 10, y) for k in range(11) for y in (0, 1)] + [(None, 1), (0.95, 0)]
     got = {r.threshold: r for r in evaluation.threshold_sweep(frame(spark, rows), "score").collect()}

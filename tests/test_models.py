@@ -1,5 +1,6 @@
 """Forests and calibration: properties that hold whatever the trees are."""
 
+import random
 import subprocess
 import sys
 from dataclasses import replace
@@ -7,13 +8,20 @@ from dataclasses import replace
 import duckdb
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from freshet.catalog import inputs as i
 from freshet.operators.rolling import FEATURES_48H
 from freshet.plans import training
-from freshet.plans.calibration import apply_calibrator, compare_scores, fit_calibrator
+from freshet.plans.calibration import (
+    apply_calibrator,
+    compare_scores,
+    fit_calibrator,
+    load_calibrator,
+    save_calibrator,
+)
 from freshet.plans.scoring import dropped_rows, score_table
 from freshet.plans.training import (
     feature_importance,
@@ -209,14 +217,64 @@ def test_same_forest_on_any_number_of_cores(small_dir):
 
 def test_isotonic_known_values(spark):
     df = spark.createDataFrame(
-        [(0.1, 0), (0.2, 1), (0.3, 0), (0.8, 1), (None, 1)], "raw_score double, flood_event int"
+        [(0.1, 0), (0.2, 1), (0.3, 0), (0.8, 1), (None, 1), (float("nan"), 0)], "raw_score double, flood_event int"
+    )
+    model = fit_calibrator(df)
+    points = sorted(map(tuple, model.points.collect()))
+    assert points == [(0.1, 0.0), (0.2, 0.5), (0.3, 0.5), (0.8, 1.0)]
+    test = spark.createDataFrame(
+        [(0.0,), (0.15,), (0.25,), (0.55,), (0.9,), (None,), (float("nan"),)], "raw_score double"
     )
+    for rows in (None, 0):
+        got = apply_calibrator(model, test, rows).orderBy("raw_score").collect()
+        values = [r.calibrated_probability for r in got]
+        assert values[0] is None and values[-1] is None
+        assert values[1:-1] == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0])
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "steps", "saw"])
+@pytest.mark.parametrize("size", [4, 50, 250_000])
+def test_pooled_in_rounds_is_the_same_fit(spark, shape, size):
+    """Groups far smaller than the data, and a map joined by shuffle, give Spark's own fit."""
+    rng = random.Random(11)
+    n = 1200
+    rate = {
+        "noise": lambda x: x,
+        "falling": lambda x: 1 - x,
+        "steps": lambda x: (int(x * 5) % 2) * 0.6 + 0.2,
+        "saw": lambda x: (x * 7) % 1,
+    }[shape]
+    rows = [(round(rng.random(), 3), 0) for _ in range(n)]
+    rows = [(x, int(rng.random() < rate(x))) for x, _ in rows]
+    df = spark.createDataFrame(rows, "raw_score double, flood_event int")
+    pooled = df.groupBy("raw_score").agg(F.avg("flood_event").alias("y"), F.count("*").cast("double").alias("w"))
+    known = IsotonicRegression(
+        featuresCol="raw_score", labelCol="y", weightCol="w", predictionCol="known"
+    ).fit(pooled)
+    tests = spark.range(-20, 1020).selectExpr("id / 1000D + 0.0002D as raw_score")
+    want = known.transform(tests)
+    for broadcast_rows in (None, 0):
+        made = apply_calibrator(fit_calibrator(df, size=size), want, broadcast_rows)
+        worst = made.agg(F.max(F.abs(F.col("known") - F.col("calibrated_probability"))), F.count("known")).first()
+        assert worst[0] < 1e-9 and worst[1] == 1040
+
+
+def test_saved_calibrator(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0)], "raw_score double, flood_event int")
+    model, path = fit_calibrator(df), new_path(spark, "map")
+    save_calibrator(model, path)
+    again = apply_calibrator(load_calibrator(spark, path), df)
+    assert sorted(again.collect()) == sorted(apply_calibrator(model, df).collect())
+
+
+def test_a_column_of_the_same_name_is_replaced(spark):
+    df = spark.createDataFrame([(0.1, 0, "x"), (0.2, 1, "y")], "raw_score double, flood_event int, calibrated_key string")
     model = fit_calibrator(df)
-    assert model.boundaries.toArray().tolist() == [0.1, 0.2, 0.3, 0.8]
-    assert model.predictions.toArray().tolist() == [0.0, 0.5, 0.5, 1.0]
-    test = spark.createDataFrame([(0.0,), (0.15,), (0.25,), (0.55,), (0.9,)], "raw_score double")
-    got = [r.calibrated_probability for r in apply_calibrator(model, test).collect()]
-    assert got == pytest.approx([0.0, 0.25, 0.5, 0.75, 1.0])
+    again = df.withColumn("calibrated_probability", F.lit(9.0))
+    for rows in (None, 0):
+        made = apply_calibrator(model, again, rows)
+        assert sorted(made.columns) == sorted(again.columns)
+        assert sorted((r.calibrated_key, r.calibrated_probability) for r in made.collect()) == [("x", 0.0), ("y", 1.0)]
 
 
 def test_calibration_needs_rows(spark):
