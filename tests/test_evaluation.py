@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from freshet.operators import evaluation, ordered
 from freshet.operators.topk import top_rows
 from freshet.plans.calibration import compare_scores
+from freshet.storage import stage
 
 
 def frame(spark, rows):
@@ -94,8 +95,10 @@ def test_several_scores_share_one_sort(spark, scores, monkeypatch):
     df = scores.withColumn("other", 1 - F.col("score")).withColumn("none", F.lit(None).cast("double"))
     want = {s: tuple(evaluation.auc(df, s, exact=True).first()) for s in ("score", "other", "none")}
     monkeypatch.setattr(ordered, "stage", stored)
-    got = evaluation.areas(df, ["score", "other", "none"], exact=True).collect()
-    assert {r["name"]: (r.roc_auc, r.pr_auc) for r in got} == pytest.approx(want)
+    got = {r["name"]: (r.roc_auc, r.pr_auc) for r in evaluation.areas(df, list(want), exact=True).collect()}
+    assert got.pop("none") == (None, None)
+    for name, both in got.items():
+        assert both == pytest.approx(want[name])
     assert want["none"] == (None, None) and want["other"][0] == pytest.approx(1 - want["score"][0])
     assert len(plans) == 1 and plans[0].count("RepartitionByExpression") == plans[0].count("Sort [") == 1
 
@@ -184,6 +187,34 @@ def test_top_rows_per_group(spark, k):
         )
 
 
+def test_a_hot_group_of_any_rank_is_ranked_in_ranges(spark, monkeypatch):
+    """100,000 first rows of one group: exact, and no task above twice the stated number of rows."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 < 9, "cold").alias("location"),
+        (F.col("id") * 7919 % 300_007).alias("v"),
+        F.create_map(F.lit("k"), F.col("id")).alias("place"),
+    )
+    parts = []
+
+    def stored(made, name):
+        out = stage(made, name)
+        if name == "ranked":
+            parts.extend(r["count"] for r in out.groupBy("_part").count().collect())
+        return out
+
+    monkeypatch.setattr(ordered, "stage", stored)
+    got = top_rows(df, [F.desc("v")], 100_000, per="location", rows_per_task=20_000)
+    assert got.columns == df.columns
+    made = got.groupBy("location").agg(F.count("*").alias("n"), F.min("v").alias("least")).collect()
+    for row in made:
+        mine = df.filter(F.col("location").eqNullSafe(F.lit(row.location)))
+        n = mine.count()
+        want = mine.orderBy(F.desc("v")).limit(100_000).agg(F.min("v")).first()[0]
+        assert (row.n, row.least) == (min(n, 100_000), want)
+    assert {r.location for r in made} == {"hot", "cold", None}
+    assert len(parts) >= 15 and max(parts) <= 40_000
+
+
 def test_top_rows_overall(spark):
     df = spark.range(100)
     assert [r.id for r in top_rows(df, [F.desc("id")], 2, where=F.col("id") < 50).collect()] == [49, 48]

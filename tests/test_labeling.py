@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import between_times
+from freshet.operators import labeling
 from freshet.operators.labeling import label_intervals
+from freshet.operators.lookup import lookup
 from freshet.operators.stats import class_weights, label_counts, monthly_rate
 from freshet.plans.training import temporal_split
 
@@ -63,6 +65,53 @@ def test_equals_rule(spark, by_location, broadcast_rows, rows_per_task):
     assert made.columns == ["location", "datetime", "date", "flood_event"]
 
 
+def test_a_century_is_one_row_per_bin(spark, monkeypatch):
+    events = spark.createDataFrame([(date(1950, 1, 1), date(2049, 12, 31), "a")], EVENTS)
+    asked = []
+    monkeypatch.setattr(labeling, "lookup", lambda df, dim, *rest: asked.append(dim) or lookup(df, dim, *rest))
+    made = label_intervals(spark.createDataFrame(hours(2), OBS), events)
+    assert made.filter("flood_event = 1").count() == 48 == made.filter("location = 'a'").count()
+    days = (date(2049, 12, 31) - date(1950, 1, 1)).days + 1
+    assert days / 64 <= asked[0].count() <= days / 64 + 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_hourly_bounds(spark, broadcast_rows):
+    kinds = "start_date timestamp_ntz, end_date timestamp_ntz, location string"
+    spans = [
+        (datetime(2024, 1, 1, 5, 30), datetime(2024, 1, 1, 7, 10), "a"),
+        (datetime(2024, 1, 1, 7), datetime(2024, 1, 3, 20), "a"),
+        (datetime(2023, 12, 31, 23), datetime(2024, 1, 1, 0, 59), "b"),
+        (datetime(1969, 12, 1), datetime(1970, 1, 1, 3), "c"),
+    ]
+    rows = hours(5) + [("c", datetime(1969, 12, 31, 22)), ("c", datetime(1970, 1, 1, 4)), ("c", None)]
+    made = label_intervals(
+        spark.createDataFrame(rows, OBS), spark.createDataFrame(spans, kinds), unit="hour", broadcast_rows=broadcast_rows
+    )
+    hour = lambda t: t.replace(minute=0)
+    want = {
+        (w, t): int(any(w == k and t is not None and hour(a) <= t <= hour(b) for a, b, k in spans)) for w, t in rows
+    }
+    assert {(r.location, r.datetime): r.flood_event for r in made.collect()} == want
+    assert sum(want.values()) == 64 + 1 + 1
+    with pytest.raises(TypeError, match="hour"):
+        label_intervals(spark.createDataFrame(rows, OBS), spark.createDataFrame(INTERVALS, EVENTS), unit="hour")
+
+
+def test_columns_named_like_its_own(spark):
+    df = spark.createDataFrame(hours(1), OBS).withColumns({c: F.lit(c) for c in ("_bin", "_unit", "_mask", "_from")})
+    made = label_intervals(df, spark.createDataFrame(INTERVALS, EVENTS))
+    assert made.columns == [*df.columns, "date", "flood_event"]
+    assert made.filter("_bin <> '_bin' or _mask <> '_mask' or _unit <> '_unit'").count() == 0
+
+
+def test_one_measuring_job(spark, monkeypatch):
+    measured = []
+    monkeypatch.setattr(labeling, "fits_broadcast", lambda *a: measured.append(a) or True)
+    label_intervals(spark.createDataFrame(hours(1), OBS), spark.createDataFrame(INTERVALS, EVENTS))
+    assert not measured
+
+
 def test_no_events(spark):
     made = label_intervals(
         spark.createDataFrame(hours(1), OBS), spark.createDataFrame([], EVENTS)
