@@ -57,6 +57,7 @@ from freshet.plans.features import labeled_features
 from freshet.plans.scoring import dropped_rows, score_table
 from freshet.plans.training import (
     FeatureSpec,
+    ForestModel,
     build_pipeline,
     feature_importance,
     fit,
@@ -80,6 +81,7 @@ from freshet.storage import scratch
 
 __all__ = [
     "FeatureSpec",
+    "ForestModel",
     "LagSpec",
     "RollingSpec",
     "add_month_cycle",

@@ -1,15 +1,14 @@
 """Scoring with a fitted pipeline."""
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import positive_score, with_risk_report
-from freshet.plans.training import MAIN, FeatureSpec, model_rows
+from freshet.plans.training import MAIN, FeatureSpec, ForestModel, model_rows
 
 
 def score_table(
-    model: PipelineModel,
+    model: ForestModel,
     df: DataFrame,
     spec: FeatureSpec = MAIN,
     out: str = "flood_probability",
@@ -17,8 +16,8 @@ def score_table(
 ) -> DataFrame:
     """Score the complete rows of ``df``; ``report`` adds the risk columns.
 
-    A filter on a score moves below it, and the forest is then applied twice to each row. Store
-    the scored table before it is filtered or read again.
+    A filter on a score is applied to the scores: the forest runs once a row. Store the scored
+    table before it is read again.
     """
     scored = positive_score(model.transform(model_rows(df, spec, labelled=False)), out=out)
     return with_risk_report(scored, out) if report else scored

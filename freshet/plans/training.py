@@ -4,13 +4,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import add_month_cycle, between_times, complete_cases
 from freshet.operators.rolling import FEATURES_48H, MAIN_FEATURES
 from freshet.operators.stats import apply_weights, class_weights
+from freshet.plans.encoding import DIGITS, Encoding, encode_category, location_ranks  # noqa: F401
 from freshet.schemas import MEASURES
 from freshet.storage import stage
 
@@ -26,9 +27,10 @@ ROWS_PER_TASK = 1_000_000
 class FeatureSpec:
     """What a model is trained on.
 
-    ``max_bins`` is a parameter of the model, the same for any data: numeric inputs are split at
-    so many places, and the category is given as inputs of at most so many indexes each, more of
-    them the more values it has (see ``category_stages``).
+    ``max_bins`` and ``digits`` are parameters of the model, the same for any data: numeric inputs
+    are split at so many places, and the category is given as one input of ``max_bins`` indexes
+    and ``digits`` more that tell its rarer values apart (see ``Encoding``): four digits of base
+    32 for a million values. More values than the digits can name are refused.
     """
 
     numeric: tuple = MEASURES + tuple(s.out for s in MAIN_FEATURES)
@@ -42,6 +44,7 @@ class FeatureSpec:
     depth: int = DEPTH
     seed: int = SEED
     max_bins: int = MAX_BINS
+    digits: int = DIGITS
 
     @property
     def index(self):
@@ -83,79 +86,32 @@ def with_split(df: DataFrame, ts: str, cuts, names, out="split") -> DataFrame:
     return df.withColumn(out, part.otherwise(names[-1]))
 
 
-def _by_frequency(df, column, n):
-    rows = F.count("*") if n is None else F.sum(n)
-    most = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows.alias("rows_of_value"))
-    return most.orderBy(F.desc("rows_of_value"), column)
-
-
-def location_ranks(df: DataFrame, column="location", n=None) -> DataFrame:
-    """Each value of ``column`` and its ``<column>_index``, as ``location_indexer`` numbers them.
-
-    For any number of values: they are sorted and numbered in tasks, none come to the driver.
-    """
-    place = F.monotonically_increasing_id()
-    placed = stage(_by_frequency(df, column, n).select(column, place.alias("place")), "ranks")
-    # The place holds the number of the sorted partition above 33 bits of the row's place in it.
-    placed = placed.withColumn("part", F.shiftright("place", 33))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    # One row per sorted partition here, so a single partition is right.
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    index = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(starts), "part").select(
-        column, index.cast("double").alias(f"{column}_index")
-    )
-
-
-def location_indexer(df: DataFrame, column="location", values=None, n=None):
-    """Index by falling frequency, ties by name, of all values of ``df`` or the first ``values``.
+@dataclass(frozen=True)
+class ForestModel:
+    """A fitted assembler and forest, and the numbers of the category they were trained on."""
 
-    All others, null and unseen ones share one more index. Spark counts the values; the model
-    holds those it indexes, as Spark's does. ``n`` names a column of counts.
-    """
-    most = _by_frequency(df, column, n)
-    labels = [r[0] for r in (most if values is None else most.limit(values)).collect()]
-    return _indexer(labels, column, f"{column}_index")
+    pipeline: PipelineModel
+    encoding: Encoding = None
 
+    @property
+    def forest(self):
+        return self.pipeline.stages[-1]
 
-def _indexer(labels, column, out):
-    return StringIndexerModel.from_labels(labels, column, out, handleInvalid="keep")
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the forest's columns.
 
+        They come out of a generator: a filter on one of them stays above it, where below it the
+        forest would be applied to each row once for the filter and once for the result.
+        """
+        made = ("rawPrediction", "probability", "prediction")
+        found = self.pipeline.transform(self.encoding.add(df) if self.encoding else df)
+        once = F.explode(F.array(F.struct(*made)))
+        kept = [F.col(f"`{c}`") for c in found.columns if c not in made]
+        return found.select(*kept, once.alias("scored_")).select(*kept, "scored_.*")
 
-def category_stages(df: DataFrame, spec: FeatureSpec = MAIN, n=None):
-    """Stages that index every value of the category in inputs of ``max_bins`` indexes at most.
 
-    The first tells the ``max_bins - 1`` most frequent values apart and the rest from them. If
-    there is a rest, its values are numbered on, unseen ones last, and the digits of that number
-    in base ``max_bins`` are inputs too (0 for the most frequent): no two values share a code.
-    Gives the stages and the digits' columns.
-    """
-    base, column = spec.max_bins, spec.category
-    labels = location_indexer(df, column, n=n).labels
-    first = _indexer(labels[: base - 1], column, spec.index)
-    if len(labels) < base:
-        return [first], []
-    place, most = f"{column}_place", len(labels) - (base - 2)
-    powers = [1]
-    while powers[-1] * base <= most:
-        powers.append(powers[-1] * base)
-    texts = [f"{column}_digit{k}_text" for k in range(len(powers))]
-    digits = [f"{column}_digit{k}" for k in range(len(powers))]
-    number = f"greatest(CAST(`{place}` AS BIGINT) - {base - 2}, 0)"
-    made = ", ".join(f"CAST({number} div {p} % {base} AS STRING) AS `{t}`" for p, t in zip(powers, texts))
-    indexes = [[str(k) for k in range(min(base, most // p + 1))] for p in powers]
-    return [
-        first,
-        _indexer(labels, column, place),
-        SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"),
-        StringIndexerModel.from_arrays_of_labels(indexes, texts, digits, handleInvalid="error"),
-    ], digits
-
-
-def build_pipeline(spec: FeatureSpec = MAIN, *before, more=()) -> Pipeline:
-    """The assembler and forest of ``spec``, after the stages ``before``; ``more`` names inputs
-    that these add to those of ``spec``."""
+def build_pipeline(spec: FeatureSpec = MAIN, more=()) -> Pipeline:
+    """The assembler and forest of ``spec``; ``more`` names inputs beside those of ``spec``."""
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=spec.label,
@@ -167,7 +123,7 @@ def build_pipeline(spec: FeatureSpec = MAIN, *before, more=()) -> Pipeline:
     if spec.weighted:
         forest.setWeightCol("class_weight")
     assembler = VectorAssembler(inputCols=[*spec.inputs, *more], outputCol="features")
-    return Pipeline(stages=[*before, assembler, forest])
+    return Pipeline(stages=[assembler, forest])
 
 
 def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataFrame:
@@ -177,35 +133,36 @@ def model_rows(df: DataFrame, spec: FeatureSpec, labelled: bool = True) -> DataF
     return complete_cases(df, spec.required + ((spec.label,) if labelled else ()))
 
 
-def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> PipelineModel:
-    """Train on ``train``. Weights and indexes come from these rows alone.
+def fit(train: DataFrame, spec: FeatureSpec = MAIN, partitions: int = None) -> ForestModel:
+    """Train on ``train``. Weights and numbers of the category come from these rows alone.
 
-    ``train`` is read twice, for the counts of classes and categories and for the inputs, which
-    are stored: pass a stored table, not a long computation. The forest reads the stored inputs,
-    dealt out evenly, copies included, over enough partitions.
+    ``train`` is read once, into a stored table of the inputs, from which classes and categories
+    are counted. The forest reads them with the category's numbers looked up, dealt out evenly,
+    copies included, over enough partitions.
 
     A forest depends on how its rows are dealt and ordered: with ``partitions`` given, both
     follow from the rows' content, and a fit gives the same forest on any cluster.
     """
-    rows = model_rows(train, spec)
-    by = [spec.label, *([spec.category] if spec.use_category else [])]
-    groups = stage(rows.groupBy(*by).agg(F.count("*").alias("n")), "class-counts")
+    category = [spec.category] if spec.use_category else []
+    rows = model_rows(train, spec).select(*spec.numeric, *spec.cycle, spec.label, *category)
+    rows = stage(rows, "training")
+    groups = stage(rows.groupBy(spec.label, *category).agg(F.count("*").alias("n")), "class-counts")
     weights = class_weights(groups, spec.label, "n")
     counts = {r[0]: r["n"] for r in weights.filter(F.col(spec.label).isin(0, 1)).collect()}
     if spec.weighted and set(counts) != {0, 1}:
         raise ValueError(f"training rows hold only the classes {sorted(counts)}")
-    before, digits = category_stages(groups, spec, "n") if spec.use_category else ([], [])
+    encoding = encode_category(groups, spec.category, spec.max_bins, spec.digits, "n") if category else None
+    digits = encoding.digit_columns if encoding else []
+    used = [*spec.inputs, *digits, spec.label]
     if spec.weighted:
         rows = apply_weights(rows, weights, spec.label)
-    used = [*spec.numeric, *spec.cycle, spec.label]
-    used += ["class_weight"] if spec.weighted else []
-    used += [spec.category] if spec.use_category else []
-    rows = stage(rows.select(*used), "training")
+        used.append("class_weight")
+    rows = (encoding.add(rows) if encoding else rows).select(*used)
     if partitions is None:
         rows = rows.repartition(_partitions(train.sparkSession, sum(counts.values())))
     else:
         rows = rows.repartition(partitions, F.xxhash64(*used)).sortWithinPartitions(*used)
-    return build_pipeline(spec, *before, more=digits).fit(rows)
+    return ForestModel(build_pipeline(spec, digits).fit(rows), encoding)
 
 
 def _partitions(spark, rows: int) -> int:
@@ -213,17 +170,15 @@ def _partitions(spark, rows: int) -> int:
     return max(-(-rows // ROWS_PER_TASK), spark.sparkContext.defaultParallelism)
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
+def feature_importance(model: ForestModel) -> DataFrame:
     """Importance per input, largest first; names come from the model's own assembler.
 
     The digits of a category are one input with its index: their shares are added up.
     """
-    assembler, forest = model.stages[-2], model.stages[-1]
+    assembler, forest = model.pipeline.stages
     values = forest.featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    whole = {}
-    if len(model.stages) > 3:
-        whole = dict.fromkeys(model.stages[-3].getOutputCols(), model.stages[0].getOutputCol())
+    whole = dict.fromkeys(model.encoding.digit_columns, model.encoding.index) if model.encoding else {}
     shares = {}
     for name, value in zip(assembler.getInputCols(), values):
         name = whole.get(name, name)

@@ -1,6 +1,7 @@
 """Forests and calibration: properties that hold whatever the trees are."""
 
 import random
+import re
 import subprocess
 import sys
 from dataclasses import replace
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
@@ -23,13 +25,8 @@ from freshet.plans.calibration import (
     save_calibrator,
 )
 from freshet.plans.scoring import dropped_rows, score_table
-from freshet.plans.training import (
-    feature_importance,
-    fit,
-    location_indexer,
-    location_ranks,
-    temporal_split,
-)
+from freshet.plans.encoding import encode_category, location_ranks
+from freshet.plans.training import feature_importance, fit, temporal_split
 from freshet.sources import load_model, save_model
 from freshet.storage import new_path, stage
 from tests.oracle import compare
@@ -100,8 +97,9 @@ def test_saved_model_scores_alike(spark, split, model):
 def test_feature_sets(split, spec, width):
     small = replace(spec, trees=2, depth=2)
     made = fit(split[0], small)
-    assert len(spec.inputs) == width == made.stages[-1].numFeatures
-    assert len(made.stages) == (3 if spec.use_category else 2)
+    assert len(spec.inputs) == width
+    assert made.forest.numFeatures == width + (spec.digits if spec.use_category else 0)
+    assert len(made.pipeline.stages) == 2 and (made.encoding is not None) == spec.use_category
     assert {r.feature for r in feature_importance(made).collect()} == set(spec.inputs)
     assert score_table(made, split[1], small).count() == split[1].count()
     forest = training.build_pipeline(spec).getStages()[-1]
@@ -132,18 +130,59 @@ def test_one_class_is_refused(split):
 
 def test_indexer(spark):
     train = spark.createDataFrame([("b",), ("b",), ("c",), ("a",), (None,)], "location string")
-    model = location_indexer(train)
+    encoding = encode_category(train, base=3, digits=2)
     other = spark.createDataFrame([("a",), ("b",), ("c",), ("new",), (None,)], "location string")
-    got = {r.location: r.location_index for r in model.transform(other).collect()}
-    assert got == {"b": 0.0, "a": 1.0, "c": 2.0, "new": 3.0, None: 3.0}
-
-
-def test_bins_do_not_follow_the_number_of_locations(spark, split):
-    many = split[0].withColumn("location", F.concat("location", (F.xxhash64("datetime") % 40).cast("string")))
-    assert many.select("location").distinct().count() > 100
-    made = fit(many, replace(SMALL, trees=1, depth=2))
-    assert made.stages[-1].getMaxBins() == 32 and len(made.stages[0].labels) == 31
-    assert score_table(made, many, SMALL).agg(F.max("location_index")).first()[0] == 31
+    got = {r.location: (r.location_index, r.location_digit0, r.location_digit1) for r in encoding.add(other).collect()}
+    assert got == {"b": (0, 0, 0), "a": (1, 0, 0), "c": (2, 0, 0), "new": (2, 1, 0), None: (2, 1, 0)}
+    with pytest.raises(ValueError, match="digits"):
+        encode_category(spark.range(12), "id", base=3, digits=2)
+
+
+@pytest.mark.parametrize("places", [30, 31, 32, 33, 120])
+def test_inputs_do_not_follow_the_number_of_locations(spark, places):
+    rows = spark.range(places * 20).select(F.format_string("p%03d", F.col("id") % places).alias("location"), "id")
+    rows = rows.withColumn("flood_event", (F.col("id") % 3 == 0).cast("int"))
+    rows = rows.withColumns({c: F.col("id").cast("double") for c in SMALL.numeric})
+    spec = replace(SMALL, trees=1, depth=2)
+    made = fit(rows, spec)
+    assert made.forest.getMaxBins() == 32 and made.forest.numFeatures == 12 + 4
+    names = made.pipeline.stages[0].getInputCols()
+    assert names == [*spec.inputs, *(f"location_digit{k}" for k in range(4))]
+    scored = score_table(made, rows, spec)
+    assert scored.agg(F.max("location_index")).first()[0] == min(places - 1, 31)
+    assert scored.select("location_index", *names[-4:]).distinct().count() == places
+
+
+def test_many_values_stay_off_the_driver(spark, monkeypatch):
+    """A fit on 100,000 values: what comes to the driver does not grow with them."""
+    rows = spark.range(200_000).select(F.expr("concat('p', id % 100000)").alias("location"), "id")
+    rows = rows.withColumn("flood_event", (F.col("id") % 3 == 0).cast("int"))
+    rows = rows.withColumns({c: (F.col("id") % 97).cast("double") for c in SMALL.numeric})
+    fetched = []
+
+    def counted(self, collect=DataFrame.collect):
+        out = collect(self)
+        fetched.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    spec = replace(SMALL, trees=1, depth=2)
+    made = fit(rows, spec)
+    assert max(fetched, default=0) <= 2
+    assert made.encoding.values == 100_000
+    codes = made.encoding.add(rows).select("location_index", *made.encoding.digit_columns)
+    assert codes.distinct().count() == 100_000
+
+
+def test_a_filter_on_a_score_applies_the_forest_once(split, model):
+    scored = score_table(model, split[1], SMALL, report=True)
+    some = scored.filter("flood_probability > 0.5 and risk_level <> 'LOW' and location = 'click'")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"UDF\(features", plan)) == 1 and len(re.findall(r"UDF\(struct\(", plan)) == 1
+    # Filters on other columns still move below the forest.
+    assert plan.index("Filter") < plan.index("Generate") < plan.rindex("= click")
+    want = [r for r in scored.collect() if r.flood_probability > 0.5 and r.location == "click"]
+    assert some.count() == len(want)
 
 
 def test_location_index_of_many_locations(spark, small_dir, tmp_path):
@@ -156,8 +195,8 @@ def test_location_index_of_many_locations(spark, small_dir, tmp_path):
     run, sql = queries()["location_index"], oracle_sql()["location_index"]
     assert compare(spark, con, run, sql, str(tmp_path)) == ""
     obs = i.observations(spark, str(tmp_path)).select("location")
-    indexed = location_indexer(obs).transform(obs).distinct().collect()
-    assert sorted(map(tuple, indexed)) == sorted(map(tuple, location_ranks(obs).collect()))
+    numbers = encode_category(obs).table.collect()
+    assert sorted(map(tuple, numbers)) == sorted(map(tuple, location_ranks(obs).collect()))
 
 
 def test_every_location_has_a_code_of_its_own(spark, split):
@@ -169,8 +208,8 @@ def test_every_location_has_a_code_of_its_own(spark, split):
     path = new_path(spark, "model")
     save_model(fit(many, spec), path)
     made = load_model(path)
-    digits = made.stages[-3].getOutputCols()
-    assert made.stages[-1].numFeatures == 12 + len(digits) and len(digits) == 2
+    digits = made.encoding.digit_columns
+    assert made.forest.numFeatures == 12 + len(digits)
     new = many.limit(1).withColumn("location", F.lit("never seen"))
     scored = score_table(made, many.unionByName(new), spec)
     assert scored.select("location_index", *digits).distinct().count() == places + 1
