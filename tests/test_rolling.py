@@ -177,6 +177,51 @@ def test_rows_of_one_time_are_divided(spark, when):
     assert all(r.m >= r.precipitation for r in made)
 
 
+@pytest.mark.parametrize("shape", ["even", "exponential", "one burst"])
+def test_two_passes_find_any_cut(spark, monkeypatch, shape):
+    """One pass for the sketches and one for the cells' counts, however the times bunch."""
+    at = {
+        "even": lambda k: k * 3_600_000_000,
+        "exponential": lambda k: int(1.02**k) * 10 + k,
+        "one burst": lambda k: k if k % 100 else k * 10**12,
+    }[shape]
+    rows = [("a", at(k), float(k % 7)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "location string, datetime long, precipitation double")
+    counted, sketched = [], []
+    count, points = rowframes.Cut.count, rowframes._points
+    monkeypatch.setattr(rowframes.Cut, "count", lambda self, d, w=None: counted.append(d is df) or count(self, d, w))
+    monkeypatch.setattr(rowframes, "_points", lambda d, *rest: sketched.append(d is df) or points(d, *rest))
+    cut = rowframes._find_cut(df, ["location"], "datetime", 5, 100)
+    assert sum(counted) + sum(sketched) == 2
+    assert cut.buckets.count() > 20
+    assert largest_bucket(df, 100, back=5) <= 2 * 100 + 2 * 5
+    spec = RollingSpec("precipitation", "sum", 6, "s")
+    assert rolling(df, [spec], rows_per_task=100).exceptAll(rolling(df, [spec])).isEmpty()
+
+
+def test_wide_tables_of_the_cut_are_not_broadcast(spark, monkeypatch):
+    points = uneven(1500, 9)
+    monkeypatch.setattr(rowframes, "fits_broadcast", lambda table: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = row_features(series(spark, points), ALL, PRESSURE_LAGS, rows_per_task=300)
+        assert "strategy=broadcast" not in made._jdf.queryExecution().optimizedPlan().toString()
+        check(made, by_hand(points))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_named_like_its_own(spark):
+    points = uneven(900, 2)
+    own = ["_turn", "_bucket", "_copy", "_cell", "_tie", "_at", "_n", "_lo", "__k0", "_start"]
+    df = series(spark, points).withColumns({c: F.lit(c) for c in own})
+    for limit in (200, 10_000):
+        made = row_features(df, ALL, PRESSURE_LAGS, rows_per_task=limit)
+        check(made, by_hand(points))
+        assert made.columns[: len(df.columns)] == df.columns
+        assert made.select(*own).distinct().collect() == [tuple(own)]
+
+
 def test_single_series(spark):
     points = [("a", at, v) for _, at, v in uneven(1000, 1)[:1000]]
     df = series(spark, points)
