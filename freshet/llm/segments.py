@@ -20,8 +20,6 @@ _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _BYTE_LEVEL = re.compile(
     f"[{_WHITE}]*(?:[{_LETTERS}]++(?=[{_WHITE}!-@\\[-`{{-~]|\\Z)|[^{_WHITE}]+)|[{_WHITE}]+"
 )
-_MARKED = re.compile("▁+[^▁]*|[^▁]+")
-
 
 _WORD = re.compile(f" ?[{_LETTERS}]+\\Z")
 
@@ -36,11 +34,6 @@ def byte_level_segments(text):
     return _BYTE_LEVEL.findall(text)
 
 
-def marked_segments(text):
-    """A text cut before each run of markers that follows something else."""
-    return _MARKED.findall(text)
-
-
 class SegmentEncoder:
     """Ids of whole texts. ``cut`` gives a text's segments, ``encode`` the ids of a list of them."""
 
