@@ -25,9 +25,9 @@ from freshet.operators.profile import (
     distinct_sorted,
     null_counts,
     preview,
+    profile_table,
     row_count,
     schema_of,
-    schema_table,
 )
 from freshet.operators.rolling import (
     LagSpec,
@@ -71,6 +71,7 @@ from freshet.sources import (
     read_events,
     read_observations,
     read_table,
+    replace_partitions,
     save_model,
     tag_location,
     unpack_hourly,
@@ -119,11 +120,13 @@ __all__ = [
     "null_counts",
     "positive_score",
     "preview",
+    "profile_table",
     "quarantine",
     "read_csv",
     "read_events",
     "read_observations",
     "read_table",
+    "replace_partitions",
     "reliability_table",
     "risk_band",
     "rolling",
@@ -131,7 +134,6 @@ __all__ = [
     "row_features",
     "save_model",
     "schema_of",
-    "schema_table",
     "scratch",
     "score_table",
     "tag_location",

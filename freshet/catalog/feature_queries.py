@@ -353,19 +353,59 @@ def seasonal_cycle(spark, sf_dir):
     )
 
 
+COLUMNS = [("location", "string"), ("datetime", "timestamp_ntz"), *((m, "double") for m in MEASURES)]
+QUARTER = 0.25
+
+
+def _profiled_sql(position, name, kind):
+    quarter = f"quantile_disc({name}, {QUARTER})" if kind == "double" else "NULL"
+    return (
+        f"SELECT {position} AS position, '{name}' AS column_name, '{kind}' AS type, count(*) AS n_rows, "
+        f"count(*) - count({name}) AS n_nulls, true AS distinct_close, "
+        f"{quarter} IS NOT NULL AS has_quarter, true AS quarter_close FROM gappy"
+    )
+
+
 @query(
     "schema_listing",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({k}, '{name}', '{kind}')"
-        for k, (name, kind) in enumerate(
-            [("location", "string"), ("datetime", "timestamp_ntz"), *((m, "double") for m in MEASURES)]
-        )
-    )
-    + ") t(position, column_name, type)",
+    i.sql(
+        "\nUNION ALL ".join(_profiled_sql(k, name, kind) for k, (name, kind) in enumerate(COLUMNS)),
+        i.OBS,
+        i.GAPPY,
+    ),
 )
 def schema_listing(spark, sf_dir):
-    return profile.schema_table(i.observations(spark, sf_dir))
+    """Columns with their types, rows and nulls; the sketches' figures held against exact ones."""
+    rows = i.gappy_observations(spark, sf_dir).select(*(name for name, _ in COLUMNS))
+    found = profile.profile_table(rows, (QUARTER,))
+    numbers = [name for name, kind in COLUMNS if kind == "double"]
+    exact = rows.agg(*(F.count_distinct(name).alias(f"{name}_n") for name, _ in COLUMNS))
+    # The rank of each sketched quarter: shares of the rows below it, and up to it.
+    quarters = {r["column_name"]: r["quantiles"] for r in found.collect()}
+    ranks = rows.agg(
+        *(F.avg((F.col(c) < F.lit(quarters[c][0])).cast("double")).alias(f"{c}_below") for c in numbers if quarters[c]),
+        *(F.avg((F.col(c) <= F.lit(quarters[c][0])).cast("double")).alias(f"{c}_to") for c in numbers if quarters[c]),
+    )
+
+    def of(name, df, tail):
+        return df.select(f"{name}_{tail}").scalar()
+
+    n_exact = F.coalesce(*(F.when(F.col("column_name") == c, of(c, exact, "n")) for c, _ in COLUMNS))
+    near = [
+        F.when(F.col("column_name") == c, (of(c, ranks, "below") <= QUARTER + 0.01) & (of(c, ranks, "to") >= QUARTER - 0.01))
+        for c in numbers
+        if quarters[c]
+    ]
+    return found.select(
+        "position",
+        "column_name",
+        "type",
+        "n_rows",
+        "n_nulls",
+        (F.abs(F.col("n_distinct") - n_exact) <= 0.2 * n_exact + 1).alias("distinct_close"),
+        F.col("quantiles").isNotNull().alias("has_quarter"),
+        F.coalesce(*near, F.lit(True)).alias("quarter_close"),
+    )
 
 
 @query("row_count", "SELECT count(*) AS n_rows FROM events")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.operators.topk import top_rows
 
@@ -20,10 +21,38 @@ def schema_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema]
 
 
-def schema_table(df: DataFrame) -> DataFrame:
-    """Position, name and type of each column, as rows."""
-    rows = [(k, name, kind) for k, (name, kind) in enumerate(schema_of(df))]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string")
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def profile_table(df: DataFrame, quantiles=QUARTILES) -> DataFrame:
+    """One row per column: position, column_name, type, n_rows, n_nulls, n_distinct, least, most, quantiles.
+
+    All from one pass, by sketches that merge: n_distinct is approximate (within a few percent, by
+    a HyperLogLog sketch), and so are the quantiles of a numeric column, as doubles (by ranks
+    within a thousandth). least and most are texts, null for columns without an order, as are
+    quantiles of columns that are not numeric. NaN is a number, and the greatest.
+    """
+    columns = []
+    for k, field in enumerate(df.schema):
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        nested = isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
+        no_text, no_numbers = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
+        asked = F.array(*(F.lit(float(q)) for q in quantiles))
+        numeric = isinstance(kind, T.NumericType) and len(quantiles) > 0
+        columns.append(
+            F.struct(
+                F.lit(k).alias("position"),
+                F.lit(field.name).alias("column_name"),
+                F.lit(kind.simpleString()).alias("type"),
+                F.count("*").alias("n_rows"),
+                F.count_if(c.isNull()).alias("n_nulls"),
+                (F.approx_count_distinct(F.to_json(F.struct(c)) if nested else c)).alias("n_distinct"),
+                (no_text if nested else F.min(c).cast("string")).alias("least"),
+                (no_text if nested else F.max(c).cast("string")).alias("most"),
+                (F.percentile_approx(c.cast("double"), asked, 1000) if numeric else no_numbers).alias("quantiles"),
+            )
+        )
+    return df.agg(F.array(*columns).alias("columns")).select(F.inline("columns"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

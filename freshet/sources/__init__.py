@@ -6,6 +6,7 @@ from freshet.sources.tables import (
     read_events,
     read_observations,
     read_table,
+    replace_partitions,
     write_csv,
     write_table,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "read_events",
     "read_observations",
     "read_table",
+    "replace_partitions",
     "save_model",
     "tag_location",
     "unpack_hourly",

@@ -17,8 +17,9 @@ def unpack_hourly(raw: DataFrame, fields=None, payload="payload", ts="datetime")
     """Split raw documents into observation rows and a quarantine table.
 
     ``raw`` holds one JSON document per row in ``payload``; its other columns are carried
-    along. A document that does not parse, has arrays of unequal length, or a time that is none
-    goes whole to the quarantine, with the reason, and yields no rows.
+    along. A document that does not parse or has arrays of unequal length goes whole to the
+    quarantine, with the reason, and yields no rows. Of one with times that are none the other
+    hours are rows; it is in the quarantine too, with these times in ``bad_times``.
     """
     fields = dict(fields or HOURLY_FIELDS)
     carried = [c for c in raw.columns if c != payload]
@@ -38,18 +39,24 @@ def unpack_hourly(raw: DataFrame, fields=None, payload="payload", ts="datetime")
         .when(F.exists("_doc.hourly.time", lambda t: _stamp(t).isNull()), "bad_time")
     )
     judged = parsed.withColumn("reason", reason)
+    bad_times = F.when(
+        F.col("reason") == "bad_time", F.filter("_doc.hourly.time", lambda t: _stamp(t).isNull())
+    )
 
     arrays = F.arrays_zip(
         F.col("_doc.hourly.time").alias("time"),
         *[F.col(f"_doc.hourly.{source}").alias(source) for source in fields],
     )
     rows = (
-        judged.filter(F.col("reason").isNull())
+        judged.filter(F.col("reason").isNull() | (F.col("reason") == "bad_time"))
         .select(*carried, F.inline(arrays))
         .withColumn(ts, _stamp(F.col("time")))
+        .filter(F.col(ts).isNotNull())
         .select(*carried, ts, *[F.col(source).alias(out) for source, out in fields.items()])
     )
-    quarantine = judged.filter(F.col("reason").isNotNull()).select(*carried, payload, "reason")
+    quarantine = judged.filter(F.col("reason").isNotNull()).select(
+        *carried, payload, "reason", bad_times.alias("bad_times")
+    )
     return rows, quarantine
 
 

@@ -1,6 +1,9 @@
 """Scans, sinks and the unpacking of raw documents."""
 
 import json
+import re
+import subprocess
+import sys
 from datetime import date, datetime
 
 import pytest
@@ -12,6 +15,7 @@ from freshet.sources import (
     read_events,
     read_observations,
     read_table,
+    replace_partitions,
     unpack_hourly,
     write_csv,
     write_table,
@@ -49,7 +53,8 @@ def test_unpack(spark):
     rows, quarantine = unpack_hourly(raw)
     got = {(r.location, r.datetime): r for r in rows.collect()}
     assert sorted(got) == [
-        (w, datetime(2020, 1, 1, h)) for w in ("good", "holes") for h in (0, 1)
+        *((w, datetime(2020, 1, 1, h)) for w in ("good", "holes") for h in (0, 1)),
+        ("when", datetime(2020, 1, 1)),
     ]
     first = got[("good", datetime(2020, 1, 1, 1))]
     assert [first[c] for c in HOURLY_FIELDS.values()] == [k + 0.1 for k in range(6)]
@@ -63,7 +68,8 @@ def test_unpack(spark):
         "when": "bad_time",
         "nothing": "unreadable",
     }
-    assert quarantine.columns == ["location", "payload", "reason"]
+    assert quarantine.columns == ["location", "payload", "reason", "bad_times"]
+    assert {r.location: r.bad_times for r in quarantine.collect() if r.bad_times} == {"when": ["soon"]}
 
 
 @pytest.fixture
@@ -153,6 +159,68 @@ def test_sinks_replace(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 7
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(100).select((F.col("id") % 3).cast("string").alias("location"), F.col("id").alias("v"))
+    write_table(old, path, "location")
+    # Tasks of the first rows are done and written when one of the last fails.
+    broken = old.withColumn("v", F.when(F.col("v") > 95, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    for write in (write_table, replace_partitions):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, path, "location")
+        assert sorted(r.v for r in read_table(spark, path).collect()) == list(range(100))
+        assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+KILLED = """
+import os, sys
+from freshet.sources import tables
+from tests.oracle import session
+spark = session(2, 2)
+rename = tables._rename
+def killed(files, source, target):
+    if ".new-" in source.toString():
+        os._exit(9)
+    rename(files, source, target)
+tables._rename = killed
+tables.write_table(spark.range(5), sys.argv[1])
+"""
+
+
+def test_a_killed_swap_is_undone_by_the_next_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(40), path)
+    done = subprocess.run([sys.executable, "-c", KILLED, path], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 9, done.stderr
+    assert not (tmp_path / "t").exists()
+    assert read_table(spark, path).count() == 40
+    write_table(spark.range(7), path)
+    assert read_table(spark, path).count() == 7
+
+
+def test_a_table_is_replaced_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(10).withColumn("p", F.col("id") % 2), path, "p")
+    write_table(read_table(spark, path).filter("id < 4"), path, "p")
+    assert sorted(r.id for r in read_table(spark, path).collect()) == [0, 1, 2, 3]
+
+
+def test_single_partitions_are_replaced_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(60).select((F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"), F.col("id").alias("v"))
+    replace_partitions(rows, path, ["a", "b"])
+    changed = rows.filter("a = 1 and b = 0").withColumn("v", -F.col("v"))
+    replace_partitions(changed, path, ["a", "b"])
+    table = read_table(spark, path)
+    want = sorted((r.a, r.b, -r.v if (r.a, r.b) == (1, 0) else r.v) for r in rows.collect())
+    assert sorted((r.a, r.b, r.v) for r in table.collect()) == want
+    one = table.filter("a = 1 and b = 0")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(a#\d+ = 1\)", plan) and "PushedFilters: []" in plan
+    read = {r[0].split("/a=")[1][:5] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert read == {"1/b=0"} and one.count() == 10
+
+
 class FakeSession:
     """As much of a session as the choice of folder looks at."""
 

@@ -88,6 +88,30 @@ def test_risk_report(spark):
     assert rows[2].risk_text is None and rows[2].risk_level is None
 
 
+def test_profile_of_every_column(spark):
+    df = spark.range(10_000).select(
+        F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("x"),
+        F.concat(F.lit("k"), (F.col("id") % 300)).alias("a.b"),
+        F.create_map(F.lit("k"), F.col("id") % 7).alias("m"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("at"),
+        F.lit(None).cast("int").alias("none"),
+    )
+    rows = {r.column_name: r for r in profile.profile_table(df).collect()}
+    assert [rows[c].position for c in df.columns] == list(range(5))
+    assert {c: rows[c].type for c in df.columns} == dict(df.dtypes)
+    assert {rows[c].n_rows for c in df.columns} == {10_000}
+    assert [rows[c].n_nulls for c in df.columns] == [1000, 0, 0, 0, 10_000]
+    for c, n in (("x", 9000), ("a.b", 300), ("m", 7), ("at", 10_000)):
+        assert abs(rows[c].n_distinct - n) <= 0.15 * n
+    assert rows["none"].n_distinct == 0 and rows["none"].least is None and rows["none"].quantiles is None
+    assert (rows["x"].least, rows["x"].most, rows["m"].least) == ("1.0", "9999.0", None)
+    assert [round(q / 10_000, 2) for q in rows["x"].quantiles] == [0.25, 0.5, 0.75]
+    empty = profile.profile_table(df.limit(0)).collect()
+    assert {(r.n_rows, r.n_nulls, r.n_distinct) for r in empty} == {(0, 0, 0)}
+    plan = profile.profile_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_profiles(spark):
     df = spark.createDataFrame(
         [("a", 1.0, None), ("a", 3.0, 2.0), ("b", None, None)], "g string, x double, z double"
