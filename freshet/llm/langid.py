@@ -7,12 +7,14 @@ same sums, so no cut is ever chosen, in training or in scoring.
 """
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +29,35 @@ POOLED = 200.0  # Occurrences' worth of the pooled distribution in each language
 UNSEEN = 1e-7  # Probability of a character that no piece covers.
 CACHE = 250_000  # Words whose scores a task keeps; it then starts over. Bounds memory only.
 MARK = "▁"
-_WORD = re.compile(r"[^\W\d_]+")
+SHRUNK = 20  # Letters' worth of usual text that a text's surprise is averaged with.
 _STEP = 5_000  # Stretches scored at a time.
 
 
+def _letters():
+    """Character classes of the basic plane's letters, and of its letters and marks."""
+    kinds = [unicodedata.category(chr(k))[0] for k in range(1 << 16)]
+
+    def ranges(wanted):
+        inside = np.array([False, *(k in wanted for k in kinds), False])
+        edges = np.flatnonzero(np.diff(inside.astype(np.int8)))
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2]))
+
+    return ranges("L"), ranges("LM")
+
+
+_L, _LM = _letters()
+_BASIC = re.compile(f"[{_L}][{_LM}]*")
+_ANY = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text):
+    """Runs of letters of a text in lower case, with the marks on them; numbers are no letters."""
+    low = text.lower()
+    # The class of the basic plane alone is far quicker to look a character up in.
+    basic = len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low)
+    return (_BASIC if basic else _ANY).findall(low)
+
+
 def _mixed(codes):
     """64 well-spread bits for each code point."""
     x = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -137,11 +164,13 @@ def word_scores(words, keys, probs):
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages: names, sorted; keys: hashes of pieces, sorted; probs: (piece, language)."""
+    """languages: names, sorted; keys: hashes of pieces, sorted; probs: (piece, language); usual:
+    the mean log-probability of a letter of each language's own texts."""
 
     languages: tuple
     keys: np.ndarray
     probs: np.ndarray
+    usual: np.ndarray = None
 
 
 def vocabulary(model_file):
@@ -157,7 +186,7 @@ def vocabulary(model_file):
     )
     pieces = {p for p in pieces if p == p.lower()}
     long = {p for p in pieces if len(p) > LONGEST_PIECE}
-    if any(_WORD.fullmatch(p.removeprefix(MARK)) for p in long):
+    if any(words_of(p.removeprefix(MARK)) == [p.removeprefix(MARK)] for p in long):
         raise ValueError(f"{model_file} holds a piece of more than {LONGEST_PIECE} letters")
     return sorted(pieces - long)
 
@@ -194,7 +223,9 @@ def _fit(words, counts, pieces, languages):
         pooled /= pooled.sum()
         total = expected.sum(axis=0) + POOLED
         probs = (expected + POOLED * pooled[:, None]) / total
-    return LanguageModel(tuple(languages), keys, probs)
+    own = (counts * word_scores(words, keys, probs)).sum(axis=0)
+    letters = counts.T @ np.fromiter(map(len, words), float, len(words))
+    return LanguageModel(tuple(languages), keys, probs, own / np.maximum(letters, 1))
 
 
 def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="lang", chars=SAMPLE_CHARS):
@@ -226,7 +257,7 @@ def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="
             for text, lang, draw in zip(*(c.to_pylist() for c in batch.columns)):
                 if draw > rates.get(lang, -1.0):
                     continue
-                for w in _WORD.findall(text.lower()):
+                for w in words_of(text):
                     words[lang, w] = words.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [
@@ -264,38 +295,49 @@ def train_language(docs: DataFrame, model_file, id="doc_id", text="text", lang="
 
 
 def language_column(text, model: LanguageModel):
-    """struct<lang, score> of a text column: the likeliest language and its probability.
+    """struct<lang, score, surprise> of a text column: the likeliest language and its probability.
 
     All languages are equally likely beforehand; ties go to the first name. A text that is null
     or has no letter is ``und`` with score 0, as is every text under a model without languages.
+
+    score compares the learned languages alone, so a text of none of them may have any. surprise
+    tells: by how much the log-probability of its letters, on average, lies below what is usual in
+    that language, averaged with SHRUNK usual letters so that short texts surprise little; null
+    for ``und``.
     """
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, surprise double")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table, scores = Codes(), np.zeros((0, len(model.languages)))
+        table, scores, sizes = Codes(), np.zeros((0, len(model.languages))), np.zeros(0, np.int64)
         for column in batches:
-            names, sure = [], []
+            names, sure, odd = [], [], []
             for _, texts in text_slices(column):
                 if len(table) > CACHE:
-                    table, scores = Codes(), scores[:0]
-                words = (_WORD.findall(t.lower()) if t else [] for t in texts)
+                    table, scores, sizes = Codes(), scores[:0], sizes[:0]
+                words = (words_of(t) if t else [] for t in texts)
                 at = [np.array(list(map(table.__getitem__, w)), np.int64) for w in words]
                 if table.fresh:
                     scores = np.concatenate(
                         [scores, word_scores(table.fresh, model.keys, model.probs)]
                     )
+                    fresh = np.fromiter(map(len, table.fresh), np.int64, len(table.fresh))
+                    sizes = np.concatenate([sizes, fresh])
                     table.fresh.clear()
                 for codes in at:
                     if not len(codes) or not model.languages:
                         names.append("und")
                         sure.append(0.0)
+                        odd.append(None)
                         continue
                     total = scores[codes].sum(axis=0)
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
+                    letters = int(sizes[codes].sum())
+                    odd.append(float((model.usual[best] * letters - total[best]) / (letters + SHRUNK)))
             yield pa.StructArray.from_arrays(
-                [pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["lang", "score"]
+                [pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(odd, pa.float64())],
+                ["lang", "score", "surprise"],
             )
 
     return judged(text)

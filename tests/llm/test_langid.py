@@ -125,3 +125,22 @@ def test_odd_rows(odd_docs):
 def test_nothing_to_learn_from(odd_docs):
     model = langid.train_language(odd_docs.limit(0), MODEL)
     assert {r["lang_pred"] for r in langid.identify_language(odd_docs, model).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters_and_marks_stay_on_words():
+    assert langid.words_of("½ ² Ⅷ ① 42 _") == []
+    assert langid.words_of("Ünïcode e\u0301t\u0301a हिन्दी x2y") == ["ünïcode", "e\u0301t\u0301a", "हिन्दी", "x", "y"]
+    assert langid.words_of("plain 𝒳𝒴 𐐀b") == ["plain", "𝒳𝒴", "𐐨b"]
+    assert langid.words_of("\u0301a") == ["a"]
+
+
+def test_texts_of_number_signs_are_und_and_noise_surprises(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    model = langid.train_language(docs, MODEL)
+    rows = ["½²Ⅷ", "①②", "这是一个中文句子", "Αυτό είναι ένα κείμενο", "qjfwx gkvzq hhjkl wqpvx zxcvb nmqwx"]
+    rows = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = rows.withColumn("j", langid.language_column(F.col("text"), model)).orderBy("doc_id").collect()
+    assert [(r.j.lang, r.j.score, r.j.surprise) for r in got[:2]] == [("und", 0.0, None)] * 2
+    assert all(r.j.surprise > 3.5 for r in got[2:])
+    usual = docs.withColumn("j", langid.language_column(F.col("text"), model)).agg(F.max("j.surprise")).first()[0]
+    assert usual < 3.5
