@@ -16,8 +16,9 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
 
     component is the least node reachable. Edges may repeat, and be in any direction; edges with
     a null end are ignored. Nodes without an edge to another node are left out. Each round is
-    a few joins and aggregations on the edge table, kept in the shared folder, so no node's
-    edges meet in one task: the joins have no state that stops Spark from splitting a hot key.
+    a few joins and aggregations on the edge table, kept in the shared folder. So are the
+    aggregates before they are joined on their own key: in one stage with that join they would
+    keep Spark from splitting a hub's edges over tasks.
     """
     links = stage(
         edges.where(F.col(a) != F.col(b))
@@ -30,14 +31,14 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = stage(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
             .join(least, "u")
             .select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")),
             "large-star",
         )
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        lowest = stage(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
         small = (
             large.distinct()
             .join(lowest, "hi")

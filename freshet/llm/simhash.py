@@ -231,7 +231,7 @@ def _grouped(docs, id, text, width, radius):
         ),
         "simhash-classes",
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
     classes = rooted.select("fingerprint", "root").join(named, "root")
     return marks.join(classes, "fingerprint")
 

@@ -72,7 +72,8 @@ def token_counts(docs: DataFrame, tokenizer, cache, id="doc_id", text="text", li
 
     def known():
         rows = spark.read.schema(_SCHEMA).parquet(cache).where(F.col("version") == name)
-        return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+        # Stored, so that Spark may split the rows of a text of many copies when it joins them.
+        return stage(rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "known-counts")
 
     misses = stage(keyed.select("digest").distinct().join(known(), "digest", "left_anti"), "misses")
 

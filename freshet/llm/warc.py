@@ -10,6 +10,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from datetime import datetime, timezone
 from posixpath import basename
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.storage import new_path
+from freshet.storage import new_path, stage
 
 LEAST_REVISIT = 100  # Bytes; equal payloads shorter than this are all kept as responses.
 FILE_ROWS = 20_000  # Records in a file of the first form, at most.
@@ -30,17 +31,23 @@ _BREAK = b"\r\n\r\n"
 _SIZE = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
 
 
-def page_records(pages: DataFrame, id="page_id", url="url", html="html", least=LEAST_REVISIT) -> DataFrame:
-    """One WARC record per row, as a string: record.
+def page_records(
+    pages: DataFrame, id="page_id", url="url", html="html", least=LEAST_REVISIT, date=None
+) -> DataFrame:
+    """One WARC record per row, as a string: record. ``date`` (ISO, UTC) is the records'; now without it.
 
     Of records with equal payloads of at least ``least`` bytes, the one with the least id is the
     response and the others are revisits, which carry the payload's digest and length but not
     the payload. Rows equal in id and payload are responses alike. A null payload is empty, a
-    null id never the least where another is not null, a null url left out.
+    null id never the least where another is not null, a null url left out; an id that is no whole
+    number is read as null. Payloads of any length are whole. An empty table gives no record; other
+    columns are ignored, whatever their names. The first copies are a stored table, so that Spark
+    can split the rows of a payload of many copies.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
-        F.col(id).cast("long").alias("id"),
+        F.col(id).try_cast("long").alias("id"),
         F.regexp_replace(F.col(url), r"[\r\n]+", " ").alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("bytes"),
@@ -53,7 +60,7 @@ def page_records(pages: DataFrame, id="page_id", url="url", html="html", least=L
         .where("copies > 1")
         .select("digest", "first")
     )
-    marked = rows.join(first, "digest", "left")
+    marked = rows.join(stage(first, "first-copies"), "digest", "left")
     again = (F.col("bytes") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(">"))
     headers = F.concat_ws(
@@ -61,6 +68,7 @@ def page_records(pages: DataFrame, id="page_id", url="url", html="html", least=L
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), name),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))),
@@ -285,7 +293,11 @@ def page_number(record_id):
 
 
 def archive_pages(pages: DataFrame, id="page_id", url="url", html="html", least=LEAST_REVISIT) -> DataFrame:
-    """Write pages to archives in the shared folder, normalise these, and return the index."""
+    """Write pages to archives in the shared folder, normalise these, and return the index.
+
+    Nulls, empty and long payloads, repeated rows and clashing columns: as ``page_records``. An empty
+    table gives an empty index.
+    """
     spark = pages.sparkSession
     whole, parts = new_path(spark, "warc-whole"), new_path(spark, "warc")
     write_monolithic(page_records(pages, id, url, html, least), whole)

@@ -93,3 +93,17 @@ def test_damaged_streams_are_errors():
 def test_empty_table(spark):
     _, df = pages(spark)
     assert warc.read_archive(warc.archive_pages(df.limit(0))).count() == 0
+
+
+def test_records_are_dated_and_odd_ids_are_null(spark):
+    df = spark.createDataFrame([("7", "http://a", "x"), ("seven", "http://b", "y")], "page_id string, url string, html string")
+    records = sorted(r["record"] for r in warc.page_records(df, date="2024-01-02T03:04:05Z").collect())
+    assert all("\r\nWARC-Date: 2024-01-02T03:04:05Z\r\n" in r for r in records)
+    assert ["<urn:page:7>" in r or "<urn:page:null>" in r for r in records] == [True, True]
+    assert "\r\nWARC-Date: 20" in warc.page_records(df).first()["record"]
+
+
+def test_rows_of_a_hot_payload_can_be_split(spark):
+    """The first copies are a stored table: nothing below their join holds state of its key."""
+    plan = warc.page_records(pages(spark)[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Aggregate" not in plan
