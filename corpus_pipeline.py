@@ -14,7 +14,8 @@ from freshet.llm.simhash import drop_near_copies
 from freshet.llm.toxicity import toxicity_column, train_toxicity
 from freshet.storage import stage
 
-SURE = 0.5  # Least probability of the predicted language.
+SURE = 0.5  # Least probability of the predicted language among those learned.
+SURPRISING = 3.5  # Nats a letter beyond what is usual in that language, from which a text is in none.
 
 ORACLE_SQL = None
 
@@ -24,7 +25,10 @@ def _fold(parts):
 
 
 def toxicity_stage(spark, docs, sf_dir):
-    """Documents scored below 0.5, by a model of the labelled ones; null texts are scored as empty."""
+    """Documents scored below 0.5, by a model of the labelled ones.
+
+    Null texts are scored as empty; texts of any length whole; repeated rows alike.
+    """
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = train_toxicity(docs, labels.where(_fold(5) != 0))
     judged = free_name(docs, "judged")
@@ -33,23 +37,35 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents whose language is known with at least even odds; ``und`` and null texts go."""
+    """Documents in a learned language, known with at least even odds.
+
+    ``und``, null, empty and letterless texts go, and texts whose letters surprise: noise and other
+    languages. Texts of any length are judged by their mean; repeated rows are judged alike.
+    """
     model = train_language(
         docs.where(_fold(4) != 2), public_tokenizers.path("piece_bpe_32k.model")
     )
     judged = free_name(docs, "judged")
     found = docs.withColumn(judged, language_column(F.col("text"), model))
     sure = (F.col(f"{judged}.lang") != "und") & (F.col(f"{judged}.score") >= SURE)
+    sure = sure & (F.col(f"{judged}.surprise") < SURPRISING)
     return found.where(sure).drop(judged)
 
 
 def simhash_stage(spark, docs, sf_dir):
-    """Of each group of near copies, the document with the least id."""
+    """Of each group of near copies, the document with the least id.
+
+    Null and empty texts are copies of each other, as are repeated rows; of rows without any id
+    one stays a group.
+    """
     return drop_near_copies(docs)
 
 
 def packing_stage(spark, docs, sf_dir):
-    """The pieces of all documents left, with their places in sequences of 1024 tokens."""
+    """The pieces of all documents left, with their places in sequences of 1024 tokens.
+
+    A null or empty text is its end mark alone; long texts are cut; repeated rows are packed each.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
