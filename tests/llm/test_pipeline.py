@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from freshet.storage import stage
 
@@ -43,5 +45,18 @@ def test_stage_decisions(spark, odd_docs, small_dir):
     assert left.count(1) == 1 and 2 not in left and 4 in left and 5 not in left
 
 
+def test_unlearned_scripts_and_noise_go_and_clean_documents_stay(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    strange = ["这是一个中文句子，用来测试。" * 3, "Αυτό είναι ένα ελληνικό κείμενο", "qjfwx gkvzq hhjkl wqpvx zxcvb nmqwx"]
+    more = spark.createDataFrame(
+        [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(strange)], docs.schema
+    )
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more), small_dir)
+    left = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not {10**6 + k for k in range(3)} & left
+    lettered = {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert lettered == left
+
+
 def test_no_sql_for_models():
     assert corpus_pipeline.ORACLE_SQL is None
