@@ -1,17 +1,20 @@
 """Collocations by Rabin-Karp fingerprints.
 
-A task turns its texts into numbers of words and sums those, times powers of a base, along the
-texts; the fingerprint of any run of words is a difference of two such sums. Fingerprints are
-counted before and after a shuffle, each with a pointer to an occurrence, and no text is shuffled
-for them. A run can only be frequent if all its parts are, so longer runs are counted only where
-a Bloom filter may hold their parts. At the end the texts are read once more: the few runs whose
-fingerprint is frequent are cut out of them, and counted as text, so that runs which share a
-fingerprint are told apart.
+A task sums its texts' bytes, times powers of a base, along the texts: the hash of any word is a
+difference of two such sums. The same sums over the words' hashes give the fingerprint of any run
+of words. Fingerprints are counted before and after a shuffle, each with a pointer to a text that
+has it, and no text is shuffled for them. A run can only be frequent if all its parts are, so
+longer runs are counted only where a Bloom filter may hold their parts.
+
+The texts are then read once more, and each frequent run is cut out of the text that its pointer
+names. Runs of different text that share a fingerprint are known by a second, independent one:
+where it is not the same for all, the fingerprint's runs are counted by their text instead.
 """
 
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,136 +25,134 @@ from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from freshet.llm.bloom import LIMIT, blocks_for, build, mix
-from freshet.llm.common import Codes, text_slices
 from freshet.storage import stage
 
 LONGEST = 4  # Words of the longest phrase.
 LEAST = 30  # Occurrences of a phrase.
 SCALE = 2_000_000  # Of scores.
-CACHE = 500_000  # Words whose numbers a task keeps; it then starts over. Bounds memory only.
-SLICE = 4_000_000  # Bytes of texts that a task handles at once, one text at least.
+SLICE = 500_000  # Bytes of texts that a task handles at once; a piece of a text is never cut.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BREAK = b"\xff"  # Stands between pieces; no byte of UTF-8.
+_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
+_LOWER = bytes(range(256)).lower()
+_BLANK, _BREAK, _INSIDE = 0, 1, 2
 
 
-_END = re.compile(r"[.,;:!?\x0a-\x0d]")
-
-
-def _table():
-    out = bytearray(bytes(range(256)).lower())
-    for c in b".,;:!?\x0a\x0b\x0c\x0d":
-        out[c] = _BREAK[0]
-    return bytes(out)
-
-
-_TABLE = _table()
-
-
-def tokens(text):
-    """The words of a text in order, as bytes, A-Z in lower case, and a mark where a piece ends."""
-    # What else bytes.split() takes as white space has become a mark by then.
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).replace(_BREAK, b" \xff ").split()
+def _kinds():
+    out = np.full(256, _INSIDE, np.uint8)
+    out[[0x20, 0x09]] = _BLANK
+    out[list(b".,;:!?\x0a\x0b\x0c\x0d")] = _BREAK
+    return out
 
 
+_KINDS = _kinds()
 _LADDERS = {}
 
 
 def _ladder(base, n):
     """The first ``n`` powers of ``base``."""
     if n > len(_LADDERS.get(base, ())):
-        steps = np.full(2 * n, base, np.uint64)
-        steps[0] = 1
+        steps = np.full(n + n // 4, base, np.uint64)
+        steps[:1] = 1
         _LADDERS[base] = np.multiply.accumulate(steps)
     return _LADDERS[base][:n]
 
 
+def _run_hashes(values, start, end):
+    """Hash of values[start:end] for each pair of places."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _ladder(_BASE, len(values)), out=sums[1:])
+    return (sums[end] - sums[start]) * _ladder(_INVERSE, len(values) + 1)[start]
+
+
 @dataclass
 class Slice:
-    """Words of some texts, one after another, a mark after each piece and text."""
-
-    codes: np.ndarray  # numbers of words, 0 a mark
-    values: np.ndarray  # hash of each word
-    seeds: np.ndarray  # of the texts' groups, by place
-    row: np.ndarray  # the text that each place is of
-    first: np.ndarray  # the place of each text's first word, below zero if that is in a slice before
+    """The words of some texts, in order."""
+
+    data: np.ndarray  # bytes of the texts, one after another, A-Z in lower case
+    start: np.ndarray  # of each word in data
+    end: np.ndarray
+    piece: np.ndarray  # number of the piece that each word is in
+    row: np.ndarray  # the text that each word is of
+    origin: np.ndarray  # where each text begins in data, below zero if that is in a slice before
+    seeds: np.ndarray  # of each text's group
+
+    @classmethod
+    def of(cls, data: bytes, origin, seeds):
+        low = np.frombuffer(data.translate(_LOWER), np.uint8)
+        kind = _KINDS[low]
+        inside = np.zeros(len(low) + 2, bool)
+        inside[1:-1] = kind == _INSIDE
+        first = np.zeros(len(low) + 1, bool)  # texts begin here, so words end here
+        first[np.clip(origin, 0, len(low))] = True
+        start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
+        breaks = np.cumsum((kind == _BREAK) + first[:-1], dtype=np.int32)
+        row = np.searchsorted(origin, start, side="right") - 1
+        return cls(low, start, end, breaks[start], row, origin, seeds)
+
+    @cached_property
+    def hashes(self):
+        """A hash of each word."""
+        plain = _run_hashes(self.data.astype(np.uint64), self.start, self.end)
+        return mix(plain ^ (self.end - self.start).astype(np.uint64) << np.uint64(48))
 
     def prints(self, width, bits=64):
-        """(place, fingerprint) of all runs of ``width`` words within pieces."""
-        n = len(self.codes)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values * _ladder(_BASE, n), out=sums[1:])
-        marks = np.zeros(n + 1, np.int64)
-        np.cumsum(self.codes == 0, out=marks[1:])
-        at = np.flatnonzero(marks[width:] == marks[: n + 1 - width]) if n >= width else np.zeros(0, np.int64)
-        runs = (sums[at + width] - sums[at]) * _ladder(_INVERSE, n + 1)[at]
-        return at, mix(runs ^ self.seeds[at] ^ np.uint64(width)) >> np.uint64(64 - bits)
-
-
-class Reader:
-    """Reads batches of texts as slices; numbers and hashes of words are kept between them."""
-
-    def __init__(self):
-        self._clear()
-
-    def _clear(self):
-        self.codes = Codes()
-        self.codes[_BREAK]
-        self.names, self.hashes = [], np.zeros(1024, np.uint64)
-        self._learn()
-
-    def _learn(self):
-        fresh = self.codes.fresh
-        used, need = len(self.names), len(self.names) + len(fresh)
-        if need > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(need, len(self.hashes)), np.uint64)])
-        self.hashes[used:need] = np.fromiter(map(xxh64_intdigest, fresh), np.uint64, len(fresh))
-        self.names += fresh
-        fresh.clear()
-
-    def slices(self, column, seeds):
-        """(first row, Slice) of an Arrow column of texts, ``seeds`` by row.
-
-        A text over the size of a slice is read in several, cut where a piece ends.
-        """
-        for start, texts in text_slices(column, SLICE):
-            if len(texts) == 1 and texts[0] and len(texts[0]) > SLICE:
-                done = 0
-                for part in _cut(texts[0]):
-                    made = self._slice([part], seeds[start : start + 1])
-                    made.first -= done
-                    done += len(made.codes) - 1  # without the mark after the part
-                    yield start, made
-            else:
-                yield start, self._slice(texts, seeds[start : start + len(texts)])
-
-    def _slice(self, texts, seeds):
-        if len(self.codes) > CACHE:
-            self._clear()
-        look = self.codes.__getitem__
-        parts = []
-        for text in texts:
-            found = tokens(text) if text else []
-            found.append(_BREAK)
-            parts.append(np.fromiter(map(look, found), np.int64, len(found)))
-        self._learn()
-        sizes = np.array([len(p) for p in parts])
-        codes = np.concatenate(parts)
-        row = np.repeat(np.arange(len(parts)), sizes)
-        return Slice(codes, self.hashes[codes], np.asarray(seeds, np.uint64)[row], row, np.cumsum(sizes) - sizes)
-
-    def phrase(self, codes):
-        return b" ".join([self.names[c] for c in codes]).decode("utf-8", "surrogatepass")
-
-
-def _cut(text):
-    """Parts of about SLICE characters, cut after the end of a piece."""
-    start = 0
-    while start < len(text):
-        found = _END.search(text, start + SLICE)
-        end = found.end() if found else len(text)
-        yield text[start:end]
-        start = end
+        """(first word, fingerprint) of all runs of ``width`` words within pieces."""
+        n = len(self.start)
+        at = np.flatnonzero(self.piece[width - 1 :] == self.piece[: n + 1 - width]) if n >= width else np.zeros(0, int)
+        runs = _run_hashes(self.hashes, at, at + width)
+        return at, mix(runs ^ self.seeds[self.row[at]] ^ np.uint64(width)) >> np.uint64(64 - bits)
+
+    @cached_property
+    def others(self):
+        """A second hash of each word."""
+        return mix(self.hashes ^ np.uint64(0xA0761D6478BD642F))
+
+    def checks(self, at, width):
+        """A second fingerprint, of 32 bits, of the runs of ``width`` words at ``at``."""
+        runs = mix(_run_hashes(self.others, at, at + width) ^ self.seeds[self.row[at]])
+        return (runs >> np.uint64(32)).astype(np.int64)
+
+    def phrases(self, at, width):
+        """The text of the runs of ``width`` words at ``at``, a space between words."""
+        raw = self.data.tobytes()
+        cuts = [zip(self.start[at + k].tolist(), self.end[at + k].tolist()) for k in range(width)]
+        return [b" ".join([raw[i:j] for i, j in run]) for run in zip(*cuts)]
+
+
+def _parts(data, start, end):
+    """Ranges of about SLICE bytes of data[start:end], cut after the end of a piece."""
+    while end - start > SLICE:
+        found = _END.search(data, start + SLICE, end)
+        stop = found.end() if found else end
+        yield start, stop
+        start = stop
+    if end > start:
+        yield start, end
+
+
+def read_slices(column, seeds):
+    """(first row, Slice) of an Arrow column of texts; ``seeds`` are the groups' by row.
+
+    A text over the size of a slice is read in several.
+    """
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = memoryview(data if data is not None else b"")
+    seeds = np.asarray(seeds, np.uint64)
+    edges = (np.flatnonzero(np.diff((at[1:] - at[0]) // SLICE)) + 1).tolist()
+    for a, b in zip([0, *edges], [*edges, len(column)]):
+        if a == b:
+            continue
+        if b - a == 1 and at[b] - at[a] > SLICE:
+            for start, stop in _parts(data, int(at[a]), int(at[b])):
+                yield a, Slice.of(bytes(data[start:stop]), at[a : a + 1] - start, seeds[a : a + 1])
+        else:
+            yield a, Slice.of(bytes(data[at[a] : at[b]]), at[a:b] - at[a], seeds[a:b])
 
 
 def _seeds(groups):
@@ -165,11 +166,11 @@ def _kept(part, width, within, sieve, bits):
     if sieve is None or not len(at):
         return at, prints
     if width == within:
-        keep = sieve.value.holds(width, mix(prints))
+        keep = sieve.value.holds(0, mix(prints))
         return at[keep], prints[keep]
-    whole = np.zeros(len(part.codes), bool)
+    whole = np.zeros(len(part.start), bool)
     inner, keys = part.prints(within, bits)
-    whole[inner[sieve.value.holds(within, mix(keys))]] = True
+    whole[inner[sieve.value.holds(0, mix(keys))]] = True
     keep = whole[at]
     for k in range(1, width - within + 1):
         keep &= whole[at + k]
@@ -186,108 +187,139 @@ def _rows(docs, id, text, group):
     )
 
 
+def _pointers(part, words, docs, first_row):
+    """The text and the place in it, in bytes, of the runs that begin at ``words``."""
+    row = part.row[words]
+    return pc.take(docs, pa.array(first_row + row)), pa.array(part.start[words] - part.origin[row])
+
+
 def _count(rows, widths, within, sieve, bits):
-    """(print, width, n, doc, at): fingerprints with their number and an occurrence, counted over all rows."""
+    """(print, n, doc, low, high): fingerprints with their number, a text that has one, and the least
+    and greatest second fingerprint, over all rows."""
 
     def run(batches):
-        reader = Reader()
         for batch in batches:
-            doc = batch.column(2)
             seeds = _seeds(batch.column(0).to_pylist())
-            for start, part in reader.slices(batch.column(1), seeds):
+            for first_row, part in read_slices(batch.column(1), seeds):
                 for width in widths:
                     at, prints = _kept(part, width, within, sieve, bits)
-                    keys, first, n = np.unique(prints, return_index=True, return_counts=True)
-                    place = at[first]
-                    row = part.row[place]
+                    keys, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+                    checks = part.checks(at, width)
+                    low, high = checks[first], checks[first]
+                    apart = np.flatnonzero(checks != low[group])
+                    np.minimum.at(low, group[apart], checks[apart])
+                    np.maximum.at(high, group[apart], checks[apart])
+                    doc, _ = _pointers(part, at[first], batch.column(2), first_row)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.view(np.int64)),
-                            pa.array(np.full(len(keys), width, np.int32)),
-                            pa.array(n.astype(np.int64)),
-                            pc.take(doc, pa.array(start + row)),
-                            pa.array(place - part.first[row]),
-                        ],
-                        ["print", "width", "n", "doc", "at"],
+                        [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), doc, pa.array(low), pa.array(high)],
+                        ["print", "n", "doc", "low", "high"],
                     )
 
-    counted = rows.mapInArrow(run, "print long, width int, n long, doc long, at long")
-    return counted.groupBy("print", "width").agg(
-        F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at")
+    counted = rows.mapInArrow(run, "print long, n long, doc long, low long, high long")
+    return counted.groupBy("print").agg(
+        F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min("low").alias("low"), F.max("high").alias("high")
     )
 
 
-def _sieve(prints, limit):
-    """Bloom filter of a table of fingerprints, by width, of at most ``limit`` bytes in all.
+def _pointed(prints, docs):
+    """A key for each fingerprint and the text that its pointer names."""
+    return mix(prints ^ mix(docs.view(np.uint64) + np.uint64(1)))
+
+
+def _sieve(prints, limit, pointed=False):
+    """Bloom filter of a table of fingerprints, or of them with their pointers, of at most ``limit`` bytes.
 
     A filter too small for its fingerprints lets more through; the counts stay right.
     """
-    sizes = {r["width"]: r["n"] for r in prints.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    blocks = {w: blocks_for(n, limit // max(1, len(sizes))) for w, n in sizes.items()}
 
     def keys(batches):
         for batch in batches:
-            mixed = mix(batch.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mixed.view(np.int64))], ["shard", "key"])
+            prints, docs = (batch.column(k).fill_null(0).to_numpy() for k in (0, 1))
+            mixed = _pointed(prints.view(np.uint64), docs) if pointed else mix(prints.view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(mixed), np.int32)), pa.array(mixed.view(np.int64))], ["shard", "key"]
+            )
 
-    mixed = prints.select("width", "print").mapInArrow(keys, "shard int, key long")
-    return prints.sparkSession.sparkContext.broadcast(build(mixed, blocks))
+    mixed = prints.select("print", "doc").mapInArrow(keys, "shard int, key long")
+    return prints.sparkSession.sparkContext.broadcast(build(mixed, {0: blocks_for(prints.count(), limit)}))
 
 
-def _materialised(rows, widths, sieve, bits):
-    """(group, phrase, width, a, doc, at) of the runs whose fingerprint the sieve may hold, counted
-    as text; and a row of width 0 for each group, with the number of its words."""
-    kinds = "group string, phrase string, width int, a long, doc long, at long"
+def _cut_out(rows, widths, sieve, bits):
+    """(print, check, group, phrase, width, doc, at): the runs that ``sieve`` may hold with the text they
+    are in, each once a slice, and their second fingerprint; and a row of width 0 for each group and
+    slice, where at is the number of words."""
 
     def run(batches):
-        reader = Reader()
         for batch in batches:
-            groups, doc = batch.column(0).to_pylist(), batch.column(2)
-            for start, part in reader.slices(batch.column(1), _seeds(groups)):
-                sizes = np.bincount(part.row[part.codes > 0], minlength=len(part.first))
+            groups, docs = batch.column(0).to_pylist(), batch.column(2)
+            for first_row, part in read_slices(batch.column(1), _seeds(groups)):
                 totals = Counter()
-                for k, n in enumerate(sizes.tolist(), start):
+                for k, n in enumerate(np.bincount(part.row, minlength=len(part.origin)).tolist(), first_row):
                     totals[groups[k]] += n
-                none = pa.nulls(len(totals), pa.int64())
+                none = [0] * len(totals)
+                yield _runs(none, none, list(totals), [b""] * len(totals), 0, None, list(totals.values()))
+                mine = docs.slice(first_row, len(part.origin)).fill_null(0).to_numpy()
+                for width in widths:
+                    at, prints = part.prints(width, bits)
+                    keys = _pointed(prints, mine[part.row[at]])
+                    held = sieve.value.holds(0, keys)
+                    at, prints = at[held], prints[held]
+                    checks = part.checks(at, width)
+                    _, first = np.unique(mix(keys[held] ^ checks.astype(np.uint64)), return_index=True)
+                    at, prints, checks = at[first], prints[first], checks[first]
+                    doc, place = _pointers(part, at, docs, first_row)
+                    group = [groups[first_row + r] for r in part.row[at].tolist()]
+                    yield _runs(prints.view(np.int64), checks, group, part.phrases(at, width), width, doc, place)
+
+    return rows.mapInArrow(run, "print long, check long, group string, phrase string, width int, doc long, at long")
+
+
+def _runs(prints, checks, groups, phrases, width, docs, at):
+    n = len(groups)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(prints, pa.int64()),
+            pa.array(checks, pa.int64()),
+            pa.array(groups, pa.string()),
+            pa.array(phrases, pa.binary()).cast(pa.string()),
+            pa.array(np.full(n, width, np.int32)),
+            pa.nulls(n, pa.int64()) if docs is None else docs,
+            pa.array(at, pa.int64()),
+        ],
+        ["print", "check", "group", "phrase", "width", "doc", "at"],
+    )
+
+
+def _counted_as_text(rows, widths, sieve, bits):
+    """(group, phrase, width, a, doc, at) of the runs whose fingerprint ``sieve`` may hold, by their text."""
+
+    def run(batches):
+        for batch in batches:
+            groups, docs = batch.column(0).to_pylist(), batch.column(2)
+            for first_row, part in read_slices(batch.column(1), _seeds(groups)):
+                held = {}
+                for width in widths:
+                    at, _ = _kept(part, width, width, sieve, bits)
+                    rows_of = part.row[at].tolist()
+                    for word, row, phrase in zip(at.tolist(), rows_of, part.phrases(at, width)):
+                        held.setdefault((groups[first_row + row], phrase, width), [word, 0])[1] += 1
+                words = np.array([w for w, _ in held.values()], np.int64)
+                doc, place = _pointers(part, words, docs, first_row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(list(totals), pa.string()),
-                        pa.array([""] * len(totals), pa.string()),
-                        pa.array(np.zeros(len(totals), np.int32)),
-                        pa.array(list(totals.values()), pa.int64()),
-                        none,
-                        none,
+                        pa.array([g for g, _, _ in held], pa.string()),
+                        pa.array([t for _, t, _ in held], pa.binary()).cast(pa.string()),
+                        pa.array([w for _, _, w in held], pa.int32()),
+                        pa.array([n for _, n in held.values()], pa.int64()),
+                        doc,
+                        place,
                     ],
                     ["group", "phrase", "width", "a", "doc", "at"],
                 )
-                for width in widths:
-                    at, _ = _kept(part, width, width, sieve, bits)
-                    # The words themselves, not their fingerprints, say which runs are the same.
-                    words = np.stack([part.seeds[at].view(np.int64), *(part.codes[at + k] for k in range(width))], axis=1)
-                    order = np.lexsort(words.T[::-1])
-                    words = words[order]
-                    new = np.ones(len(words), bool)
-                    new[1:] = (words[1:] != words[:-1]).any(axis=1)
-                    begin = np.flatnonzero(new)
-                    n = np.diff(np.append(begin, len(words)))
-                    place = at[order[begin]]
-                    row = part.row[place]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([groups[start + r] for r in row.tolist()], pa.string()),
-                            pa.array(list(map(reader.phrase, words[begin, 1:])), pa.string()),
-                            pa.array(np.full(len(begin), width, np.int32)),
-                            pa.array(n.astype(np.int64)),
-                            pc.take(doc, pa.array(start + row)),
-                            pa.array(place - part.first[row]),
-                        ],
-                        ["group", "phrase", "width", "a", "doc", "at"],
-                    )
 
-    return (
-        rows.mapInArrow(run, kinds)
-        .groupBy("group", "phrase", "width")
-        .agg(F.sum("a").alias("a"), F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at"))
+    found = rows.mapInArrow(run, "group string, phrase string, width int, a long, doc long, at long")
+    return found.groupBy("group", "phrase", "width").agg(
+        F.sum("a").alias("a"), F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at")
     )
 
 
@@ -300,8 +332,8 @@ def phrase_counts(
     Words: A-Z in lower case, texts cut at ``.,;:!?`` and line ends into pieces, pieces at blanks
     and tabs. a counts all occurrences within pieces, overlaps included, by group (null: ``und``).
     doc and at point to one of them: the id (its xxhash64 if it is no whole number), and the
-    place of its first word among the text's words and the ends of its pieces. ``bits`` is the
-    length of fingerprints; fewer give more collisions and the same result.
+    place of its first word in the text, in bytes of UTF-8. ``bits`` is the length of
+    fingerprints; fewer give more collisions and the same result.
     """
     rows = _rows(docs, id, text, group)
     found, sieve, within = None, None, 1
@@ -312,8 +344,24 @@ def phrase_counts(
             some = stage(counted, "phrase-prints")
             found = some if found is None else found.union(some)
             sieve, within = _sieve(some, limit), widths[0]
-    counted = _materialised(rows, range(1, longest + 1), _sieve(found, limit), bits)
-    return counted.where((F.col("a") >= least) | (F.col("width") == 0))
+    widths = range(1, longest + 1)
+    cut = stage(_cut_out(rows, widths, _sieve(found, limit, pointed=True), bits), "phrase-texts")
+    totals = cut.where("width = 0").groupBy("group").agg(F.sum("at").alias("a"))
+    nothing = F.lit(None).cast("long")
+    out = totals.select("group", F.lit("").alias("phrase"), F.lit(0).alias("width"), "a", nothing.alias("doc"), nothing.alias("at"))
+    # A text cut in slices, or rows that repeat its id, may hold a run more than once.
+    first = (F.min_by(c, "at").alias(c) for c in ("group", "phrase", "width"))
+    texts = cut.where("width > 0").groupBy("print", "check").agg(*first, F.min("at").alias("at"))
+    sure = found.where("low = high").select("print", F.col("low").alias("check"), F.col("n").alias("a"), "doc")
+    out = out.union(texts.join(sure, ["print", "check"]).select("group", "phrase", "width", "a", "doc", "at"))
+    shared = found.where("low <> high")
+    if not shared.isEmpty():
+        recounted = _counted_as_text(rows, widths, _sieve(shared, limit), bits)
+        # Beyond the shared fingerprints the filter may hold others: these are counted already.
+        known = out.select("group", "phrase", "width")
+        recounted = recounted.where(F.col("a") >= least).join(known, ["group", "phrase", "width"], "left_anti")
+        out = out.union(recounted.select(*out.columns))
+    return out
 
 
 def _whole(column):
