@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents by length patterns.
 
 The lengths' histogram, of at most ``capacity`` bars, is all that the plan needs: patterns of a
-few lengths that fill a sequence are fitted to it by non-negative least squares (Krell et al.
-2021), their repeat counts rounded, and what is left packed best-fit, longest first. Each piece
+few lengths that fill a sequence, or nearly, are fitted to it by non-negative least squares (Krell
+et al. 2021), their repeat counts rounded, and what is left packed best-fit, longest first. Each piece
 then finds its place by its rank among the pieces of its length.
 """
 
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from freshet.llm.common import text_slices
+from freshet.llm.common import free_name, text_slices
 from freshet.llm.segments import SegmentEncoder, byte_level_segments, is_word
 from freshet.storage import stage
 
 CAPACITY = 1024
 END = 2  # Id put after each document.
-ROUNDS = 400  # Of the least-squares fit.
-SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)  # Of the fitted repeats that are tried.
+ROUNDS = (150, 2000)  # Of the least-squares fit, at least and at most.
+WORK = 40_000_000  # Patterns times rounds, about.
+EMPTY = 0.001  # Cost of an empty sequence in the fit, in units of the mean count.
+SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)  # Of the fitted repeats that are tried; what is left is packed best-fit.
 RANKED = 100_000  # Pieces of a length that one task ranks, about.
 _SHIFT = 48  # A place's key is its length and, below this many bits, its rank.
 
@@ -150,31 +152,32 @@ def token_pieces(docs: DataFrame, tokenizer, id="doc_id", text="text", capacity=
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)
 
 
-def full_patterns(lengths, capacity):
-    """All multisets of one to three of ``lengths`` that sum to ``capacity``: rows of indices, -1 none."""
+def few_patterns(lengths, capacity):
+    """Multisets of up to three of the rising ``lengths`` that fill ``capacity`` exactly or nearly:
+    every pair with the longest third that is no longer than either and still fits. Rows of indices,
+    longest first, -1 none."""
     lengths = np.asarray(lengths)
-    place = np.full(capacity + 1, -1)
-    place[lengths] = np.arange(len(lengths))
-    rows = [np.array([[place[capacity], -1, -1]])] if place[capacity] >= 0 else []
-    a, b = np.meshgrid(lengths, lengths, indexing="ij")
-    rest = capacity - a - b
-    two = (rest == 0) & (a >= b)
-    rows.append(np.column_stack([place[a[two]], place[b[two]], np.full(two.sum(), -1)]))
-    three = (rest > 0) & (a >= b) & (b >= rest) & (place[np.clip(rest, 0, capacity)] >= 0)
-    rows.append(np.column_stack([place[a[three]], place[b[three]], place[rest[three]]]))
-    return np.concatenate(rows)
-
-
-def fit_counts(patterns, counts, rounds=ROUNDS):
-    """Repeat counts x >= 0 that minimise |A x - counts|, by accelerated projected gradients.
-
-    A column of A counts how often its pattern holds each length.
-    """
+    longest = np.full(capacity + 1, -1)
+    longest[lengths] = np.arange(len(lengths))
+    longest = np.maximum.accumulate(longest)  # the longest of at most so many tokens
+    a, b = np.meshgrid(np.arange(len(lengths)), np.arange(len(lengths)), indexing="ij")
+    fits = (a >= b) & (lengths[a] + lengths[b] <= capacity)
+    a, b = a[fits], b[fits]
+    third = np.minimum(longest[capacity - lengths[a] - lengths[b]], b)
+    alone = np.flatnonzero(longest[capacity - lengths] < 0)
+    none = np.full(len(alone), -1)
+    return np.concatenate([np.column_stack([a, b, third]), np.column_stack([alone, none, none])])
+
+
+def fit_counts(patterns, counts, penalty=None, start=None):
+    """Repeat counts x >= 0 that minimise |A x - counts|^2 / 2 + penalty . x, by accelerated projected
+    gradients. A column of A counts how often its pattern holds each length."""
     if not len(patterns):
         return np.zeros(0)
     n = len(counts)
     filled = patterns >= 0
     index = np.where(filled, patterns, n)
+    penalty = 0.0 if penalty is None else penalty
 
     def apply(x):
         return np.bincount(index.ravel(), np.repeat(x, 3), n + 1)[:n]
@@ -187,16 +190,31 @@ def fit_counts(patterns, counts, rounds=ROUNDS):
         v = back(apply(v))
         v /= np.linalg.norm(v)
     step = 1 / (1.05 * v @ back(apply(v)))
-    x = y = np.zeros(len(patterns))
+    x = y = np.zeros(len(patterns)) if start is None else start
     t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * back(apply(y) - counts))
+    least, most = ROUNDS
+    for _ in range(int(np.clip(WORK // len(patterns), least, most))):
+        new = np.maximum(0, y - step * (back(apply(y) - counts) + penalty))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
     return x
 
 
+def fitted_patterns(lengths, counts, capacity):
+    """Patterns with the repeats that least squares give them.
+
+    What a pattern leaves empty costs a little in the fit, so that of all fits one with few
+    sequences is found; the patterns it uses are then fitted again without that cost.
+    """
+    patterns = few_patterns(lengths, capacity)
+    held = np.append(np.asarray(lengths), 0)[patterns].sum(axis=1)
+    empty = (capacity - held) / capacity
+    repeats = fit_counts(patterns, counts, EMPTY * counts.mean() * empty)
+    used = repeats > 0.5
+    return patterns[used], fit_counts(patterns[used], counts, start=repeats[used])
+
+
 def best_fit(lengths, counts, capacity):
     """(lengths, repeats) of sequences: longest first, each into the fullest that has room.
 
@@ -233,8 +251,7 @@ def patterns_for(histogram: dict, capacity=CAPACITY):
     if not lengths:
         return []
     counts = np.array([histogram[k] for k in lengths], np.int64)
-    patterns = full_patterns(lengths, capacity)
-    fitted = fit_counts(patterns, counts.astype(float))
+    patterns, fitted = fitted_patterns(lengths, counts.astype(float), capacity)
     plans = (_rounded(lengths, counts, patterns, share * fitted, capacity) for share in SHARES)
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
@@ -285,29 +302,25 @@ def pack(pieces: DataFrame, capacity=CAPACITY, length="length") -> DataFrame:
     """``pieces`` with sequence_id and offset: sequences of at most ``capacity``, without gaps.
 
     Every row is placed, repeated ones too; an empty table stays empty. ``length`` must be
-    between 1 and ``capacity``. The driver sees the histogram only. Ranks within a length come
+    between 1 and ``capacity``; columns named sequence_id or offset are replaced, others kept whatever
+    their names. The driver sees the histogram only. Ranks within a length come
     from counts of (length, bucket) and row numbers inside these, so that a length of many pieces
     is ranked by many tasks.
     """
-    pieces = stage(pieces.withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
-    histogram = {r[length]: r["count"] for r in pieces.groupBy(length).count().collect()}
+    row, bucket, earlier, rank, placed_at = (free_name(pieces, n) for n in ("row", "bucket", "before", "rank", "placed"))
+    pieces = stage(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count("*")).collect()}
     where = places(patterns_for(histogram, capacity))
     buckets = max(1, -(-max(histogram.values(), default=0) // RANKED))
-    dealt = pieces.withColumn("piece_bucket", F.pmod(F.xxhash64("piece_row"), F.lit(buckets)))
-    before = (
-        dealt.groupBy(length, "piece_bucket")
-        .count()
-        .withColumn(
-            "before",
-            F.sum("count").over(Window.partitionBy(length).orderBy("piece_bucket")) - F.col("count"),
-        )
-        .drop("count")
-    )
-    within = Window.partitionBy(length, "piece_bucket").orderBy("piece_row")
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)))
+    n = F.count("*").alias(rank)
+    so_far = F.sum(rank).over(Window.partitionBy(length).orderBy(bucket)) - F.col(rank)
+    before = dealt.groupBy(length, bucket).agg(n).select(length, bucket, so_far.alias(earlier))
+    within = Window.partitionBy(length, bucket).orderBy(row)
     ranked = (
-        dealt.withColumn("rank", F.row_number().over(within) - 1)
-        .join(before, [length, "piece_bucket"])
-        .withColumn("rank", F.col("rank") + F.col("before"))
+        dealt.withColumn(rank, F.row_number().over(within) - 1)
+        .join(before, [length, bucket])
+        .withColumn(rank, F.col(rank) + F.col(earlier))
     )
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -321,16 +334,17 @@ def pack(pieces: DataFrame, capacity=CAPACITY, length="length") -> DataFrame:
             }
         )
 
-    placed = ranked.withColumn("placed", place(F.col(length), F.col("rank")))
-    kept = [c for c in pieces.columns if c != "piece_row"]
-    return placed.select(
-        *kept, F.col("placed.sequence_id").alias("sequence_id"), F.col("placed.offset").alias("offset")
-    )
+    placed = ranked.withColumn(placed_at, place(F.col(length), F.col(rank)))
+    made = ("sequence_id", "offset")
+    kept = (F.col(f"`{c}`") for c in pieces.columns if c != row and c not in made)
+    return placed.select(*kept, *(F.col(f"{placed_at}.{c}").alias(c) for c in made))
 
 
 def pack_documents(docs: DataFrame, tokenizer, id="doc_id", text="text", capacity=CAPACITY, end=END, with_ids=False):
     """Tokenise whole documents, cut those over ``capacity``, and pack the pieces.
 
-    Columns: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset.
+    Columns: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset. A null or empty
+    text is its end mark alone; repeated rows are packed each, an empty table gives an empty one;
+    other columns are ignored, whatever their names.
     """
     return pack(token_pieces(docs, tokenizer, id, text, capacity, end, with_ids), capacity)

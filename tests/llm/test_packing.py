@@ -83,6 +83,31 @@ def test_plans_hold_the_histogram(seed):
     assert sum(n for _, n in plan) <= simple
 
 
+def test_patterns_that_leave_room_are_fitted():
+    """No three of these fill a sequence; 72,500 sequences are the least possible."""
+    plan = packing.patterns_for({300: 100_000, 400: 50_000, 700: 30_000}, 1024)
+    assert 72_500 <= sum(n for _, n in plan) <= 72_510
+    held = {k: sum(n * sizes.count(k) for sizes, n in plan) for k in (300, 400, 700)}
+    assert held == {300: 100_000, 400: 50_000, 700: 30_000}
+
+
+def test_few_patterns_are_pairs_with_the_longest_third():
+    lengths = [2, 3, 5, 8]
+    rows = {tuple(lengths[k] for k in r if k >= 0) for r in packing.few_patterns(lengths, 10).tolist()}
+    assert rows == {(8, 2), (5, 5), (5, 3, 2), (5, 2, 2), (3, 3, 3), (3, 2, 2), (2, 2, 2)}
+    assert packing.few_patterns([10], 10).tolist() == [[0, -1, -1]]
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ("rank", "before", "placed", "row", "bucket", "piece_row", "count")
+    pieces = spark.range(200).selectExpr("id", "id % 60 + 1 as length", *(f"'{n}' as {n}" for n in names), "7 as offset")
+    got = packing.pack(pieces, capacity=64)
+    assert got.columns == ["id", "length", *names, "sequence_id", "offset"]
+    rows = got.collect()
+    check_packed(rows, 64)
+    assert len(rows) == 200 and all(r[n] == n for r in rows for n in names)
+
+
 def test_one_length_ranked_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 50)
     pieces = spark.range(1000).selectExpr("id as doc_id", "cast(if(id % 3 = 0, 100, id % 90 + 1) as long) as length")
