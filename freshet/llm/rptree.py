@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 A tree splits a group at the median of a random projection, again and again, until its leaves are
-small; vectors near a split go to both sides. Vectors that share a leaf of any tree are compared
+small; vectors near a split go to both sides. Of a few random directions the split takes the one
+that has the fewest vectors near it, which keeps more pairs together and copies fewer vectors. Vectors that share a leaf of any tree are compared
 exactly, and counted in the first leaf they share, so no pair has to be kept to count it once.
 """
 
@@ -20,6 +21,7 @@ from freshet.storage import stage
 TREES = 6
 LEAF = 512  # Vectors a leaf should hold.
 BLOCK = 2048  # A leaf over this size is cut, and compared part against part in several tasks.
+WAYS = 8  # Directions that are tried at a split.
 SAMPLE = 2048  # Vectors of a leaf that its splits of one round are fitted on, about.
 LEAST = 32  # Sampled vectors a node must have to be split.
 REACH = 0.5  # Vectors as near a split as this many times the spread of a link's projection go to both sides.
@@ -32,7 +34,8 @@ _PAIRS = 200_000  # Found pairs whose shared leaves are looked up at a time.
 
 @dataclass(frozen=True)
 class Tree:
-    """Thresholds of the splits by node number, the root 1, its sides 2n and 2n + 1."""
+    """Splits by node number, the root 1, its sides 2n and 2n + 1: a threshold, and which of the
+    level's directions it is on."""
 
     seed: int
     margin: float
@@ -46,18 +49,16 @@ def _margin(threshold, size):
 
 
 @lru_cache(maxsize=8192)
-def _direction(seed, level, size):
-    axis = np.random.default_rng([SEED, seed, level]).standard_normal(size)
-    return axis / np.linalg.norm(axis)
+def _directions(seed, level, size):
+    """The directions, a column each, that a level of a tree chooses from."""
+    axes = np.random.default_rng([SEED, seed, level]).standard_normal((size, WAYS))
+    return axes / np.linalg.norm(axes, axis=0)
 
 
-def _projected(tree, node, x):
-    return x @ _direction(tree.seed, node.bit_length(), x.shape[1])
-
-
-def _sides(tree, node, at):
-    """Whether each vector, projected to ``at``, goes to the lower and to the upper side of a split node."""
-    threshold = tree.splits[node]
+def _sides(tree, node, x):
+    """Whether each vector goes to the lower and to the upper side of a split node."""
+    threshold, way = tree.splits[node]
+    at = x @ _directions(tree.seed, node.bit_length(), x.shape[1])[:, way]
     return at <= threshold + tree.margin, at >= threshold - tree.margin
 
 
@@ -72,9 +73,11 @@ def grow(x, seed, leaf, threshold, least=LEAST):
         node, rows = todo.pop()
         if len(rows) <= max(leaf, least):
             continue
-        at = _projected(tree, node, x[rows])
-        tree.splits[node] = float(np.float32(np.median(at)))
-        low, high = _sides(tree, node, at)
+        at = x[rows] @ _directions(seed, node.bit_length(), x.shape[1])
+        middle = np.median(at, axis=0).astype(np.float32).astype(float)
+        way = int((np.abs(at - middle) <= tree.margin).sum(axis=0).argmin())
+        tree.splits[node] = float(middle[way]), way
+        low, high = _sides(tree, node, x[rows])
         if max(low.sum(), high.sum()) > WIDEST * len(rows):
             del tree.splits[node]  # Too many lie near the split: parts of the leaf do better.
             continue
@@ -94,7 +97,7 @@ def leaves(tree, x):
             rows.append(some)
             nodes.append(np.full(len(some), node))
             continue
-        low, high = _sides(tree, node, _projected(tree, node, x[some]))
+        low, high = _sides(tree, node, x[some])
         todo += [(2 * node, some[low]), (2 * node + 1, some[high])]
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -166,21 +169,23 @@ def plant(vectors: DataFrame, threshold, trees=TREES, leaf=LEAF, sample=SAMPLE,
 
 
 def _fitted(drawn, threshold, leaf):
-    """leaf, nodes, cuts: the splits of each leaf that can be split, from its sample (leaf, n, x)."""
+    """leaf, nodes, cuts, ways: the splits of each leaf that can be split, from its sample (leaf, n, x)."""
 
     def fit(table: pa.Table) -> pa.Table:
         name, n = table.column("leaf")[0].as_py(), table.column("n")[0].as_py()
         x = _unit(table.column("x"))
         grown = grow(x, name % FAMILIES, max(1, leaf * len(x) // n), threshold).splits
-        rows = [{"leaf": name, "nodes": list(grown), "cuts": list(grown.values())}] if grown else []
+        cuts, ways = zip(*grown.values()) if grown else ((), ())
+        rows = [{"leaf": name, "nodes": list(grown), "cuts": cuts, "ways": ways}] if grown else []
         return pa.Table.from_pylist(rows, schema=kinds)
 
-    kinds = pa.schema([("leaf", pa.int64()), ("nodes", pa.list_(pa.int32())), ("cuts", pa.list_(pa.float32()))])
-    return drawn.groupBy("leaf").applyInArrow(fit, "leaf long, nodes array<int>, cuts array<float>")
+    lists = {"nodes": pa.int32(), "cuts": pa.float32(), "ways": pa.int32()}
+    kinds = pa.schema([("leaf", pa.int64()), *((c, pa.list_(k)) for c, k in lists.items())])
+    return drawn.groupBy("leaf").applyInArrow(fit, "leaf long, nodes array<int>, cuts array<float>, ways array<int>")
 
 
 def _descend(rows, threshold):
-    """(class, leaf): each vector's new leaves below its leaf, from rows (class, leaf, x, nodes, cuts)."""
+    """(class, leaf): each vector's new leaves below its leaf, from rows (class, leaf, x, nodes, cuts, ways)."""
 
     def walk(batches):
         for batch in batches:
@@ -193,8 +198,8 @@ def _descend(rows, threshold):
                     continue
                 first = int(some[0])
                 x = _unit(columns["x"].take(pa.array(some)))
-                cuts = dict(zip(columns["nodes"][first].as_py(), columns["cuts"][first].as_py()))
-                tree = Tree(int(names[first]) % FAMILIES, _margin(threshold, x.shape[1]), cuts)
+                nodes, cuts, ways = (columns[c][first].as_py() for c in ("nodes", "cuts", "ways"))
+                tree = Tree(int(names[first]) % FAMILIES, _margin(threshold, x.shape[1]), dict(zip(nodes, zip(cuts, ways))))
                 rows, nodes = leaves(tree, x)
                 at.append(owners[some][rows])
                 # A leaf's name: its group's, mixed with the node's number.
@@ -225,10 +230,10 @@ def _shared_before(mine, other, own, lists):
 
 def _padded(column):
     """Lists of leaf names as a matrix; what is missing is larger than any and so before none."""
-    lists = column.to_pylist()
-    out = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-    for k, row in enumerate(lists):
-        out[k, : len(row)] = row
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(lists), sizes.max(initial=0)), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
     return out
 
 
@@ -324,7 +329,7 @@ def near_vectors(rows: DataFrame, id="vec_id", vector="embedding", label="label"
         ),
         "vector-roots",
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "vector-names")
     named = rooted.select("class", "n_links", "root").join(named, "root").drop("root")
     x = _components(rows, vector)
     usable = _usable(x) & F.col(label).isNotNull() & F.col(id).isNotNull()

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from freshet.llm import rptree
 
@@ -125,3 +127,19 @@ def test_leaves_are_cut_in_rounds_by_small_samples(spark):
     pairs = [(names[i], names[j]) for i, j in zip(a, b) if sides[names[i]][0] == sides[names[j]][0]]
     met = sum(bool(sides[i][1] & sides[j][1]) for i, j in pairs)
     assert met >= 0.95 * len(pairs)
+
+
+def test_deep_trees_keep_the_links_of_one_label(spark, tmp_path):
+    """60,000 vectors of one label, in small groups at cosines about the threshold."""
+    draw = np.random.default_rng(8)
+    n, size, group = 60_000, 64, 4
+    centres = draw.normal(size=(n // group, size)).astype(np.float32)
+    spread = np.sqrt(1 / 0.935 - 1)
+    x = np.repeat(centres, group, axis=0) + spread * draw.normal(size=(n, size)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(0, n * size + 1, size, dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists, "label": np.ones(n, int)}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = sum(int((b @ unit.T >= 0.93).sum()) for b in np.array_split(unit, 60)) - n
+    got = rptree.near_vectors(df).agg({"n_links": "sum"}).first()[0]
+    assert want > 20_000 and 0.999 * want <= got <= want
