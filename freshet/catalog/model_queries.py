@@ -8,6 +8,7 @@ from freshet.catalog import inputs as i
 from freshet.catalog.registry import query
 from freshet.functions import false_positives
 from freshet.operators import evaluation
+from freshet.operators.ordered import running
 from freshet.operators.rolling import FEATURES_48H
 from freshet.operators.topk import top_rows
 from freshet.plans import training
@@ -126,15 +127,23 @@ def rf_variants(spark, sf_dir):
 
 @query(
     "rf_importance",
-    "SELECT feature, CAST(1 AS DOUBLE) AS total, true AS is_share FROM (VALUES "
-    + ", ".join(f"('{name}')" for name in training.MAIN.inputs)
-    + ") t(feature)",
+    i.on_obs(
+        "SELECT feature, CAST(1 AS DOUBLE) AS total, true AS is_share, "
+        f"(SELECT count(*) FROM obs WHERE datetime < TIMESTAMP '{i.TRAIN_END} 00:00:00') AS n_train "
+        "FROM (VALUES " + ", ".join(f"('{name}')" for name in training.MAIN.inputs) + ") t(feature)"
+    ),
 )
 def rf_importance(spark, sf_dir):
     """Each of the model's inputs once; importances are shares that sum to 1."""
-    made = feature_importance(fit(_split(spark, sf_dir)[0]))
+    train = _split(spark, sf_dir)[0]
+    made = feature_importance(fit(train))
     total = made.agg(F.round(F.sum("importance"), 9)).scalar()
-    return made.select("feature", total.alias("total"), _is_probability("importance").alias("is_share"))
+    return made.select(
+        "feature",
+        total.alias("total"),
+        _is_probability("importance").alias("is_share"),
+        train.agg(F.count("*")).scalar().alias("n_train"),
+    )
 
 
 @query(
@@ -245,21 +254,37 @@ def rf_roundtrip(spark, sf_dir):
 
 @query(
     "rf_calibrated",
-    "SELECT score, true AS in_range FROM (VALUES ('raw_score'), ('calibrated_probability')) t(score)",
+    i.on_labeled(
+        "SELECT score, true AS in_range, true AS keeps_order, "
+        f"(SELECT count(*) FROM labeled WHERE {TEST}) AS n_rows "
+        "FROM (VALUES ('raw_score'), ('calibrated_probability')) t(score)"
+    ),
 )
 def rf_calibrated(spark, sf_dir):
     """Raw against calibrated scores of a forest: three periods, none used twice.
 
-    Each score's Brier score and area lie in 0 to 1."""
+    Each score's Brier score and area lie in 0 to 1, and a higher raw score never has a lower
+    calibrated one."""
     cuts = (i.CALIBRATION_START, i.TRAIN_END)
     train, calibration, test = temporal_split(_rows(spark, sf_dir), "datetime", cuts)
     model = fit(train)
     calibrator = fit_calibrator(score_table(model, calibration, out="raw_score"))
     scored = apply_calibrator(calibrator, score_table(model, test, out="raw_score"))
-    kept = scored.select("raw_score", "calibrated_probability", "flood_event")
+    kept = stage(scored.select("raw_score", "calibrated_probability", "flood_event"), "calibrated")
     made = compare_scores(kept, ("raw_score", "calibrated_probability"))
     in_range = _is_probability("brier_score") & _is_probability("pr_auc")
-    return made.select("score", in_range.alias("in_range"))
+    points = kept.groupBy("raw_score").agg(
+        F.min("calibrated_probability").alias("low"), F.max("calibrated_probability").alias("high")
+    )
+    placed = running(points, ["raw_score"], name="calibrated-order")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("low").alias("next"))
+    falls = placed.join(after, "place").filter((F.col("high") > F.col("next") + 1e-12) | (F.col("low") != F.col("high")))
+    return made.select(
+        "score",
+        in_range.alias("in_range"),
+        (falls.agg(F.count("*")).scalar() == 0).alias("keeps_order"),
+        kept.agg(F.count("*")).scalar().alias("n_rows"),
+    )
 
 
 @query(
