@@ -92,7 +92,7 @@ def fit_calibrator(
     Equal scores are pooled to their mean and count first, then tasks pool ranges of the distinct
     scores. Each round after that pools groups of ``size`` neighbouring blocks, every second one
     with borders half a group further, so that all neighbours meet within two rounds. It ends when
-    all blocks were in one group, or two rounds changed nothing.
+    the blocks left fit one group, which is pooled, or two rounds changed nothing.
     """
     number = F.col(score).cast("double")
     pooled = (
@@ -106,14 +106,14 @@ def fit_calibrator(
     if not n:
         raise ValueError("no rows with both a score and a label to calibrate on")
     turn = unchanged = 0
-    while unchanged < 2:
+    while n > size and unchanged < 2:
         placed = running(blocks, ["lo"], name="isotonic-order")
         blocks = stage(_pooled_again(placed, size, (turn % 2) * (size // 2) - 1), "isotonic-blocks")
         left = blocks.count()
         unchanged = unchanged + 1 if left == n else 0
-        if n < size // 2:
-            break  # All blocks were in one group.
         n, turn = left, turn + 1
+    if n <= size:  # One group holds what is left.
+        blocks = _pooled_again(blocks.withColumn(PLACE, F.lit(0)), size, 0)
     mean = (F.col("total") / F.col("weight")).alias("y")
     ends = F.array_distinct(F.array("lo", "hi"))
     points = stage(blocks.select(F.explode(ends).alias("x"), mean), "isotonic-map")
