@@ -2,9 +2,8 @@
 
 The model file's protobuf gives pieces, scores, normaliser and flags; from these the same
 tokenizer is built there: normaliser, marker for spaces, merges or unigram scores, byte
-fallback, decoder. Every distinct segment is encoded by both libraries, compared, and decoded
-again. That texts are cut where no token crosses is checked too: of one in WHOLE texts, chosen
-by hash, the whole text is encoded by SentencePiece and its ids decoded.
+fallback, decoder. Texts are encoded by their distinct segments; every text is encoded whole by
+SentencePiece too, the ids are compared, and all of them are decoded again.
 """
 
 import hashlib
@@ -27,8 +26,6 @@ from freshet.llm.segments import SegmentEncoder
 
 MARK = "▁"
 THREADS = 2  # Of the library, for one task's batch.
-CACHE = 250_000  # Id runs whose text a task keeps; it then starts over. Bounds memory only.
-WHOLE = 64  # One in so many texts is also compared whole.
 # Fixed values of the format: kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -201,10 +198,18 @@ class Backend:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         message = parse(path)
         self.apart = separable(message)
-        self.opens = np.array([p.piece.startswith(MARK) for p in message.pieces])
+        self.raw = [_piece_bytes(p.piece) for p in message.pieces]
         self.alone = [self.sp.piece_to_id(MARK)]
+        # A segment is marked and cut already: this one only merges.
+        self.merger = build(path)
+        self.merger.normalizer = self.merger.pre_tokenizer = None
+        self.plain = SegmentEncoder(cut, self._merged)
         self.encoder = _Checked(cut, self._segments)
-        self.texts = {}
+
+    def _merged(self, segments):
+        """Ids of segments."""
+        marked = [MARK + s.replace(" ", MARK) for s in segments]
+        return [e.ids for e in self.merger.encode_batch_fast(marked, add_special_tokens=False)]
 
     def _segments(self, segments):
         """Ids of segments, and whether the libraries agree on each and its ids give it again."""
@@ -231,6 +236,18 @@ class Backend:
         for text, a, b, t in zip(whole, ours, theirs, back):
             yield Encoded(np.array(a, np.uint32), a == b, t == text)
 
+    def compare(self, texts):
+        """For each text its ids, whether SentencePiece gives the same ones for the whole text, and
+        whether they, all decoded again, give the text."""
+        whole = [t or "" for t in texts]
+        if not self.apart:
+            return list(self.encode(whole))
+        ours = list(self.plain(whole))
+        theirs = self.sp.encode(whole, num_threads=self.threads)
+        agree = [np.array_equal(x, np.array(y, np.uint32)) for x, y in zip(ours, theirs)]
+        back = self.decode(ours)
+        return [Encoded(x, a, t == b) for x, a, t, b in zip(ours, agree, whole, back)]
+
     def whole(self, text, encoded):
         """The same result after the whole text was encoded by SentencePiece and its ids decoded."""
         agrees = encoded.agrees and self.sp.encode(text) == encoded.ids.tolist()
@@ -240,36 +257,28 @@ class Backend:
     def decode(self, ids):
         """The text of each array of ids.
 
-        Where segments are encoded by themselves, ids are cut before pieces that open one, and
-        each distinct run of ids is decoded once.
+        Where segments are encoded by themselves, the decoder joins the pieces' bytes and drops the
+        space that the model puts before a text. Bytes that are no text are left to the library.
         """
         if not self.apart:
             return self.made.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        if len(self.texts) > CACHE:
-            self.texts.clear()
-        cuts, runs = [], []
-        for x in ids:
-            raw = x.astype("<u4").tobytes()
-            at = (4 * np.flatnonzero(self._opening(x))).tolist()
-            if len(x) and (not at or at[0]):
-                at = [0, *at]
-            cuts.append([raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])])
-        runs = list({r for doc in cuts for r in doc if r not in self.texts})
-        made = self.made.decode_batch(
-            [np.frombuffer(r, "<u4").tolist() for r in runs], skip_special_tokens=False
-        )
-        for run, text in zip(runs, made):
-            opening = self.opens[np.frombuffer(run, "<u4", 1)[0]]
-            self.texts[run] = " " + text if opening else text
-        out = []
-        for doc in cuts:
-            text = "".join(map(self.texts.__getitem__, doc))
-            out.append(text[1:] if text.startswith(" ") else text)
-        return out
+        return [self._joined(x.tolist()) for x in ids]
+
+    def _joined(self, ids):
+        try:
+            text = b"".join(map(self.raw.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.made.decode(ids, skip_special_tokens=False)
+        return text[1:] if text.startswith(" ") else text
+
+
+_BYTE = re.compile("<0x([0-9A-Fa-f]{2})>")
+
 
-    def _opening(self, x):
-        """Where a run of ids begins: pieces that open with the marker after one that is not only markers."""
-        return self.opens[x] if len(x) else np.zeros(0, bool)
+def _piece_bytes(piece):
+    """What the decoder makes of a piece: its byte, or its text with spaces for markers."""
+    byte = _BYTE.fullmatch(piece)
+    return bytes.fromhex(byte[1]) if byte else piece.replace(MARK, " ").encode()
 
 
 @lru_cache(maxsize=1)
@@ -287,9 +296,9 @@ def encode_documents(docs: DataFrame, model, id="doc_id", text="text", with_ids=
 
     agrees: SentencePiece gives the same ids. decodes: the ids, decoded again, give the text; a
     text that holds the marker character itself does not, as the marker stands for a space. Both
-    are checked on every segment, and on the whole text for one in ``WHOLE`` texts by their hash. ids_crc32 is over little-endian unsigned 32-bit ids. A null text is
-    encoded as empty, without ids. Repeated rows give a row each, an empty table an empty one;
-    other columns are ignored, whatever their names.
+    are checked on every whole text. ids_crc32 is over little-endian unsigned 32-bit ids. A null
+    text is encoded as empty, without ids. Repeated rows give a row each, an empty table an empty
+    one; other columns are ignored, whatever their names.
     """
     kind = docs.schema[id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, agrees boolean, decodes boolean" + (
@@ -300,14 +309,9 @@ def encode_documents(docs: DataFrame, model, id="doc_id", text="text", with_ids=
         backend = _backend(model)
         for batch in batches:
             for k, texts in text_slices(batch.column(1)):
-                some = [t or "" for t in texts]
-                encoded = list(backend.encode(some))
-                if backend.apart:
-                    for at, text in enumerate(some):
-                        if zlib.crc32(text.encode()) % WHOLE == 0:
-                            encoded[at] = backend.whole(text, encoded[at])
+                encoded = backend.compare(texts)
                 columns = [
-                    batch.column(0).slice(k, len(some)),
+                    batch.column(0).slice(k, len(texts)),
                     pa.array([len(e.ids) for e in encoded], pa.int64()),
                     pa.array([_crc(e.ids) for e in encoded], pa.int64()),
                     pa.array([e.agrees for e in encoded], pa.bool_()),

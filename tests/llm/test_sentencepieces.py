@@ -56,6 +56,24 @@ def test_whole_texts_find_a_wrong_cut(monkeypatch):
     assert wrong.agrees and not backend.whole(text, wrong).agrees
 
 
+def test_every_text_is_compared_whole(monkeypatch):
+    """With a wrong cut no text of several characters agrees, whatever its hash."""
+    backend = pieces.Backend(PATH)
+    monkeypatch.setattr(backend.plain, "cut", lambda text: list(text))
+    some = [f"the whole text {k}" for k in range(200)]
+    assert not any(e.agrees or e.decodes for e in backend.compare(some))
+    assert all(e.agrees and e.decodes for e in pieces.Backend(PATH).compare(some))
+
+
+def test_pieces_decode_as_the_library():
+    backend = pieces.Backend(PATH)
+    draw = random.Random(3)
+    runs = [[draw.randrange(300) if draw.random() < 0.5 else draw.randrange(len(backend.raw)) for _ in range(9)] for _ in range(3000)]
+    runs += [[k] for k in range(len(backend.raw))]
+    want = backend.made.decode_batch(runs, skip_special_tokens=False)
+    assert backend.decode([np.array(r, np.uint32) for r in runs]) == want
+
+
 def test_rebuilt_tokenizer_on_whole_texts():
     made = pieces.build(PATH)
     for text in texts(300):
