@@ -3,6 +3,7 @@ from freshet.functions.expressions import (
     between_times,
     complete_cases,
     false_positives,
+    is_complete,
     month_of,
     percent_text,
     positive_score,
@@ -16,6 +17,7 @@ __all__ = [
     "between_times",
     "complete_cases",
     "false_positives",
+    "is_complete",
     "month_of",
     "percent_text",
     "positive_score",

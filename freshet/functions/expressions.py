@@ -1,8 +1,11 @@
 """Scalar expressions and row filters. Everything here stays inside generated code."""
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Band limits in percent, and pi to the digits the features were built with.
 HIGH_PERCENT = 70
@@ -15,6 +18,16 @@ def complete_cases(df: DataFrame, cols) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def is_complete(df: DataFrame, cols) -> Column:
+    """Whether a row has neither null nor NaN in ``cols``: the rows that ``complete_cases`` keeps."""
+
+    def has(field):
+        number = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+        return F.col(field.name).isNotNull() & (~F.isnan(field.name) if number else F.lit(True))
+
+    return reduce(lambda a, b: a & b, map(has, df.select(*cols).schema))
+
+
 def between_times(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     """Rows with ``start <= ts < end``; either bound may be left out."""
     kind = df.schema[ts].dataType
